@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vacantry.functions.vectors import cosine
 
 CATEGORIES_PER_PASS = 1024
+SALTS = 64
 
 
 def mean_vectors(vectors: DataFrame, category: str = "category", embedding: str = "embedding") -> DataFrame:
@@ -34,8 +35,13 @@ def classify(vectors: DataFrame, means: DataFrame, threshold: float, margin: flo
         F.collect_list(F.struct("category", "eligible", "mean")).alias("_means"))
     keyed = vectors.withColumn("_id", F.xxhash64(*vectors.columns)).withColumn(
         "_g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
-    # at most CATEGORIES_PER_PASS means per row; one row per group
-    scored = keyed.join(F.broadcast(grouped) if groups == 1 else grouped, "_g")
+    if groups == 1:
+        # one row of at most CATEGORIES_PER_PASS means
+        scored = keyed.join(F.broadcast(grouped), "_g")
+    else:
+        salts = F.lit(SALTS).cast("bigint")
+        spread = grouped.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
+        scored = keyed.withColumn("_s", F.pmod("_id", salts)).join(spread, ["_g", "_s"]).drop("_s")
     sims = F.transform("_means", lambda m: F.struct(
         cosine(F.col(embedding), m["mean"]).alias("sim"), m["category"].alias("category"),
         m["eligible"].alias("eligible")))
