@@ -39,7 +39,7 @@ def list_of(c: Column) -> Column:
         .when(text.rlike(r"(?s)^\{.*\}$") & F.try_parse_json(text).isNotNull(), F.array(text))
         .otherwise(split)
     )
-    items = F.filter(F.transform(items, F.trim), lambda s: s.isNotNull() & (s != ""))
+    items = F.filter(F.transform(items, lambda s: F.trim(s)), lambda s: s.isNotNull() & (s != ""))
     return F.coalesce(F.array_distinct(items), F.array().cast("array<string>"))
 
 
@@ -184,7 +184,7 @@ def company_of_title(page_title: Column, job_title: Column) -> Column:
         (F.coalesce(n, F.lit(0)) > 0) & (pos > 0),
         F.concat(page_title.substr(F.lit(1), pos - 1),
                  page_title.substr(pos + n, F.length(page_title)))).otherwise(page_title)
-    parts = F.filter(F.transform(F.split(cut, r"(?i)\s+[-|–—]\s+|\s+at\s+"), F.trim),
+    parts = F.filter(F.transform(F.split(cut, r"(?i)\s+[-|–—]\s+|\s+at\s+"), lambda s: F.trim(s)),
                      lambda s: s != "")
     last = F.when(F.size(parts) > 0, F.element_at(parts, -1))
     board = last.rlike("(?i)job|career|greenhouse|lever|workday|smartrecruiters|ashby")

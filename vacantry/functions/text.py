@@ -205,7 +205,7 @@ def clauses(c: Column) -> Column:
     """Language sentences: newlines end sentences and spaced dashes split too."""
     flat = F.regexp_replace(F.coalesce(c, F.lit("")), r"\n+", ". ")
     parts = F.split(flat, r"(?<=[.!?;])\s+|\s+[-–—]\s+")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def half_up(c: Column) -> Column:

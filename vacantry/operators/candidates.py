@@ -95,7 +95,7 @@ def languages(resumes: DataFrame) -> DataFrame:
         return F.when(s.rlike(LANGUAGE_HEADING), F.lit("languages")).when(
             s.rlike(AFTER_LANGUAGES), F.lit(""))
 
-    lines = F.filter(F.transform(_lines(F.col("text")), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(_lines(F.col("text")), lambda s: F.trim(s)), lambda s: s != "")
     named = F.filter(
         F.transform("_rows", lambda x: F.struct(
             x["line"].alias("line"), x["section"].alias("section"),

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from vacantry.plans import selection_queries  # noqa: F401
+from vacantry.plans import field_queries, selection_queries  # noqa: F401
 from vacantry.plans.registry import ORACLES, QUERIES  # noqa: F401
