@@ -51,7 +51,7 @@ NORM_KEYS = (f"SELECT *, CASE {K} % 4 WHEN 0 THEN 'linkedin' WHEN 1 THEN 'indeed
        "SELECT source, job_id, CASE WHEN c_custkey % 5 = 0 THEN 'https://www.linkedin.com/jobs/view/' || job_id || '?x=1' "
        "WHEN source = 'linkedin' THEN 'https://www.linkedin.com/jobs/view/' || job_id END AS url, c_name AS title, "
        "CASE WHEN c_custkey % 3 = 0 THEN 'Acme' END AS company, 'Role ' || CAST(c_custkey AS VARCHAR) || ' & more' AS description_text, "
-       "CASE c_custkey % 6 WHEN 0 THEN 'GB' WHEN 1 THEN 'DE' WHEN 2 THEN 'CH' WHEN 5 THEN 'GB' END AS country_code, "
+       "CASE c_custkey % 6 WHEN 0 THEN 'GB' WHEN 1 THEN 'DE' WHEN 2 THEN 'CH' WHEN 5 THEN 'UK' END AS country_code, "
        "CASE c_custkey % 4 WHEN 0 THEN (c_custkey % 9 + 1) * 1000 + 200 WHEN 1 THEN c_custkey END AS applicants_count, "
        "CASE c_custkey % 3 WHEN 0 THEN 'https://a.example/1' WHEN 1 THEN 'https://b.example/2 https://c.example/3' ELSE "
        "CASE WHEN c_custkey % 5 = 0 THEN 'https://www.linkedin.com/jobs/view/' || job_id || '?x=1' "
