@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantry import lexicon as lx
+from vacantry.functions.staging import computed_once
 from vacantry.functions.text import blank_to_null, decode_entities, html_to_text, squeeze, text_lines
 
 JSON_LD = r"(?is)<script[^>]+type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
@@ -223,8 +224,8 @@ def with_job_description(df: DataFrame, text: str, out: str = "job_description")
     staged = staged.withColumn("_clean", clean_description(joined))
     found = F.when(F.length("_clean") > 100, F.col("_clean")).otherwise(
         description_by_markers(F.col(text)))
-    return staged.withColumn(out, F.when(F.length(text) >= 100, found)).drop(
-        "_lines", "_marks", "_body", "_start", "_about", "_end", "_clean")
+    return computed_once(staged.withColumn(out, F.when(F.length(text) >= 100, found)).drop(
+        "_lines", "_marks", "_body", "_start", "_about", "_end", "_clean"))
 
 
 def clean_description(c: Column) -> Column:

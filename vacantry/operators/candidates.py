@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantry import lexicon as lx
+from vacantry.functions.staging import computed_once
 from vacantry.functions.text import any_phrase, literal_map, squeeze
 from vacantry.operators.languages import languages_in
 
@@ -33,11 +34,11 @@ def _sectioned(df: DataFrame, lines: Column, kind) -> DataFrame:
     ``kind(line)`` at or above the line."""
     heads = F.filter(F.transform("_lines", lambda s, i: F.struct(i.alias("i"), kind(s).alias("k"))),
                      lambda h: h["k"].isNotNull())
-    return df.withColumn("_lines", lines).withColumn("_heads", heads).withColumn(
+    return computed_once(df.withColumn("_lines", lines).withColumn("_heads", heads).withColumn(
         "_rows", F.transform("_lines", lambda s, i: F.struct(
             s.alias("line"), i.alias("i"),
             F.try_element_at(F.filter("_heads", lambda h: h["i"] <= i), F.lit(-1))["k"]
-            .alias("section")))).drop("_lines", "_heads")
+            .alias("section")))).drop("_lines", "_heads"))
 
 
 def skills(resumes: DataFrame, vocabulary) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vacantry.functions.money import plain_amount
 from vacantry.functions.pages import MONEY, first_hit, hit
+from vacantry.functions.staging import computed_once
 from vacantry.functions.text import half_up, squeeze
 from vacantry.functions.titles import candidate_slugs
 from vacantry.operators.selection import first_per_key, rank_in
@@ -88,7 +89,7 @@ def percentile_table(df: DataFrame, html: str = "html") -> DataFrame:
         else:
             money = F.regexp_extract(value(pattern), r"£\s?([\d,]+)", 1)
             out.append(plain_amount(F.when(money != "", money)).alias(name))
-    return staged.select(*df.columns, *out, value(PERIOD_ROW, last=True).alias("period_label"))
+    return computed_once(staged.select(*df.columns, *out, value(PERIOD_ROW, last=True).alias("period_label")))
 
 
 def _spread(df: DataFrame, amount: Column, confidence: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantry import lexicon as lx
+from vacantry.functions.staging import computed_once
 from vacantry.functions.text import WORD_EDGE_AFTER, WORD_EDGE_BEFORE, any_phrase, clauses, literal_map
 
 
@@ -47,8 +48,9 @@ def sentence_requirements(df: DataFrame, text: str) -> DataFrame:
         return F.array_distinct(F.flatten(F.transform(
             F.filter("_graded", lambda x: x["grade"] == grade), lambda x: x["langs"])))
 
-    return (df.withColumn("_graded", graded).withColumn("required", of("required"))
-            .withColumn("nice", F.array_except(of("nice"), "required")).drop("_graded"))
+    return computed_once(
+        df.withColumn("_graded", graded).withColumn("required", of("required"))
+        .withColumn("nice", F.array_except(of("nice"), "required")).drop("_graded"))
 
 
 def proximity_requirements(df: DataFrame, text: str) -> DataFrame:
@@ -59,11 +61,15 @@ def proximity_requirements(df: DataFrame, text: str) -> DataFrame:
         w, n = words, rf"\b{name.lower()}\b"
         return body.rlike(rf"(?i){w}[^.\n]{{0,80}}{n}|{n}[^.\n]{{0,80}}{w}")
 
-    required = F.array_compact(F.array(*[
-        F.when(near(lx.PROXIMITY_REQUIRED, n), F.lit(n)) for n in lx.LANGUAGES]))
-    nice = F.array_compact(F.array(*[
-        F.when(near(lx.PROXIMITY_NICE, n), F.lit(n)) for n in lx.LANGUAGES]))
-    return df.withColumn("required", required).withColumn("nice", F.array_except(nice, "required"))
+    def listed(words):
+        # the proximity test runs only for languages the text names at all
+        return F.array_compact(F.array(*[
+            F.when(F.array_contains("_named", n) & near(words, n), F.lit(n)) for n in lx.LANGUAGES]))
+
+    return computed_once(
+        df.withColumn("_named", languages_in(body))
+        .withColumn("required", listed(lx.PROXIMITY_REQUIRED))
+        .withColumn("nice", F.array_except(listed(lx.PROXIMITY_NICE), "required")).drop("_named"))
 
 
 def phrase_requirements(df: DataFrame, text: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vacantry import lexicon as lx
 from vacantry.functions.keys import multiset_digest
+from vacantry.functions.staging import computed_once
 from vacantry.functions.text import (TERM_EDGE_AFTER, TERM_EDGE_BEFORE, any_phrase, first_non_blank,
                                      is_blank, literal_map, sentences, slug, squeeze)
 from vacantry.operators.languages import languages_in
@@ -146,8 +147,9 @@ def mandatory_criteria(df: DataFrame, text: Column, vocabulary: Vocabulary,
 
     The stated criteria are a column of their own so that they are extracted once.
     """
-    return df.withColumn("_stated", stated_criteria(text, vocabulary)).withColumn(
+    staged = df.withColumn("_stated", stated_criteria(text, vocabulary)).withColumn(
         out, _first_distinct(F.col("_stated"), lx.MAX_CRITERIA)).drop("_stated")
+    return computed_once(staged)
 
 
 def _first_distinct(items: Column, size: int) -> Column:
@@ -301,6 +303,7 @@ def score(postings: DataFrame, candidate: Candidate, vocabulary: Vocabulary,
         .withColumn("has_language_blocker", F.exists(
             "_lang_blockers", lambda b: b.startswith("Language blocker")))
     )
+    rows = computed_once(rows)
     total, matched = F.col("must_total"), F.col("must_matched")
     assessed, blocked = total > 0, F.size("blockers") > 0
     fit = F.when(assessed, F.round(matched / total * 100.0, 1)).otherwise(0.0)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vacantry import lexicon as lx
 from vacantry.functions.fields import host_of
+from vacantry.functions.staging import computed_once
 from vacantry.functions.text import (any_phrase, every_phrase_at, fold_phrase, is_blank,
                                      literal_map)
 
@@ -114,7 +115,7 @@ def classify(df: DataFrame, taxonomy: Taxonomy, title: str = "title",
                  F.lit(".")),
         F.lit("No confirmed role matches this title; review with the user."))
     evidence = F.coalesce(excluded, F.concat(F.lit("Title matches confirmed role: "), term))
-    return rows.select(
+    return computed_once(rows.select(
         *df.columns,
         F.when(excluded.isNotNull(), F.lit(lx.OUT_OF_SCOPE))
         .otherwise(F.coalesce(matched, F.lit(lx.UNCLASSIFIED))).alias("role_label"),
@@ -125,7 +126,7 @@ def classify(df: DataFrame, taxonomy: Taxonomy, title: str = "title",
             F.array_compact(F.array(evidence)).alias("evidence"),
             F.array_compact(F.array(F.when(~found, F.lit("confirmed role match")))).alias("gaps"),
         ).alias("role_reason"),
-    )
+    ))
 
 
 def title_excluded(title: Column, families: tuple[TitleFamily, ...],

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vacantry import lexicon as lx
 from vacantry.functions.money import (annual_note, annualize, currency_of, parse_amount,
                                       plain_amount)
+from vacantry.functions.staging import computed_once
 from vacantry.functions.text import squeeze
 
 FILLER = " ¤ "
@@ -102,8 +103,8 @@ def salary_candidates(df: DataFrame, text: str, out: str = "pay") -> DataFrame:
             df = df.withColumn(f"_text{i + 1}", F.when(
                 F.size(f"_pay{i}") > 0, F.regexp_replace(f"_text{i}", p.pattern, FILLER)
             ).otherwise(F.col(f"_text{i}")))
-    return df.withColumn(out, F.concat(*names)).drop(
-        *names, *[f"_text{i}" for i in range(len(PAY_PATTERNS))])
+    return computed_once(df.withColumn(out, F.concat(*names)).drop(
+        *names, *[f"_text{i}" for i in range(len(PAY_PATTERNS))]))
 
 
 def has_ote(c: Column) -> Column:
@@ -206,6 +207,14 @@ def jsonld_salary(posting: Column) -> Column:
         F.lit("jsonld").alias("extractor"), F.lit("JobPosting.baseSalary").alias("evidence")))
 
 
+def with_jsonld_salary(df: DataFrame, jsonld: str, out: str = "jsonld_pay") -> DataFrame:
+    """Adds the pay candidate stated by a JSON-LD text column, NULL when none."""
+    rows = df.withColumn("_ld", F.try_parse_json(F.col(jsonld)))
+    rows = rows.withColumn("_posting", jsonld_posting(F.col("_ld")))
+    rows = rows.withColumn(out, F.when(F.col("_posting").isNotNull(), jsonld_salary(F.col("_posting"))))
+    return computed_once(rows.drop("_ld", "_posting"))
+
+
 def no_salary_reason(c: Column) -> Column:
     """Why a text states no pay: competitive, then doe, else absent."""
     text = F.coalesce(c, F.lit(""))
@@ -224,9 +233,7 @@ def parse_salary(df: DataFrame, text: str, jsonld: str | None = None) -> DataFra
     rows = salary_candidates(rows, "_body", "_found")
     rows = rows.withColumn("_found", ote_split(F.col("_found"), F.col("_body")))
     if jsonld is not None:
-        rows = rows.withColumn("_ld", F.try_parse_json(F.col(jsonld)))
-        rows = rows.withColumn("_posting", jsonld_posting(F.col("_ld")))
-        rows = rows.withColumn("_ld_pay", jsonld_salary(F.col("_posting")))
+        rows = with_jsonld_salary(rows, jsonld, "_ld_pay")
         rows = rows.withColumn("_found", F.when(
             F.col("_ld_pay").isNotNull(), F.array("_ld_pay")).otherwise(F.col("_found")))
     rows = rows.select(*columns, F.posexplode_outer("_found").alias("ordinal", "c"))

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from vacantry.plans import field_queries, role_queries, selection_queries  # noqa: F401
+from vacantry.plans import field_queries, page_queries, role_queries, salary_queries, selection_queries  # noqa: F401
 from vacantry.plans.registry import ORACLES, QUERIES  # noqa: F401
