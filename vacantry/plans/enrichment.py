@@ -80,15 +80,23 @@ def estimate_shape(estimates: DataFrame, as_of: str) -> DataFrame:
 
 
 def enrich(postings: DataFrame, observations: DataFrame, benchmarks: DataFrame, state: DataFrame,
-           as_of: str, use_benchmarks: bool = True) -> EnrichmentResult:
+           as_of: str, use_benchmarks: bool = True, work: str | None = None) -> EnrichmentResult:
     """One pass over every due posting.
 
+    Pay read from text feeds several outputs.  With ``work``, a folder shared by all
+    executors, it is written there once and read back, so texts are parsed a single time
+    and a lost executor costs no re-parse; without it, each output parses again.
+
     ``postings`` needs source, job_id, url, title, description_text, country_code, region,
-    city.  Returns rows to append and the new state; nothing is written here.
+    city.  Returns rows to append and the new state.
     """
     due = retry.due_jobs(postings, state, as_of)
     facts = due.select(*JOB, "url", "title", "description_text", "country_code", "region", "city")
-    pay = parse_salary(facts, "description_text")
+    pay = parse_salary(facts, "description_text").drop("description_text")
+    if work is not None:
+        schema = pay.schema
+        pay.write.mode("errorifexists").parquet(f"{work}/pay")
+        pay = pay.sparkSession.read.schema(schema).parquet(f"{work}/pay")
     posted = observation_shape(pay, as_of)
     fresh_posted = insert_ignore(observations.select(*OBS_KEY), posted, OBS_KEY, F.col("amount_min"),
                                  F.col("evidence"))

@@ -73,7 +73,7 @@ class View:
         for c in self.columns:
             expr = c[1] if len(c) == 2 else c[2]
             if expr is not None:
-                picks.append(f"{expr} AS {c[0]}")
+                picks.append(f'{expr} AS "{c[0]}"')
         where = f" WHERE {self.where}" if self.where else ""
         return f"SELECT {', '.join(picks)} FROM {self.base}{where}"
 
