@@ -130,20 +130,25 @@ def ote_amount(c: Column) -> Column:
     return F.coalesce(*out)
 
 
-def ote_split(candidates: Column, text: Column) -> Column:
-    """On-target wording: the first candidate as base, plus the on-target total if stated."""
-    first = F.get(candidates, F.lit(0))
-    ote = ote_amount(text)
-    symbol = F.create_map(*[F.lit(x) for x in ("GBP", "£", "USD", "\\$", "EUR", "€")])[ote["currency"]]
-    mentions = F.regexp_extract_all(text, F.concat(F.lit("("), symbol, F.lit(r"\s*[\d,'.]+)")), F.lit(1))
-    last = F.try_element_at(mentions, F.lit(-1))
+def ote_split(df: DataFrame, found: str, text: str) -> DataFrame:
+    """On-target wording turns a row's candidates into the first one as base pay, plus
+    the on-target total when it is stated."""
+    first, ote = F.get(found, F.lit(0)), F.col("_ote")
+    symbol = F.create_map(*[F.lit(x) for x in ("GBP", "£", "USD", "\\$", "EUR", "€")])[F.col("_ote.currency")]
+    mentions = F.regexp_extract_all(
+        F.col(text), F.concat(F.lit("("), symbol, F.lit(r"\s*[\d,'.]+)")), F.lit(1))
     total = F.struct(
         ote["amount"].alias("amount_min"), F.lit(None).cast("double").alias("amount_max"),
         ote["currency"].alias("currency"), first["period"].alias("period"),
         F.lit("ote_total").alias("compensation_type"), first["extractor"].alias("extractor"),
-        F.coalesce(last, first["evidence"]).alias("evidence"))
-    pair = F.when(ote.isNull(), F.array(first)).otherwise(F.array(first, total))
-    return F.when((F.size(candidates) > 0) & has_ote(text), pair).otherwise(candidates)
+        F.coalesce(F.col("_last"), first["evidence"]).alias("evidence"))
+    marked = (F.size(found) > 0) & has_ote(F.col(text))
+    staged = df.withColumn("_marked", marked)
+    staged = staged.withColumn("_ote", F.when(F.col("_marked"), ote_amount(F.col(text))))
+    staged = staged.withColumn("_last", F.when(ote.isNotNull(), F.try_element_at(mentions, F.lit(-1))))
+    split = F.when(ote.isNotNull(), F.array(first, total)).when(F.col("_marked"), F.array(first)).otherwise(
+        F.col(found))
+    return staged.withColumn(found, split).drop("_marked", "_ote", "_last")
 
 
 def _number(v: Column, path: str) -> Column:
@@ -231,7 +236,7 @@ def parse_salary(df: DataFrame, text: str, jsonld: str | None = None) -> DataFra
     columns = df.columns
     rows = df.withColumn("_body", cut_at_similar_jobs(F.coalesce(F.col(text), F.lit(""))))
     rows = salary_candidates(rows, "_body", "_found")
-    rows = rows.withColumn("_found", ote_split(F.col("_found"), F.col("_body")))
+    rows = ote_split(rows, "_found", "_body")
     if jsonld is not None:
         rows = with_jsonld_salary(rows, jsonld, "_ld_pay")
         rows = rows.withColumn("_found", F.when(
@@ -239,7 +244,8 @@ def parse_salary(df: DataFrame, text: str, jsonld: str | None = None) -> DataFra
     rows = rows.select(*columns, F.posexplode_outer("_found").alias("ordinal", "c"))
     marker = F.col("c").isNull()
     body = F.coalesce(F.col(text), F.lit(""))
-    reason = no_salary_reason(F.col(text))
+    rows = rows.withColumn("_reason", F.when(marker, no_salary_reason(F.col(text))))
+    reason = F.col("_reason")
     quote = F.when(reason == "competitive", F.regexp_extract(body, lx.COMPETITIVE_PATTERN, 0)).when(
         reason == "doe", F.regexp_extract(body, lx.DOE_PATTERN, 0))
     period = F.col("c.period")
@@ -250,7 +256,7 @@ def parse_salary(df: DataFrame, text: str, jsonld: str | None = None) -> DataFra
         annualize(F.col("c.amount_min"), period).alias("annualized_min"),
         annualize(F.col("c.amount_max"), period).alias("annualized_max"),
         F.when(~marker, annual_note(period)).alias("annualization_note"),
-        (~marker).alias("is_posted"), F.when(marker, reason).alias("extraction_status"),
+        (~marker).alias("is_posted"), reason.alias("extraction_status"),
         F.when(marker, quote).otherwise(F.col("c.evidence")).alias("evidence"),
     )
 
