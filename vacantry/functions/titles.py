@@ -6,25 +6,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vacantry import lexicon as lx
-from vacantry.functions.text import escape, literal_map, longest_first, strip_accents
+from vacantry.functions.text import escape, literal_map, longest_first, squeeze, strip_accents
+
+
+def _join_phrases(text: Column) -> Column:
+    """Known phrases become one word each, longest first.
+
+    The phrases are folded over the text one by one, because an earlier replacement can
+    make a later phrase match; a plain substring test keeps the pattern from running
+    where its phrase does not occur.
+    """
+    steps = F.array(*[
+        F.struct(F.lit(p).alias("phrase"), F.lit(rf"(?<!\w){escape(p)}(?!\w)").alias("pattern"),
+                 F.lit(f" {lx.COMPOUND_PHRASES[p]} ").alias("word"))
+        for p in longest_first(lx.COMPOUND_PHRASES)])
+    return F.aggregate(steps, text, lambda acc, s: F.when(
+        F.contains(acc, s["phrase"]), F.regexp_replace(acc, s["pattern"], s["word"])).otherwise(acc))
 
 
 def normalize_title(c: Column) -> Column:
     """Canonical title: phrases joined, filler and places dropped, synonyms applied.
 
     Word order is kept, so "solutions architect" and "architect solutions" differ.
-    Phrases are tried longest first, as separate passes, because an earlier
-    replacement can make a later phrase match.
     """
     folded = F.lower(strip_accents(F.coalesce(c, F.lit(""))))
-    out = folded
-    for phrase in longest_first(lx.COMPOUND_PHRASES):
-        # a plain word boundary is the same test as "no word character next to it"
-        pattern = rf"(?<!\w){escape(phrase)}(?!\w)"
-        out = F.regexp_replace(out, pattern, f" {lx.COMPOUND_PHRASES[phrase]} ")
-    some = r"(?<!\w)(?:" + "|".join(escape(p) for p in longest_first(lx.COMPOUND_PHRASES)) + r")(?!\w)"
-    out = F.when(folded.rlike(some), out).otherwise(folded)
-    out = F.regexp_replace(out, r"[^\w\s\-]", " ")
+    out = F.regexp_replace(_join_phrases(squeeze(folded)), r"[^\w\s\-]", " ")
     dropped = lx.TITLE_STOPWORDS + lx.TITLE_FILLERS + lx.REMOTE_WORDS + lx.LOCATION_WORDS
     tokens = F.filter(F.split(out, r"\s+"), lambda t: (t != "") & ~t.isin(dropped))
     synonyms = literal_map(lx.TITLE_SYNONYMS)
@@ -32,21 +38,26 @@ def normalize_title(c: Column) -> Column:
 
 
 def _first_bucket(text: Column, table: list[tuple[str, list[str]]]) -> Column:
-    out = F.lit("_any")
-    for name, words in reversed(table):
-        pattern = r"(?i)(?:^|[^\w])(?:" + "|".join(escape(w) for w in words) + r")(?:[^\w]|$)"
-        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
-    return out
+    """Bucket, in table order, of the words found by one pass over the text."""
+    rank: dict[str, int] = {}
+    for i, (_, words) in enumerate(table):
+        for w in words:
+            rank.setdefault(w, i)
+    pattern = r"(?<!\w)(" + "|".join(escape(w) for w in longest_first(rank)) + r")(?!\w)"
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    best = F.array_min(F.transform(hits, lambda h: literal_map(rank)[h]))
+    names = F.array(*[F.lit(name) for name, _ in table])
+    return F.coalesce(F.get(names, best), F.lit("_any"))
 
 
 def seniority(c: Column) -> Column:
     """First seniority bucket, in table order, with a matching word."""
-    return _first_bucket(F.lower(F.coalesce(c, F.lit(""))), lx.SENIORITY_TABLE)
+    return _first_bucket(squeeze(F.lower(F.coalesce(c, F.lit("")))), lx.SENIORITY_TABLE)
 
 
 def industry(c: Column) -> Column:
     """Exact code, else the first code, in table order, with a matching word."""
-    text = F.lower(F.coalesce(c, F.lit("")))
+    text = squeeze(F.lower(F.coalesce(c, F.lit(""))))
     codes = [name for name, _ in lx.INDUSTRY_TABLE]
     return F.when(text.isin(codes), text).otherwise(_first_bucket(text, lx.INDUSTRY_TABLE))
 

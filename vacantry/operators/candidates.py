@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vacantry import lexicon as lx
 from vacantry.functions.staging import computed_once
 from vacantry.functions.text import any_phrase, literal_map, squeeze
-from vacantry.operators.languages import languages_in
+from vacantry.operators.languages import languages_between
 
 # fixed values: headings
 SKILL_HEADING = (r"(?i)^(skills|key skills|technical skills|competencies|expertise|technologies|"
@@ -100,7 +100,7 @@ def languages(resumes: DataFrame) -> DataFrame:
     named = F.filter(
         F.transform("_rows", lambda x: F.struct(
             x["line"].alias("line"), x["section"].alias("section"),
-            languages_in(x["line"], TERM_BEFORE, TERM_AFTER).alias("langs"),
+            languages_between(x["line"], TERM_BEFORE, TERM_AFTER).alias("langs"),
             level(x["line"]).alias("level"))),
         lambda x: (F.size(x["langs"]) > 0) & ~x["line"].rlike(LANGUAGE_HEADING))
     ok = F.filter(named, lambda x: x["level"].isNotNull() | (

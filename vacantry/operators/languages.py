@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantry import lexicon as lx
 from vacantry.functions.staging import computed_once
-from vacantry.functions.text import WORD_EDGE_AFTER, WORD_EDGE_BEFORE, any_phrase, clauses, literal_map
+from vacantry.functions.text import any_phrase, clauses, literal_map
 
 
 def _alias_index(with_names: bool) -> dict[str, int]:
@@ -18,14 +18,31 @@ def _alias_index(with_names: bool) -> dict[str, int]:
     return out
 
 
-def languages_in(text: Column, before: str = WORD_EDGE_BEFORE, after: str = WORD_EDGE_AFTER) -> Column:
-    """Languages named in a text, in dictionary order; one pass over the text."""
+def languages_in(text: Column) -> Column:
+    """Languages named in a text, in dictionary order.
+
+    Every alias is one word, so the text's words are looked up in a hash set; no pattern
+    with an alternative per alias runs over the text.
+    """
     index = _alias_index(with_names=True)
-    hits = F.regexp_extract_all(text, F.lit(any_phrase(index, before, after)), F.lit(1))
-    places = F.array_sort(F.array_distinct(
-        F.transform(hits, lambda h: literal_map(index)[F.lower(h)])))
+    aliases = F.array(*[F.lit(a) for a in index])
+    tokens = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    hits = F.array_intersect(tokens, aliases)
+    places = F.array_sort(F.array_distinct(F.transform(hits, lambda h: literal_map(index)[h])))
     names = F.array(*[F.lit(n) for n in lx.LANGUAGES])
-    return F.transform(F.filter(places, lambda p: p.isNotNull()), lambda p: F.get(names, p))
+    return F.transform(places, lambda p: F.get(names, p))
+
+
+def languages_between(text: Column, before: str, after: str) -> Column:
+    """Languages named with the given edges; patterns run only where a word was found."""
+    index = _alias_index(with_names=True)
+
+    def edged(name):
+        aliases = [a for a, i in index.items() if list(lx.LANGUAGES)[i] == name]
+        return any_phrase(aliases, before, after)
+
+    patterns = F.create_map(*[x for n in lx.LANGUAGES for x in (F.lit(n), F.lit(edged(n)))])
+    return F.filter(languages_in(text), lambda n: F.rlike(text, patterns[n]))
 
 
 def sentence_requirements(df: DataFrame, text: str) -> DataFrame:

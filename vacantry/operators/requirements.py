@@ -16,7 +16,7 @@ from vacantry.functions.keys import multiset_digest
 from vacantry.functions.staging import computed_once
 from vacantry.functions.text import (TERM_EDGE_AFTER, TERM_EDGE_BEFORE, any_phrase, first_non_blank,
                                      is_blank, literal_map, sentences, slug, squeeze)
-from vacantry.operators.languages import languages_in
+from vacantry.operators.languages import languages_between
 from vacantry.operators.roles import TitleFamily, title_excluded
 
 
@@ -93,7 +93,7 @@ def stated_criteria(text: Column, vocabulary: Vocabulary) -> Column:
     language or authorization.  Nice-to-have sentences never count.
     """
     def edge_languages(s):
-        return languages_in(s, TERM_EDGE_BEFORE, TERM_EDGE_AFTER)
+        return languages_between(s, TERM_EDGE_BEFORE, TERM_EDGE_AFTER)
 
     numbered = F.transform(sentences(text), lambda s, i: F.struct(i.alias("i"), s.alias("s")))
     firm = F.filter(numbered, lambda x: ~x["s"].rlike(lx.NICE_PATTERN))

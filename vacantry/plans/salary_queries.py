@@ -180,7 +180,7 @@ LEVEL = words("l_orderkey", "senior", "lead", "_any", "principal", "junior", "vp
 
 
 @query("normalized_titles",
-       f"SELECT l_orderkey, l_partkey, l_suppkey, {words('l_orderkey', *HEAD_OUT)} || {words('l_partkey', *BASE_OUT)} || {words('l_suppkey', *TAIL_OUT)} AS title, "
+       f"SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN l_orderkey % 7 = 1 AND l_partkey % 6 = 2 THEN 'lead_' ELSE {words('l_orderkey', *HEAD_OUT)} END || {words('l_partkey', *BASE_OUT)} || {words('l_suppkey', *TAIL_OUT)} AS title, "
        f"{LEVEL} AS seniority FROM lineitem")
 def _(t):
     rows = t.table("lineitem").selectExpr("l_orderkey", "l_partkey", "l_suppkey", f"{RAW_TITLE} AS raw")
