@@ -46,8 +46,8 @@ PAY_PATTERNS = [
     PayPattern(rf"(?i)£([\d,'.]+)\s*{DASH}\s*£([\d,'.]+){YEARLY}", 1, 2, "GBP"),
     PayPattern(
         r"(?i)(?<!£[\d,'.]{1,7}\s{0,2}[-–—]\s{0,2})"
-        r"£(?!0*\d{1,2}(?:\.\d{0,2})?(?![\d,'.]))(?!0*100(?:\.0{0,2})?(?![\d,'.]))"
-        r"([\d,'.]+)(?=\s*[.;,!?\s]|$)(?![\s\d,'.]{0,20}(?:[-–—]|to))", 1, 0, "GBP"),
+        r"£([\d,'.]+)(?=\s*[.;,!?\s]|$)(?<!£0{0,9}\d{1,2}(?:\.(?:\d{0,2}|\d{4,8}))?)(?<!£0{0,9}100(?:\.0{0,2})?)"
+        r"(?![\s\d,'.]{0,20}(?:[-–—]|to))", 1, 0, "GBP"),
     PayPattern(r"(?i)£([\d,'.]+)(?:\s*/day)", 1, 0, "GBP", period="day"),
     PayPattern(rf"(?i)CHF\s+([\d'.]+)\s*{DASH}\s*([\d'.]+){YEARLY}", 1, 2, "CHF"),
     PayPattern(r"(?i)AED\s+([\d,]+)(?:\s*/\s*(month|year|week|day|hour))?(?:\s+[a-z]+)?", 1, 0,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantry.functions.clock import as_timestamp, posting_age
-from vacantry.functions.fields import role_report
+from vacantry.functions.fields import role_label
 from vacantry.functions.keys import number_text
 from vacantry.operators import aggregates as agg
 from vacantry.operators.selection import (JOB, apply_queue, first_per_key, latest_observation,
@@ -126,8 +126,9 @@ def digest(postings: DataFrame, matches: DataFrame, events: DataFrame, since: st
     Kinds are new_job, new_hit and stage_change; backfilled stage events are left out.
     """
     mark = F.lit(since).cast("timestamp")
-    facts = postings.select(*JOB, role_report(
-        F.col("role_label"), F.col("role_reason"), F.col("description_text")).alias("r"))
+    full = F.length(F.trim(F.coalesce("description_text", F.lit("")))) > 0
+    facts = postings.select(*JOB, role_label(F.col("role_label")).alias("role_label"),
+                            F.when(full, "full-JD").otherwise("provisional").alias("role_stage"))
     new_jobs = postings.filter(F.col("created_at") > mark).select(
         *JOB, F.lit("new_job").alias("kind"), F.col("created_at").alias("at"), F.col("title").alias("detail"))
     hits = matches.filter((F.col("created_at") > mark) & (F.col("fit_score") >= threshold)).select(
@@ -138,7 +139,7 @@ def digest(postings: DataFrame, matches: DataFrame, events: DataFrame, since: st
         F.col("job_source").alias("source"), "job_id", F.lit("stage_change").alias("kind"),
         F.col("occurred_at").alias("at"), F.col("stage").alias("detail"))
     return new_jobs.unionByName(hits).unionByName(changes).join(facts, JOB).select(
-        "kind", *JOB, "at", "detail", "r.role_label", F.col("r.stage").alias("role_stage"))
+        "kind", *JOB, "at", "detail", "role_label", "role_stage")
 
 
 def digest_audit(rows: DataFrame) -> DataFrame:
