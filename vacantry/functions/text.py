@@ -91,9 +91,13 @@ def _accent_table() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _accent_table()
 
 
+# combining marks have no counterpart, so translate drops them
+_MARKS = "".join(chr(cp) for cp in range(0x0300, 0x0370))
+
+
 def strip_accents(c: Column) -> Column:
     """Latin letters without their accents (composed or combining)."""
-    return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), r"[̀-ͯ]", "")
+    return F.translate(c, _ACCENTED + _MARKS, _PLAIN)
 
 
 def strip_html(c: Column) -> Column:

@@ -204,7 +204,7 @@ def _(t):
 
 @query("criterion_evidence",
        "SELECT doc_id, evidence FROM (SELECT doc_id, CASE s WHEN 0 THEN 'cache:skills:kafka' WHEN 1 THEN 'cv-span:6:Built Python services for ten ye' WHEN 2 THEN "
-       "'cv-span:42:or ten years. Also C++ and Scala.' END AS evidence FROM f UNION ALL SELECT doc_id, CASE WHEN g IN (0, 3) THEN 'cache:languages:German' END FROM f "
+       "'cv-span:42:for ten years. Also C++ and Scala.' END AS evidence FROM f UNION ALL SELECT doc_id, CASE WHEN g IN (0, 3) THEN 'cache:languages:German' END FROM f "
        "UNION ALL SELECT doc_id, CASE WHEN p = 1 AND c = 0 THEN 'cache:workAuthorization:GB=yes' END FROM f) u WHERE evidence IS NOT NULL", f=FACTS)
 def _(t):
     scored = R.score(described(t), CANDIDATE, VOCABULARY, "demo")
