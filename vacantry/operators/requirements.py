@@ -86,8 +86,16 @@ def _topics(s: Column) -> Column:
     return F.filter(short, lambda t: (F.length(t) > 2) & (F.length(t) < 50))
 
 
-def stated_criteria(text: Column, vocabulary: Vocabulary) -> Column:
-    """Array of every criterion in sentence order, repeats included.
+# every mandatory, authorization and language wording starts with one of these; one pass
+# tells which sentences need the full patterns
+TRIGGER = (
+    r"(?i)\b(?:requir|must|essential|strong|significant|deep|proven|demonstrated|hands-on|expertise|"
+    r"proficien|solid|you will|experience with|work |visa|sponsorship|no sponsorship|without|citizen|"
+    r"security clearance|eligible|fluen|mandatory)")
+
+
+def stated_criteria(listed: Column, vocabulary: Vocabulary) -> Column:
+    """Array of every criterion in an array of sentences, in order, repeats included.
 
     Each is (sentence, kind, language, terms, quote, no_sponsorship) with kind skill,
     language or authorization.  Nice-to-have sentences never count.
@@ -95,8 +103,9 @@ def stated_criteria(text: Column, vocabulary: Vocabulary) -> Column:
     def edge_languages(s):
         return languages_between(s, TERM_EDGE_BEFORE, TERM_EDGE_AFTER)
 
-    numbered = F.transform(sentences(text), lambda s, i: F.struct(i.alias("i"), s.alias("s")))
-    firm = F.filter(numbered, lambda x: ~x["s"].rlike(lx.NICE_PATTERN))
+    numbered = F.transform(listed, lambda s, i: F.struct(i.alias("i"), s.alias("s")))
+    asking = F.filter(numbered, lambda x: x["s"].rlike(TRIGGER))
+    firm = F.filter(asking, lambda x: ~x["s"].rlike(lx.NICE_PATTERN))
     flags = F.transform(firm, lambda x: F.struct(
         x["i"].alias("i"), x["s"].alias("s"),
         x["s"].rlike(lx.MANDATORY_PATTERN).alias("must"),
@@ -147,7 +156,11 @@ def mandatory_criteria(df: DataFrame, text: Column, vocabulary: Vocabulary,
 
     The stated criteria are a column of their own so that they are extracted once.
     """
-    staged = df.withColumn("_stated", stated_criteria(text, vocabulary)).withColumn(
+    return _with_criteria(df.withColumn("_sentences", sentences(text)), vocabulary, out).drop("_sentences")
+
+
+def _with_criteria(df: DataFrame, vocabulary: Vocabulary, out: str) -> DataFrame:
+    staged = df.withColumn("_stated", stated_criteria(F.col("_sentences"), vocabulary)).withColumn(
         out, _first_distinct(F.col("_stated"), lx.MAX_CRITERIA)).drop("_stated")
     return computed_once(staged)
 
@@ -158,9 +171,9 @@ def _first_distinct(items: Column, size: int) -> Column:
     return F.transform(keys, lambda k: F.get(F.filter(items, lambda c: c["key"] == k), F.lit(0)))
 
 
-def preferred_items(text: Column, vocabulary: Vocabulary) -> Column:
-    """Vocabulary terms of nice-to-have sentences, first seen, at most 8."""
-    nice = F.filter(sentences(text), lambda s: s.rlike(lx.NICE_PATTERN))
+def preferred_items(listed: Column, vocabulary: Vocabulary) -> Column:
+    """Vocabulary terms of the nice-to-have ones among some sentences, first seen, at most 8."""
+    nice = F.filter(listed, lambda s: s.rlike(lx.NICE_PATTERN))
     terms = F.flatten(F.transform(nice, lambda s: recognized_terms(s, vocabulary)))
     return F.slice(F.array_distinct(terms), 1, lx.MAX_PREFERRED)
 
@@ -278,9 +291,9 @@ def score(postings: DataFrame, candidate: Candidate, vocabulary: Vocabulary,
     reason = F.col("role_reason.summary") if "role_reason" in postings.columns else F.col("role_label")
     text = job_text(F.lit(None).cast("string"), F.col("description_text"))
     rows = (
-        mandatory_criteria(postings, text, vocabulary, "_criteria")
+        _with_criteria(postings.withColumn("_sentences", sentences(text)), vocabulary, "_criteria")
         .withColumn("criteria", evaluate(F.col("_criteria"), country, candidate, vocabulary))
-        .withColumn("_preferred", preferred_items(text, vocabulary))
+        .withColumn("_preferred", preferred_items(F.col("_sentences"), vocabulary))
         .withColumn("_lang_blockers", criterion_blockers(F.col("criteria"), country, candidate))
         .withColumn("blockers", F.concat(
             F.col("_lang_blockers"),

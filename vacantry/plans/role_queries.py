@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vacantry.functions.text import sentences
 from vacantry.operators import languages as L
 from vacantry.operators import requirements as R
 from vacantry.operators import roles as C
@@ -177,7 +178,7 @@ def _(t):
 @query("preferred_items", "SELECT doc_id, CASE WHEN s = 3 THEN 'kafka' ELSE '' END AS items FROM f", f=FACTS)
 def _(t):
     return described(t).select("doc_id", F.array_join(
-        R.preferred_items(F.col("description_text"), VOCABULARY), ",").alias("items"))
+        R.preferred_items(sentences(F.col("description_text")), VOCABULARY), ",").alias("items"))
 
 
 SCORED = ("SELECT *, CAST(terms IS NOT NULL AS INT) + CASE g WHEN 0 THEN 1 WHEN 3 THEN 2 ELSE 0 END + CAST(p < 2 AS INT) AS total, "
