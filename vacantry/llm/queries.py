@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantry.llm import rules
+from vacantry.llm import rules, shingle_join
+from vacantry.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +31,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (rules.judge(docs.select("doc_id", "text"), learned, drop=("text",))
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                     "kept", "rule"))
+
+
+@query
+def op4_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's shingle set and the smallest id it is linked with."""
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
