@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantry.llm import rules, shingle_join
+from vacantry.llm import decontaminate, rules, shingle_join
 from vacantry.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's shingle set and the smallest id it is linked with."""
     return shingle_join.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), drop=("text",))
