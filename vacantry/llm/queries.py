@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantry.llm import decontaminate, rules, shingle_join
+from vacantry.llm import decontaminate, pii, rules, shingle_join
 from vacantry.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), drop=("text",))
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base matches and what the span classifier adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(docs, pii.train_spans(docs))
