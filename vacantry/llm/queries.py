@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantry.llm import decontaminate, pii, rules, shingle_join
+from vacantry.llm import decontaminate, packing, pii, rules, shingle_join
 from vacantry.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base matches and what the span classifier adds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest(docs, pii.train_spans(docs))
+
+
+def byte_vocabulary() -> dict[str, str]:
+    """Path and split pattern of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of at most 2048 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.packed(docs, Scratch(spark, "op7"), **byte_vocabulary())
