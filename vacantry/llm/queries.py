@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantry.llm import decontaminate, packing, pii, rules, shingle_join
+from vacantry.llm import (archive, decontaminate, gam, langid, packing, pii, rules, shingle_join,
+                          token_counts)
 from vacantry.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +66,47 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of at most 2048 tokens."""
     docs = table(spark, sf_dir, "documents")
     return packing.packed(docs, Scratch(spark, "op7"), **byte_vocabulary())
+
+
+@query
+def op1_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels outside the held-out fifth."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = gam.held_out(5, 0)
+    model = gam.train(docs, labels, where=~held)
+    out = gam.scored(docs.select("doc_id", "text"), model, drop=("text",))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those outside the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    held = gam.held_out(3, 1)
+    out = langid.predicted(docs, langid.train(docs, where=~held))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, written to a content-addressed archive and read back."""
+    records = archive.read(archive.write(table(spark, sf_dir, "pages"), Scratch(spark, "op3")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op3_archive"] = """
+    WITH r AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+    s AS (SELECT page_id, octet_length(encode(p)) AS n, sha1(encode(p)) AS d,
+                 max(page_id) OVER (PARTITION BY p) AS top FROM r)
+    SELECT page_id, n AS payload_bytes, d AS payload_digest,
+           CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+    FROM s"""
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token count and best score of every document."""
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
