@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantry.llm import (archive, decontaminate, gam, langid, packing, pii, rules, shingle_join,
+from vacantry.llm import (archive, decontaminate, gam, langid, packing, pii, repeats, rules, shingle_join,
                           token_counts)
 from vacantry.llm.scratch import Scratch
 
@@ -110,3 +110,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that strings of 400 bytes repeated anywhere cover, removed from every document."""
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
