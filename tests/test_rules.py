@@ -80,10 +80,15 @@ def test_whole_sentence_when_nothing_is_recognized(spark):
     assert [(c.kind, c.terms) for c in got] == [("skill", ["a driving licence is required"])]
 
 
-def test_repeats_count_once_and_twelve_is_the_cap(spark):
-    text = " ".join(f"Must have knowledge of topic{i}." for i in range(15)) + " Must have knowledge of topic0."
-    got = criteria(spark, text)
-    assert [c.terms[0] for c in got] == [f"topic{i}" for i in range(12)]
+def test_repeats_count_once_and_limits_are_asked_for(spark):
+    text = " ".join(f"Must have knowledge of topic{i}." for i in range(40)) + " Must have knowledge of topic0."
+    assert [c.terms[0] for c in criteria(spark, text)] == [f"topic{i}" for i in range(40)]
+    df = spark.createDataFrame([("s", "1", "Cook", text, "GB", "Primary role")],
+                               "source string, job_id string, title string, description_text string, country_code string, role_label string")
+    first = one(R.mandatory_criteria(df, F.col("description_text"), VOCAB, limits=R.STATED)).criteria
+    assert [c.terms[0] for c in first] == [f"topic{i}" for i in range(12)]
+    assert one(R.score(df, R.Candidate(), VOCAB)).must_total == 40
+    assert one(R.score(df, R.Candidate(), VOCAB, limits=R.STATED)).must_total == 12
 
 
 def test_nice_to_have_is_never_mandatory(spark):
@@ -181,6 +186,43 @@ def test_job_posting_is_found_depth_first(spark):
     assert one(df.select(F.try_variant_get("p", "$.title", "string").alias("t"))).t == "deep"
 
 
+def test_job_posting_is_found_at_any_depth(spark):
+    block = '{"@type":"JobPosting","title":"below"}'
+    for _ in range(40):
+        block = '{"@type":"List","items":[1,{"item":%s}]}' % block
+    html = f'<script type="application/ld+json">{block}</script><script type="application/ld+json">{{"@type":"JobPosting","title":"second"}}</script>'
+    df = spark.createDataFrame([(html,), ("no blocks",)], "h string").withColumn("p", H.find_job_posting(H.json_ld(F.col("h"))))
+    assert [r.t for r in df.select(F.try_variant_get("p", "$.title", "string").alias("t")).collect()] == ["below", None]
+
+
+def test_unknown_benchmark_sources_keep_their_row(spark):
+    from vacantry.operators.extractors import extract_benchmarks
+
+    pages = spark.createDataFrame([("x", "nowhere", "<p>1</p>", "t"), ("y", None, None, "t")], "id string, data_source string, html string, title string")
+    got = extract_benchmarks(pages).collect()
+    assert len(got) == 2 and all(r.amount_min is None for r in got)
+
+
+def test_work_folder_needs_a_shared_place_on_a_cluster():
+    from vacantry.session import work_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "yarn"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_dir(Session(), "x")
+
+
 def test_percentiles_stop_at_the_next_table(spark):
     def table(rows):
         return "<table>" + "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in rows) + "</table>"

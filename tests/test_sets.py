@@ -68,13 +68,41 @@ def test_rate_usage(spark):
         assert got[i] == sum(1 for r in rows if r[1] == source and at - dt.timedelta(seconds=300) <= r[4] <= at)
 
 
-def test_breaker_stream_equals_batch(spark, tmp_path):
-    rows = make_log(500, seed=9)
-    for n in range(5):
-        spark.createDataFrame(rows[n * 100:(n + 1) * 100], LOG).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{n}"))
+@pytest.mark.parametrize("files,order", [(1, 1), (2, 1), (2, -1), (4, -1)])
+def test_breaker_stream_equals_batch(spark, tmp_path, files, order):
+    rows = make_log(240, seed=9) + [(900 + i, None, "k", "blocked", T0 + dt.timedelta(seconds=i)) for i in range(3)]
+    size = -(-len(rows) // files)
+    for n in list(range(files))[::order]:  # files arrive in this order
+        spark.createDataFrame(rows[n * size:(n + 1) * size], LOG).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{n}"))
     stream = read_files(spark, str(tmp_path / "in" / "*"), LOG, files_per_batch=1)
-    got = jobs.breaker_runs(stream, str(tmp_path / "work"))
-    assert {r.id: r.run for r in got.collect()} == brute_runs(rows)
+    got = jobs.breaker_runs(stream, str(tmp_path / "work")).collect()
+    assert len(got) == len(rows) and {r.id: r.run for r in got} == brute_runs(rows)
+    assert all(r.at_threshold == (r.run >= lx.BREAKER_THRESHOLD) for r in got)
+
+
+def test_logs_keep_rows_without_keys(spark):
+    rows = [(1, None, "k", "blocked", T0), (2, None, "k", "blocked", None), (3, "a", None, "healthy", T0), (4, None, None, "blocked", T0)]
+    df = spark.createDataFrame(rows, LOG)
+    assert L.breaker(df).count() == L.breaker(df, strict=True).count() == L.rate_usage(df, 60, 1).count() == 4
+    assert {r.id: r.in_window for r in L.rate_usage(df, 60, 1).collect()} == {1: 2, 2: None, 3: 1, 4: 2}
+    pages = spark.createDataFrame([(i, None, 0, None) for i in range(3)], "id bigint, query string, new_ids int, at timestamp")
+    assert L.paging_stop(pages, 2).count() == 2
+
+
+def test_last_row_of_a_key_counts(spark):
+    old = spark.createDataFrame([("s", "1", 1)], "source string, job_id string, v int")
+    new = spark.createDataFrame([("s", "1", 5), ("s", "1", 7), ("s", "2", 3), (None, "2", 4), (None, "2", 9)], old.schema)
+    got = sorted(map(str, store.upsert(old, new, ["source", "job_id"], F.col("v")).select("source", "job_id", "v").collect()))
+    assert got == sorted(str(r) for r in spark.createDataFrame([("s", "1", 7), ("s", "2", 3), (None, "2", 4), (None, "2", 9)], old.schema).collect())
+
+
+def test_predicates_pass_staged_columns(spark):
+    from vacantry.functions.staging import computed_once
+
+    df = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    out = computed_once(df.withColumn("x", F.upper("p_name")), df.columns).filter("p_partkey = 7 AND x <> ''")
+    assert out.columns == [*df.columns, "x"]
+    assert "EqualTo(p_partkey,7)" in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_digest_stream_returns_only_news(spark, tmp_path):
@@ -107,15 +135,31 @@ def test_exact_median(spark, width):
     assert {r.k: (r.samples, r.median) for r in got.collect()} == {k: (len(v), statistics.median(v)) for k, v in want.items()}
 
 
-def test_many_categories_travel_in_groups(spark, monkeypatch):
+def test_categories_travel_in_chunks(spark, monkeypatch):
     rnd = random.Random(2)
     vectors = spark.createDataFrame([(i, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(60)], "id bigint, embedding array<float>")
-    means = spark.createDataFrame([(f"c{i}", i % 2 == 0, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(20)],
-                                  "category string, eligible boolean, mean array<double>")
-    cols = ["id", "predicted_category", "is_eligible"]
-    whole = sorted(map(tuple, V.classify(vectors, means, 0.5, 0.1).select(*cols).collect()))
-    monkeypatch.setattr(V, "CATEGORIES_PER_PASS", 6)
-    assert sorted(map(tuple, V.classify(vectors, means, 0.5, 0.1).select(*cols).collect())) == whole
+    vectors = vectors.union(vectors.limit(3)).union(spark.createDataFrame(
+        [(100, None), (101, []), (102, [1.0]), (103, [float("nan"), 1.0, 0.0, 0.0]), (104, [0.0] * 4), (105, [float("inf")] * 4)], vectors.schema))
+    means = spark.createDataFrame([(f"c{i:02d}", i % 2 == 0, 20 - i, [rnd.uniform(-1, 1) for _ in range(4)]) for i in range(20)]
+                                  + [("same", True, 0, [1.0, 0.0, 0.0, 0.0]), ("zz", True, 99, [1.0, 0.0, 0.0, 0.0]), ("bad", True, 1, [0.0] * 4)],
+                                  "category string, eligible boolean, ordinal int, mean array<double>")
+    cols = ["id", "predicted_category", "is_eligible", "reason"]
+
+    def got(m, chunks=1):
+        return sorted(map(str, V.classify(vectors, m, 0.5, 0.1, 4, chunks).select(*cols).collect()))
+
+    whole = got(means)
+    assert len(whole) == 69 and got(means, 2) == whole == got(means, 5)
+    reasons = {r.id: r.reason for r in V.classify(vectors, means, 0.5, 0.1, 4).where("id >= 100").collect()}
+    assert reasons == {100: "null", 101: "empty", 102: "dimension", 103: "not_finite", 104: "zero", 105: "not_finite"}
+    assert all("predicted_category=None" in r for r in got(means.where("false"))) and len(got(means.where("false"))) == 69
+    one = spark.createDataFrame([(1, [2.0, 0.0, 0.0, 0.0])], vectors.schema)
+    assert V.classify(one, means, 0.5, 0.0, 4).first().predicted_category == "same"
+    monkeypatch.setattr(V, "CHUNK_BYTES", 400)
+    with pytest.raises(Exception, match="ask for more chunks"):
+        V.classify(vectors, means, 0.5, 0.1, 4).collect()
+    mixed = vectors.withColumn("category", F.lit("a"))
+    assert V.mean_vectors(mixed, 4).first().n == 63
 
 
 OBS = ("job_source string, job_id string, observation_id string, confidence_label string, is_posted boolean, is_predicted boolean, "

@@ -176,8 +176,11 @@ def company_of_url(url: Column) -> Column:
     return F.coalesce(title_case(squeeze(words)), F.lit(""))
 
 
-def company_of_title(page_title: Column, job_title: Column) -> Column:
-    """Last segment of a page title without the job title; job-board names give empty."""
+def company_of_title(page_title: Column, job_title: Column, size: int | None = None) -> Column:
+    """Last segment of a page title without the job title; job-board names give empty.
+
+    The name is whole unless a ``size`` in characters is given.
+    """
     pos = F.position(F.lower(job_title), F.lower(page_title))
     n = F.length(job_title)
     cut = F.when(
@@ -188,7 +191,7 @@ def company_of_title(page_title: Column, job_title: Column) -> Column:
                      lambda s: s != "")
     last = F.when(F.size(parts) > 0, F.element_at(parts, -1))
     board = last.rlike("(?i)job|career|greenhouse|lever|workday|smartrecruiters|ashby")
-    return F.coalesce(F.when(~board, F.substring(last, 1, 120)), F.lit(""))
+    return F.coalesce(F.when(~board, last if size is None else F.substring(last, 1, size)), F.lit(""))
 
 
 PLACE_PATTERN = (

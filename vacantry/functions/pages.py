@@ -54,12 +54,24 @@ def _children(v: Column) -> Column:
         none)
 
 
-def _walk(nodes: Column, depth: int) -> Column:
-    """Nodes and their descendants down to ``depth``, parents before children."""
-    if depth == 0:
-        return nodes
-    return F.flatten(F.transform(
-        nodes, lambda n: F.concat(F.array(n), _walk(_children(n), depth - 1))))
+JSON_DEPTH = 1000  # the JSON parser takes no deeper text
+
+
+def _walk(nodes: Column) -> Column:
+    """Nodes and all their descendants, parents before children.
+
+    Every round puts the children of the nodes found last behind them, until no node has any.
+    """
+    def opened(items: Column, is_open: bool) -> Column:
+        return F.transform(items, lambda v: F.struct(v.alias("v"), F.lit(is_open).alias("open")))
+
+    def grow(found: Column, _: Column) -> Column:
+        more = F.flatten(F.transform(found, lambda n: F.when(
+            n["open"], F.concat(opened(F.array(n["v"]), False), opened(_children(n["v"]), True))).otherwise(F.array(n))))
+        return F.when(F.exists(found, lambda n: n["open"]), more).otherwise(found)
+
+    rounds = F.sequence(F.lit(1), F.lit(JSON_DEPTH))
+    return F.aggregate(rounds, opened(nodes, True), grow, lambda found: F.transform(found, lambda n: n["v"]))
 
 
 def type_text(v: Column) -> Column:
@@ -67,10 +79,10 @@ def type_text(v: Column) -> Column:
     return F.coalesce(F.array_join(many, " "), F.try_variant_get(v, "$['@type']", "string"))
 
 
-def find_job_posting(blocks: Column, depth: int = 3) -> Column:
-    """First JSON-LD object typed JobPosting, searching depth first."""
-    found = F.filter(_walk(blocks, depth), lambda v: type_text(v).rlike("(?i)JobPosting"))
-    return F.get(found, F.lit(0))
+def find_job_posting(blocks: Column) -> Column:
+    """First JSON-LD object typed JobPosting at any depth, searching depth first."""
+    found = F.filter(_walk(blocks), lambda v: type_text(v).rlike("(?i)JobPosting"))
+    return F.when(F.size(blocks) > 0, F.get(found, F.lit(0)))
 
 
 def is_result_page(text: Column) -> Column:
@@ -225,7 +237,7 @@ def with_job_description(df: DataFrame, text: str, out: str = "job_description")
     found = F.when(F.length("_clean") > 100, F.col("_clean")).otherwise(
         description_by_markers(F.col(text)))
     return computed_once(staged.withColumn(out, F.when(F.length(text) >= 100, found)).drop(
-        "_lines", "_marks", "_body", "_start", "_about", "_end", "_clean"))
+        "_lines", "_marks", "_body", "_start", "_about", "_end", "_clean"), [c for c in df.columns if c != out])
 
 
 def clean_description(c: Column) -> Column:

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def computed_once(df: DataFrame) -> DataFrame:
+def computed_once(df: DataFrame, given: Iterable[str] = ()) -> DataFrame:
     """The same rows, with all columns fixed before anything that reads them.
 
     A filter on a column built in several stages is pushed below the stages by writing
     the whole chain into the predicate, once per reference.  Passing each row through a
     one-element generator keeps such predicates above the chain; unused columns are
-    still pruned.
+    still pruned.  Columns in ``given`` came in as they are and pass beside the
+    generator, so that predicates on them still reach the scan.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.select(F.explode_outer(F.array(row)).alias("_row")).select("_row.*")
+    beside = set(given)
+    made = [F.col(f"`{c}`") for c in df.columns if c not in beside]
+    if not made:
+        return df
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns if c in beside],
+                     F.explode_outer(F.array(F.struct(*made))).alias("_made"))
+    return rows.select(*[F.col(f"`{c}`") if c in beside else F.col(f"_made.`{c}`").alias(c) for c in df.columns])

@@ -215,3 +215,13 @@ def clauses(c: Column) -> Column:
 def half_up(c: Column) -> Column:
     """Round half toward +infinity, as a long."""
     return F.floor(c + F.lit(0.5)).cast("bigint")
+
+
+def cut(c: Column, size: int | None) -> Column:
+    """The first ``size`` characters; all of them without a size."""
+    return c if size is None else F.substring(c, 1, size)
+
+
+def first_items(items: Column, size: int | None) -> Column:
+    """The first ``size`` items of an array; all of them without a size."""
+    return items if size is None else F.slice(items, 1, size)

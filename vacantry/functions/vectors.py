@@ -13,10 +13,16 @@ def dot(a: Column, b: Column) -> Column:
 
 def usable(v: Column, dims: int | None = None) -> Column:
     """True for a non-empty vector of finite numbers with a non-zero norm."""
+    size = F.coalesce(F.size(v), F.lit(0)) if dims is None else F.lit(dims)
+    return fault(v, size).isNull()
+
+
+def fault(v: Column, dims: int | Column) -> Column:
+    """Why a vector cannot be compared: null, empty, dimension, not_finite or zero; NULL if it can."""
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)
                       & (F.abs(x.cast("double")) != float("inf")))
-    ok = (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
-    return ok & (F.size(v) == dims) if dims else ok
+    return (F.when(v.isNull(), "null").when(F.size(v) == 0, "empty").when(F.size(v) != dims, "dimension")
+            .when(~finite, "not_finite").when(~F.exists(v, lambda x: x != 0), "zero"))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantry.functions import pages as H
 from vacantry.functions.fields import company_of_title, company_of_url
-from vacantry.functions.text import blank_to_null
+from vacantry.functions.text import blank_to_null, cut
 from vacantry.operators.selection import JOB
+from vacantry.operators.store import last_rows
 
 MIN_CHARS = 200
 
 
-def extract(rows: DataFrame, max_raw: int | None = None, max_text: int | None = None) -> DataFrame:
+def extract(rows: DataFrame, max_raw: int | None = None, max_text: int | None = None,
+            max_title: int | None = None, max_company: int | None = None) -> DataFrame:
     """Adds title, company, description and failure found in each row's page.
 
     ``rows`` has url, html, old_title, old_company, searched_keywords.  Whole pages and
@@ -26,7 +28,7 @@ def extract(rows: DataFrame, max_raw: int | None = None, max_text: int | None =
     staged = staged.withColumn("_page_title", F.coalesce(
         blank_to_null(H.page_title(html)), H.meta(html, "og:title")))
     staged = staged.withColumn("_text", H.page_description(posting, html))
-    text = F.substring("_text", 1, max_text) if max_text else F.col("_text")
+    text = cut(F.col("_text"), max_text)
     org = F.coalesce(F.try_variant_get(posting, "$.hiringOrganization.name", "string"),
                      F.when(F.schema_of_variant(F.try_variant_get(posting, "$.hiringOrganization", "variant"))
                             == "STRING", F.try_variant_get(posting, "$.hiringOrganization", "string")))
@@ -46,16 +48,20 @@ def extract(rows: DataFrame, max_raw: int | None = None, max_text: int | None =
     ok = chars >= MIN_CHARS
     return staged.select(
         *rows.columns,
-        F.when(ok, F.substring(title, 1, 300)).alias("new_title"),
-        F.when(ok, F.substring(company, 1, 200)).alias("new_company"),
-        F.when(ok, F.substring(html, 1, max_raw) if max_raw else html).alias("description_raw"),
+        F.when(ok, cut(title, max_title)).alias("new_title"),
+        F.when(ok, cut(company, max_company)).alias("new_company"),
+        F.when(ok, cut(html, max_raw)).alias("description_raw"),
         F.when(ok, text).alias("description_text"), ok.alias("ok"),
         F.when(~ok, F.concat(F.lit("backfill-failed: description too short ("), chars.cast("string"),
                              F.lit(" chars)"))).alias("failure"))
 
 
-def apply_backfill(postings: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Postings after a backfill; blank findings keep the old title and company."""
+def apply_backfill(postings: DataFrame, extracted: DataFrame, *order: Column) -> DataFrame:
+    """Postings after a backfill; blank findings keep the old title and company.
+
+    Of several findings for a posting the last by ``order`` counts.
+    """
+    extracted = last_rows(extracted, JOB, *order)
     new = extracted.select(*JOB, "new_title", "new_company", F.col("description_text").alias("_text"),
                            "ok", "failure")
     return postings.join(new, JOB, "left").withColumn(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantry import lexicon as lx
 from vacantry.functions.staging import computed_once
-from vacantry.functions.text import any_phrase, literal_map, squeeze
+from vacantry.functions.text import any_phrase, first_items, literal_map, squeeze
 from vacantry.operators.languages import languages_between
 
 # fixed values: headings
@@ -38,7 +38,7 @@ def _sectioned(df: DataFrame, lines: Column, kind) -> DataFrame:
         "_rows", F.transform("_lines", lambda s, i: F.struct(
             s.alias("line"), i.alias("i"),
             F.try_element_at(F.filter("_heads", lambda h: h["i"] <= i), F.lit(-1))["k"]
-            .alias("section")))).drop("_lines", "_heads"))
+            .alias("section")))).drop("_lines", "_heads"), df.columns)
 
 
 def skills(resumes: DataFrame, vocabulary) -> DataFrame:
@@ -114,8 +114,8 @@ def languages(resumes: DataFrame) -> DataFrame:
     )
 
 
-def titles(resumes: DataFrame) -> DataFrame:
-    """(resume_id, titles): at most 15 short lines that read as job titles."""
+def titles(resumes: DataFrame, limit: int | None = None) -> DataFrame:
+    """(resume_id, titles): short lines that read as job titles; all, or the first ``limit``."""
     def kind(s):
         return F.when(s.rlike(TITLE_HEADING), F.lower(F.regexp_extract(s, TITLE_HEADING, 1)))
 
@@ -136,4 +136,4 @@ def titles(resumes: DataFrame) -> DataFrame:
     keys = F.array_distinct(F.transform("_kept", F.lower))
     first = F.transform(keys, lambda k: F.get(F.filter("_kept", lambda t: F.lower(t) == k), F.lit(0)))
     return (_sectioned(resumes, lines, kind).withColumn("_kept", kept)
-            .select("resume_id", F.slice(first, 1, MAX_TITLES).alias("titles")))
+            .select("resume_id", first_items(first, limit).alias("titles")))

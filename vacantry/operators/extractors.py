@@ -89,7 +89,7 @@ def percentile_table(df: DataFrame, html: str = "html") -> DataFrame:
         else:
             money = F.regexp_extract(value(pattern), r"£\s?([\d,]+)", 1)
             out.append(plain_amount(F.when(money != "", money)).alias(name))
-    return computed_once(staged.select(*df.columns, *out, value(PERIOD_ROW, last=True).alias("period_label")))
+    return computed_once(staged.select(*df.columns, *out, value(PERIOD_ROW, last=True).alias("period_label")), df.columns)
 
 
 def _spread(df: DataFrame, amount: Column, confidence: float) -> DataFrame:
@@ -137,10 +137,14 @@ def range_page(df: DataFrame, html: str = "html") -> DataFrame:
         F.when(ok, 0.7).alias("confidence"))
 
 
-def guide_page(df: DataFrame, html: str = "html", title: str = "title") -> DataFrame:
+GUIDE_REACH = 5000
+
+
+def guide_page(df: DataFrame, html: str = "html", title: str = "title", reach: int = GUIDE_REACH) -> DataFrame:
     """Salary guide: distinct amounts near the first mention of a title word.
 
-    The 5000-character window starts 1200 before the mention; the lowest amount and the
+    The window of ``reach`` characters starts 1200 before the mention; that is the
+    rule's meaning of near, not a cut of the page.  The lowest amount and the
     fourth lowest (or the highest) bound the range.
     """
     text = _decode(F.col(html))
@@ -152,7 +156,7 @@ def guide_page(df: DataFrame, html: str = "html", title: str = "title") -> DataF
     staged = df.withColumn("_t", text).withColumn("_low", F.lower("_t"))
     at = F.array_min(F.filter(F.transform(tokens, lambda t: F.position(t, F.col("_low"))), lambda p: p > 0))
     start = F.greatest(F.coalesce(at, F.lit(1)) - 1200, F.lit(1))
-    raw = F.regexp_extract_all(F.col("_t").substr(start, F.lit(5000)),
+    raw = F.regexp_extract_all(F.col("_t").substr(start, F.lit(reach)),
                                F.lit(r"([0-9]{2,3}(?:,[0-9]{3})|[0-9]{5,6})"), F.lit(1))
     nums = F.array_sort(F.array_distinct(F.transform(
         F.filter(F.transform(raw, plain_amount), lambda n: n >= 20000), half_up)))
@@ -200,13 +204,22 @@ EXTRACTORS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+FIGURES = ("amount_min", "amount_max", "amount_median", "confidence")
+
+
 def extract_benchmarks(pages: DataFrame, html: str = "html", source: str = "data_source") -> DataFrame:
-    """Applies each source's extractor to its pages; unknown sources give no rows."""
-    out = None
-    for name, run in EXTRACTORS.items():
-        part = run(pages.filter(F.col(source) == name), html)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Applies each source's extractor to its pages; every page keeps its row.
+
+    One pass: an extractor sees the page only where the source is its own, and reads
+    nothing elsewhere.  Pages of unknown sources have NULL figures.
+    """
+    rows = pages
+    for i, (name, run) in enumerate(EXTRACTORS.items()):
+        rows = run(rows.withColumn(f"_page{i}", F.when(F.col(source) == name, F.col(html))), f"_page{i}")
+        rows = rows.withColumn(f"_figures{i}", F.struct(*FIGURES)).drop(f"_page{i}", *FIGURES)
+    own = [F.when(F.col(source) == name, F.col(f"_figures{i}")) for i, name in enumerate(EXTRACTORS)]
+    found = rows.withColumn("_figures", F.coalesce(*own))
+    return found.select(*pages.columns, *[F.col(f"_figures.{c}").alias(c) for c in FIGURES])
 
 
 def slug_benchmark(titles: DataFrame, figures: DataFrame) -> DataFrame:

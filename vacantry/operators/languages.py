@@ -45,6 +45,10 @@ def languages_between(text: Column, before: str, after: str) -> Column:
     return F.filter(languages_in(text), lambda n: F.rlike(text, patterns[n]))
 
 
+def _given(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in ("required", "nice")]
+
+
 def sentence_requirements(df: DataFrame, text: str) -> DataFrame:
     """Adds required and nice: the wording of the naming sentence decides.
 
@@ -67,7 +71,7 @@ def sentence_requirements(df: DataFrame, text: str) -> DataFrame:
 
     return computed_once(
         df.withColumn("_graded", graded).withColumn("required", of("required"))
-        .withColumn("nice", F.array_except(of("nice"), "required")).drop("_graded"))
+        .withColumn("nice", F.array_except(of("nice"), "required")).drop("_graded"), _given(df))
 
 
 def proximity_requirements(df: DataFrame, text: str) -> DataFrame:
@@ -86,7 +90,7 @@ def proximity_requirements(df: DataFrame, text: str) -> DataFrame:
     return computed_once(
         df.withColumn("_named", languages_in(body))
         .withColumn("required", listed(lx.PROXIMITY_REQUIRED))
-        .withColumn("nice", F.array_except(listed(lx.PROXIMITY_NICE), "required")).drop("_named"))
+        .withColumn("nice", F.array_except(listed(lx.PROXIMITY_NICE), "required")).drop("_named"), _given(df))
 
 
 def phrase_requirements(df: DataFrame, text: str) -> DataFrame:

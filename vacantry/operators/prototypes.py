@@ -2,64 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantry.functions.vectors import cosine
+from vacantry.functions.vectors import cosine, fault, usable
 
-CATEGORIES_PER_PASS = 1024
-SALTS = 64
+CHUNK_BYTES = 8 << 20
 
 
-def mean_vectors(vectors: DataFrame, category: str = "category", embedding: str = "embedding") -> DataFrame:
-    """(category, n, mean): mean vector per category, summed map-side by position."""
-    flat = vectors.select(category, F.posexplode(embedding).alias("pos", "x"))
-    means = flat.groupBy(category, "pos").agg(
-        F.avg(F.col("x").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "m")))
-    return means.groupBy(category).agg(
-        F.max("n").alias("n"), F.transform(ordered, lambda p: p["m"]).alias("mean"))
+def mean_vectors(vectors: DataFrame, dims: int, category: str = "category",
+                 embedding: str = "embedding") -> DataFrame:
+    """(category, n, mean): mean of each category's usable vectors of ``dims`` numbers.
 
+    One aggregate with a map-side part; vectors of other lengths, with non-finite numbers
+    or of zero norm do not count.
+    """
+    good = vectors.filter(usable(F.col(embedding), dims))
+    sums = [F.avg(F.get(F.col(embedding), F.lit(i)).cast("double")) for i in range(dims)]
+    return good.groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("mean"))
 
-def classify(vectors: DataFrame, means: DataFrame, threshold: float, margin: float,
-             embedding: str = "embedding") -> DataFrame:
-    """Adds category, is_eligible, best_eligible, best_other for each vector.
 
-    ``means`` has category, eligible, mean.  An eligible category must reach the
-    threshold and beat the best other one by the margin.  Categories travel in groups of
-    a fixed size, so what each vector meets stays small however many there are; the
-    groups' winners are then combined.
-    """
-    groups = max(1, -(-means.count() // CATEGORIES_PER_PASS))
-    grouped = means.groupBy(F.pmod(F.xxhash64("category"), F.lit(groups)).alias("_g")).agg(
-        F.collect_list(F.struct("category", "eligible", "mean")).alias("_means"))
-    keyed = vectors.withColumn("_id", F.xxhash64(*vectors.columns)).withColumn(
-        "_g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
-    if groups == 1:
-        # one row of at most CATEGORIES_PER_PASS means
-        scored = keyed.join(F.broadcast(grouped), "_g")
-    else:
-        salts = F.lit(SALTS).cast("bigint")
-        spread = grouped.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
-        scored = keyed.withColumn("_s", F.pmod("_id", salts)).join(spread, ["_g", "_s"]).drop("_s")
-    sims = F.transform("_means", lambda m: F.struct(
-        cosine(F.col(embedding), m["mean"]).alias("sim"), m["category"].alias("category"),
-        m["eligible"].alias("eligible")))
-    scored = scored.withColumn("_sims", sims)
+def _chunk(means: DataFrame, dims: int, chunks: int, k: int) -> DataFrame:
+    """One row with the k-th part of the prototypes, its size checked before it is sent out."""
+    most = CHUNK_BYTES // (8 * dims + 64)
+    part = means.filter(usable(F.col("mean"), dims) & (
+        F.pmod(F.xxhash64("category"), F.lit(chunks)) == k))
+    listed = F.collect_list(F.struct("category", "eligible", "ordinal", "mean"))
+    return part.groupBy(F.lit(k).alias("_k")).agg(
+        F.when(F.count(F.lit(1)) <= most, listed).otherwise(F.raise_error(F.lit(
+            f"more than {most} prototypes in one of {chunks} chunks; ask for more chunks"))).alias("_means"))
+
 
-    def best(test):
-        return F.array_max(F.transform(F.filter("_sims", test), lambda s: F.struct(
-            s["sim"].alias("sim"), s["category"].alias("category"))))
+def _best(sims: Column, eligible: bool) -> Column:
+    """Largest similarity; of equal ones the prototype declared first."""
+    return F.array_max(F.transform(
+        F.filter(sims, lambda s: s["sim"].isNotNull() & (s["eligible"] == eligible)),
+        lambda s: F.struct(s["sim"].alias("sim"), (-s["ordinal"]).alias("first"), s["category"].alias("category"))))
 
-    scored = scored.withColumn("_pos", best(lambda s: s["eligible"])).withColumn(
-        "_neg", best(lambda s: ~s["eligible"]))
-    if groups > 1:
-        scored = scored.groupBy(*vectors.columns, "_id").agg(
-            F.max("_pos").alias("_pos"), F.max("_neg").alias("_neg"))
+
+def classify(vectors: DataFrame, means: DataFrame, threshold: float, margin: float, dims: int,
+             chunks: int = 1, embedding: str = "embedding") -> DataFrame:
+    """Adds predicted_category, is_eligible, best_eligible, best_other and reason to each vector.
+
+    ``means`` has category, eligible, ordinal (the declared order), mean.  An eligible
+    category must reach the threshold and beat the best other one by the margin.
+    Prototypes travel in ``chunks`` broadcast rows of checked size, each met by a narrow
+    map that keeps the best so far, so every vector stays one row.  A vector that cannot
+    be compared keeps its row, without a category, and ``reason`` says why (null, empty,
+    dimension, not_finite, zero); without prototypes no vector gets a category.
+    """
+    taken = F.col(embedding)
+    best = "struct<sim:double,first:bigint,category:string>"
+    rows = vectors.withColumn("_fault", fault(taken, dims)).withColumn(
+        "_pos", F.lit(None).cast(best)).withColumn("_neg", F.lit(None).cast(best))
+    means = means.select("category", "eligible", F.col("ordinal").cast("bigint").alias("ordinal"), "mean")
+    for k in range(chunks):
+        key = (F.coalesce(F.size(taken), F.lit(0)) * 0 + k).alias("_k")
+        met = rows.select("*", key).join(F.broadcast(_chunk(means, dims, chunks, k)), "_k", "left")
+        sims = F.when(F.col("_fault").isNull(), F.transform("_means", lambda m: F.struct(
+            cosine(taken, m["mean"]).alias("sim"), m["category"].alias("category"),
+            m["eligible"].alias("eligible"), m["ordinal"].alias("ordinal"))))
+        met = met.withColumn("_sims", sims)
+        rows = met.select(*vectors.columns, "_fault", F.greatest("_pos", _best(F.col("_sims"), True)).alias("_pos"),
+                          F.greatest("_neg", _best(F.col("_sims"), False)).alias("_neg"))
     p, n = F.col("_pos.sim"), F.col("_neg.sim")
     ok = F.coalesce((p >= threshold) & (p - F.coalesce(n, F.lit(-1.0)) >= margin), F.lit(False))
-    return scored.select(
+    return rows.select(
         *vectors.columns,
         F.when(ok, F.col("_pos.category")).otherwise(
             F.coalesce("_neg.category", "_pos.category")).alias("predicted_category"),
-        ok.alias("is_eligible"), p.alias("best_eligible"), n.alias("best_other"))
+        ok.alias("is_eligible"), p.alias("best_eligible"), n.alias("best_other"), F.col("_fault").alias("reason"))

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from vacantry import lexicon as lx
 from vacantry.functions.keys import multiset_digest
 from vacantry.functions.staging import computed_once
-from vacantry.functions.text import (TERM_EDGE_AFTER, TERM_EDGE_BEFORE, any_phrase, first_non_blank,
-                                     is_blank, literal_map, sentences, slug, squeeze)
+from vacantry.functions.text import (TERM_EDGE_AFTER, TERM_EDGE_BEFORE, any_phrase, cut, first_items,
+                                     first_non_blank, is_blank, literal_map, sentences, slug, squeeze)
 from vacantry.operators.languages import languages_between
 from vacantry.operators.roles import TitleFamily, title_excluded
 
@@ -94,7 +94,22 @@ TRIGGER = (
     r"security clearance|eligible|fluen|mandatory)")
 
 
-def stated_criteria(listed: Column, vocabulary: Vocabulary) -> Column:
+@dataclass(frozen=True)
+class Limits:
+    """How many items are kept and how long quotes are; None keeps all.  ``STATED`` has the rule's own limits."""
+
+    criteria: int | None = None
+    preferred: int | None = None
+    quote: int | None = None
+    evidence: int | None = None
+    blocker_quote: int | None = None
+
+
+WHOLE = Limits()
+STATED = Limits(lx.MAX_CRITERIA, lx.MAX_PREFERRED, 400, 60, 120)
+
+
+def stated_criteria(listed: Column, vocabulary: Vocabulary, limits: Limits = WHOLE) -> Column:
     """Array of every criterion in an array of sentences, in order, repeats included.
 
     Each is (sentence, kind, language, terms, quote, no_sponsorship) with kind skill,
@@ -123,7 +138,7 @@ def stated_criteria(listed: Column, vocabulary: Vocabulary) -> Column:
         x["s"].rlike(lx.NO_SPONSORSHIP_PATTERN).alias("refused")))
 
     def criterion(x, kind, language, terms, refused):
-        quote = F.substring(x["s"], 1, 400)
+        quote = cut(x["s"], limits.quote)
         key = F.concat_ws("\x01", F.lit(kind), language, F.array_join(terms, "\x02"))
         return F.struct(
             key.alias("key"), x["i"].cast("bigint").alias("sentence"), F.lit(kind).alias("kind"),
@@ -151,34 +166,35 @@ def stated_criteria(listed: Column, vocabulary: Vocabulary) -> Column:
 
 
 def mandatory_criteria(df: DataFrame, text: Column, vocabulary: Vocabulary,
-                       out: str = "criteria") -> DataFrame:
-    """Adds the first 12 distinct criteria of each text.
+                       out: str = "criteria", limits: Limits = WHOLE) -> DataFrame:
+    """Adds the distinct criteria of each text, in order; ``limits`` may keep the first ones only.
 
     The stated criteria are a column of their own so that they are extracted once.
     """
-    return _with_criteria(df.withColumn("_sentences", sentences(text)), vocabulary, out).drop("_sentences")
+    return _with_criteria(df.withColumn("_sentences", sentences(text)), vocabulary, out, limits).drop("_sentences")
 
 
-def _with_criteria(df: DataFrame, vocabulary: Vocabulary, out: str) -> DataFrame:
-    staged = df.withColumn("_stated", stated_criteria(F.col("_sentences"), vocabulary)).withColumn(
-        out, _first_distinct(F.col("_stated"), lx.MAX_CRITERIA)).drop("_stated")
-    return computed_once(staged)
+def _with_criteria(df: DataFrame, vocabulary: Vocabulary, out: str, limits: Limits) -> DataFrame:
+    given = [c for c in df.columns if c not in ("_sentences", out)]
+    staged = df.withColumn("_stated", stated_criteria(F.col("_sentences"), vocabulary, limits)).withColumn(
+        out, _first_distinct(F.col("_stated"), limits.criteria)).drop("_stated")
+    return computed_once(staged, given)
 
 
-def _first_distinct(items: Column, size: int) -> Column:
+def _first_distinct(items: Column, size: int | None) -> Column:
     """First ``size`` items with distinct keys; the first item of a key is the one kept."""
-    keys = F.slice(F.array_distinct(F.transform(items, lambda c: c["key"])), 1, size)
+    keys = first_items(F.array_distinct(F.transform(items, lambda c: c["key"])), size)
     return F.transform(keys, lambda k: F.get(F.filter(items, lambda c: c["key"] == k), F.lit(0)))
 
 
-def preferred_items(listed: Column, vocabulary: Vocabulary) -> Column:
-    """Vocabulary terms of the nice-to-have ones among some sentences, first seen, at most 8."""
+def preferred_items(listed: Column, vocabulary: Vocabulary, limits: Limits = WHOLE) -> Column:
+    """Vocabulary terms of the nice-to-have ones among some sentences, first seen."""
     nice = F.filter(listed, lambda s: s.rlike(lx.NICE_PATTERN))
     terms = F.flatten(F.transform(nice, lambda s: recognized_terms(s, vocabulary)))
-    return F.slice(F.array_distinct(terms), 1, lx.MAX_PREFERRED)
+    return first_items(F.array_distinct(terms), limits.preferred)
 
 
-def skill_evidence(term: Column, candidate: Candidate, vocabulary: Vocabulary) -> Column:
+def skill_evidence(term: Column, candidate: Candidate, vocabulary: Vocabulary, limits: Limits = WHOLE) -> Column:
     """Reference for a term: a literal span of the CV, else a curated skill entry."""
     canonical = F.coalesce(literal_map(vocabulary.canonical)[term], term) if vocabulary.canonical else term
     entry = F.lit(None).cast("string")
@@ -194,7 +210,7 @@ def skill_evidence(term: Column, candidate: Candidate, vocabulary: Vocabulary) -
     start = F.greatest(at - 20, F.lit(1))
     size = F.length(term) + 20 + (at - start)
     span = F.concat(F.lit("cv-span:"), (at - 1).cast("string"), F.lit(":"),
-                    F.substring(squeeze(cv.substr(start, size)), 1, 60))
+                    cut(squeeze(cv.substr(start, size)), limits.evidence))
     return F.when(at > 0, span).otherwise(entry)
 
 
@@ -213,7 +229,7 @@ def permission(country: Column, candidate: Candidate) -> Column:
 
 
 def evaluate(criteria: Column, country: Column, candidate: Candidate,
-             vocabulary: Vocabulary) -> Column:
+             vocabulary: Vocabulary, limits: Limits = WHOLE) -> Column:
     """Criteria with status matched / unknown and the evidence that matched them."""
     allowed = permission(country, candidate)
     none = F.lit(None).cast("string")
@@ -221,7 +237,7 @@ def evaluate(criteria: Column, country: Column, candidate: Candidate,
 
     def evidence(c):
         skill = F.get(F.filter(
-            F.transform(c["terms"], lambda t: skill_evidence(t, candidate, vocabulary)),
+            F.transform(c["terms"], lambda t: skill_evidence(t, candidate, vocabulary, limits)),
             lambda e: e.isNotNull()), F.lit(0))
         return (
             F.when(c["kind"] == "skill", skill)
@@ -238,7 +254,8 @@ def evaluate(criteria: Column, country: Column, candidate: Candidate,
         x["e"].alias("evidence")))
 
 
-def criterion_blockers(evaluated: Column, country: Column, candidate: Candidate) -> Column:
+def criterion_blockers(evaluated: Column, country: Column, candidate: Candidate,
+                       limits: Limits = WHOLE) -> Column:
     """Unresolved mandatory languages, and refused sponsorship where the answer is no."""
     refused = permission(country, candidate) == "no"
 
@@ -248,7 +265,7 @@ def criterion_blockers(evaluated: Column, country: Column, candidate: Candidate)
                 F.lit("Language blocker ("), c["language"],
                 F.lit(" required without supporting CV/cache evidence)")))
             .when((c["kind"] == "authorization") & c["no_sponsorship"] & refused, F.concat(
-                F.lit("Work-authorization conflict: "), F.substring(c["quote"], 1, 120),
+                F.lit("Work-authorization conflict: "), cut(c["quote"], limits.blocker_quote),
                 F.lit(" (cache workAuthorization for "), country, F.lit(" = no)"))))
 
     open_ones = F.filter(evaluated, lambda c: c["status"] == "unknown")
@@ -281,7 +298,7 @@ def _title_pattern(titles: tuple[str, ...]) -> str | None:
 
 
 def score(postings: DataFrame, candidate: Candidate, vocabulary: Vocabulary,
-          search_id: str | None = None) -> DataFrame:
+          search_id: str | None = None, limits: Limits = WHOLE) -> DataFrame:
     """One scored row per posting; needs title, description_text, country_code, role_label.
 
     fit_score is 100 × matched / total criteria to one decimal; no criteria means 0 and
@@ -291,10 +308,10 @@ def score(postings: DataFrame, candidate: Candidate, vocabulary: Vocabulary,
     reason = F.col("role_reason.summary") if "role_reason" in postings.columns else F.col("role_label")
     text = job_text(F.lit(None).cast("string"), F.col("description_text"))
     rows = (
-        _with_criteria(postings.withColumn("_sentences", sentences(text)), vocabulary, "_criteria")
-        .withColumn("criteria", evaluate(F.col("_criteria"), country, candidate, vocabulary))
-        .withColumn("_preferred", preferred_items(F.col("_sentences"), vocabulary))
-        .withColumn("_lang_blockers", criterion_blockers(F.col("criteria"), country, candidate))
+        _with_criteria(postings.withColumn("_sentences", sentences(text)), vocabulary, "_criteria", limits)
+        .withColumn("criteria", evaluate(F.col("_criteria"), country, candidate, vocabulary, limits))
+        .withColumn("_preferred", preferred_items(F.col("_sentences"), vocabulary, limits))
+        .withColumn("_lang_blockers", criterion_blockers(F.col("criteria"), country, candidate, limits))
         .withColumn("blockers", F.concat(
             F.col("_lang_blockers"),
             role_blockers(F.col("title"), F.col("role_label"), reason, candidate)))
@@ -316,7 +333,7 @@ def score(postings: DataFrame, candidate: Candidate, vocabulary: Vocabulary,
         .withColumn("has_language_blocker", F.exists(
             "_lang_blockers", lambda b: b.startswith("Language blocker")))
     )
-    rows = computed_once(rows)
+    rows = computed_once(rows, [c for c in postings.columns if c not in ("criteria", "blockers")])
     total, matched = F.col("must_total"), F.col("must_matched")
     assessed, blocked = total > 0, F.size("blockers") > 0
     fit = F.when(assessed, F.round(matched / total * 100.0, 1)).otherwise(0.0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vacantry import lexicon as lx
 from vacantry.functions.clock import as_timestamp
 from vacantry.operators.selection import JOB
+from vacantry.operators.store import last_rows
 
 AXES = ["exact", "benchmark"]
 AXIS_FIELDS = ["status", "attempts", "next_retry_at", "last_attempt_at", "error"]
@@ -51,12 +52,14 @@ def next_state(axis: str, attempts: Column, kind: Column, message: Column,
         now.alias("last_attempt_at"), F.when(failed, message).alias("error"))
 
 
-def apply_outcomes(state: DataFrame, outcomes: DataFrame, axis: str, as_of: str) -> DataFrame:
+def apply_outcomes(state: DataFrame, outcomes: DataFrame, axis: str, as_of: str, *order: Column) -> DataFrame:
     """New state table after one outcome per job on one axis; the other axis is untouched.
 
-    ``outcomes`` has job_source, job_id, kind, message (one row per job).
+    ``outcomes`` has job_source, job_id, kind, message; of several rows for a job the last
+    by ``order`` counts.
     """
     key = ["job_source", "job_id"]
+    outcomes = last_rows(outcomes, key, *order)
     joined = state.join(outcomes.select(*key, F.col("kind").alias("_kind"),
                                         F.col("message").alias("_message")), key, "full_outer")
     moved = F.col("_kind").isNotNull()

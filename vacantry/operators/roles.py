@@ -126,7 +126,7 @@ def classify(df: DataFrame, taxonomy: Taxonomy, title: str = "title",
             F.array_compact(F.array(evidence)).alias("evidence"),
             F.array_compact(F.array(F.when(~found, F.lit("confirmed role match")))).alias("gaps"),
         ).alias("role_reason"),
-    ))
+    ), df.columns)
 
 
 def title_excluded(title: Column, families: tuple[TitleFamily, ...],
@@ -152,13 +152,17 @@ def retain_provisional(df: DataFrame) -> DataFrame:
     return df.filter(F.col("role_label") != lx.OUT_OF_SCOPE)
 
 
+MOST_QUERIES = 32
+
+
 def expand_queries(requests: DataFrame, taxonomy: Taxonomy, cap: int = 16) -> DataFrame:
-    """Per request: queries in order, repeats and excluded roles dropped, capped at 32.
+    """Per request: queries in order, repeats and excluded roles dropped, the first ``cap`` kept.
 
     ``requests`` has request_id, ordinal, query.  Dedup is a partial aggregate and the cap
     is pushed below the shuffle, so a huge request stays cheap.
     """
-    size = max(0, min(32, int(cap)))
+    if not 0 <= cap <= MOST_QUERIES:
+        raise ValueError(f"a plan has 0 to {MOST_QUERIES} queries, not {cap}")
     kept = (
         requests.filter(~is_blank(F.col("query")))
         .filter(exclusion(F.col("query"), F.lit(""), taxonomy).isNull())
@@ -167,7 +171,7 @@ def expand_queries(requests: DataFrame, taxonomy: Taxonomy, cap: int = 16) -> Da
         .agg(F.min_by("query", "ordinal").alias("query"), F.min("ordinal").alias("ordinal"))
     )
     order = W.partitionBy("request_id").orderBy("ordinal", "query_key")
-    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
+    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap)
 
 
 def query_plan(explicit: DataFrame, own: DataFrame, expansions: DataFrame, taxonomy: Taxonomy,

@@ -16,7 +16,7 @@ from vacantry import lexicon as lx
 from vacantry.functions.money import (annual_note, annualize, currency_of, parse_amount,
                                       plain_amount)
 from vacantry.functions.staging import computed_once
-from vacantry.functions.text import squeeze
+from vacantry.functions.text import first_items, squeeze
 
 FILLER = " ¤ "
 CANDIDATE = (
@@ -94,6 +94,7 @@ def salary_candidates(df: DataFrame, text: str, out: str = "pay") -> DataFrame:
     masked = F.coalesce(F.col(text), F.lit(""))
     masked = F.regexp_replace(masked, r"<[^>]*>?", FILLER)
     masked = F.regexp_replace(masked, r"(?s)://.{0,27}", FILLER)
+    given = [c for c in df.columns if c != out]
     df = df.withColumn("_text0", masked)
     names = []
     for i, p in enumerate(PAY_PATTERNS):
@@ -104,7 +105,7 @@ def salary_candidates(df: DataFrame, text: str, out: str = "pay") -> DataFrame:
                 F.size(f"_pay{i}") > 0, F.regexp_replace(f"_text{i}", p.pattern, FILLER)
             ).otherwise(F.col(f"_text{i}")))
     return computed_once(df.withColumn(out, F.concat(*names)).drop(
-        *names, *[f"_text{i}" for i in range(len(PAY_PATTERNS))]))
+        *names, *[f"_text{i}" for i in range(len(PAY_PATTERNS))]), given)
 
 
 def has_ote(c: Column) -> Column:
@@ -217,7 +218,7 @@ def with_jsonld_salary(df: DataFrame, jsonld: str, out: str = "jsonld_pay") -> D
     rows = df.withColumn("_ld", F.try_parse_json(F.col(jsonld)))
     rows = rows.withColumn("_posting", jsonld_posting(F.col("_ld")))
     rows = rows.withColumn(out, F.when(F.col("_posting").isNotNull(), jsonld_salary(F.col("_posting"))))
-    return computed_once(rows.drop("_ld", "_posting"))
+    return computed_once(rows.drop("_ld", "_posting"), [c for c in df.columns if c != out])
 
 
 def no_salary_reason(c: Column) -> Column:
@@ -272,8 +273,8 @@ ADVERTISER_PATTERNS = [
 MAX_ADVERTISER = 8
 
 
-def advertiser_candidates(text: Column) -> Column:
-    """Array of (match, snippet), at most 8: pay wording with the words around it."""
+def advertiser_candidates(text: Column, limit: int | None = None) -> Column:
+    """Array of (match, snippet): pay wording with the words around it; all, or the first ``limit``."""
     clean = F.regexp_replace(text, r"\s+", " ")
     found = F.concat(*[
         F.transform(
@@ -282,7 +283,7 @@ def advertiser_candidates(text: Column) -> Column:
             lambda r: F.struct(F.trim(r["1"]).alias("match"),
                                F.trim(F.concat(r["0"], r["1"], r["2"])).alias("snippet")))
         for p in ADVERTISER_PATTERNS])
-    return F.when(text.rlike(MONEY_MARK), F.slice(F.array_distinct(found), 1, MAX_ADVERTISER))
+    return F.when(text.rlike(MONEY_MARK), first_items(F.array_distinct(found), limit))
 
 
 def parse_range(match: Column) -> Column:
@@ -313,9 +314,9 @@ def likely_exact(snippet: Column, external: Column) -> Column:
         external & s.rlike("salary|compensation|remuneration|base"))
 
 
-def advertiser_pay(df: DataFrame, text: str, external: Column) -> DataFrame:
+def advertiser_pay(df: DataFrame, text: str, external: Column, limit: int | None = None) -> DataFrame:
     """First likely-exact advertiser amount of each row (columns NULL when none)."""
-    staged = df.withColumn("_cands", advertiser_candidates(F.col(text)))
+    staged = df.withColumn("_cands", advertiser_candidates(F.col(text), limit))
     parsed = F.transform("_cands", lambda c: F.struct(
         c.alias("c"), parse_range(c["match"]).alias("r")))
     best = F.get(F.filter(parsed, lambda x: x["r"].isNotNull() & likely_exact(

@@ -13,13 +13,30 @@ ROLE_COLUMNS = ["role_label", "role_confidence", "role_reason", "taxonomy_versio
 KEPT_COLUMNS = ["created_at", "application_status", "applied_at"]
 
 
-def merge_postings(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def last_rows(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
+    """One row per key: the last in the stated order (ascending, NULL first).
+
+    Without an order all other columns rank the rows, so the result is fixed anyway.
+    Rows with a NULL in the key name no stored row and stay apart unless they are equal.
+    """
+    rest = [c for c in rows.columns if c not in key]
+    if not rest:
+        return rows.select(*key).distinct()
+    rank = F.struct(*(order or [F.to_json(F.struct(*rest))]))
+    nameless = F.when(F.greatest(*[F.col(k).isNull() for k in key], F.lit(False)), F.xxhash64(*rows.columns))
+    picked = rows.groupBy(*key, nameless.alias("_apart")).agg(F.max_by(F.struct(*rest), rank).alias("_row"))
+    return picked.select(*key, "_row.*").select(*rows.columns)
+
+
+def merge_postings(existing: DataFrame, incoming: DataFrame, *order: Column) -> DataFrame:
     """New snapshot of the postings table after an upsert on (source, job_id).
 
     Plain columns are overwritten.  A sparse update (no description) cannot overwrite
     role columns whose stored label is a known one; otherwise they fall back to the old
-    value.  Creation time and application status always survive.  One full outer join.
+    value.  Creation time and application status always survive.  Of several incoming
+    rows for a key the last by ``order`` counts.  One full outer join.
     """
+    incoming = last_rows(incoming, JOB, *order)
     e, i = existing.alias("e"), incoming.alias("i")
     joined = e.join(i, [F.col(f"e.{k}") == F.col(f"i.{k}") for k in JOB], "full_outer")
     arrived = F.col("i.job_id").isNotNull()
@@ -83,8 +100,9 @@ def store_snapshot(benchmarks: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(*columns, (F.col("_new") == 1).alias("inserted"))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """All columns of a key are overwritten when it arrives again."""
+def upsert(old: DataFrame, new: DataFrame, key: list[str], *order: Column) -> DataFrame:
+    """All columns of a key are overwritten when it arrives again, by its last row in ``order``."""
+    new = last_rows(new, key, *order)
     return old.join(new.select(*key), key, "left_anti").unionByName(new)
 
 

@@ -129,7 +129,7 @@ def _(t):
                 page=f"CASE {K} % 4 WHEN 0 THEN 'Data Lead - Initech ' || CAST({K} AS STRING) WHEN 1 THEN 'Data Lead at Hooli' "
                      "WHEN 2 THEN 'Data Lead | Job board' ELSE '' END")
     return rows.select(K, N.company_of_url(F.col("url")).alias("from_url"),
-                       N.company_of_title(F.col("page"), F.lit("Data Lead")).alias("from_title"))
+                       N.company_of_title(F.col("page"), F.lit("Data Lead"), 120).alias("from_title"))
 
 
 @query("split_cards",

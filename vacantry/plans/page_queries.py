@@ -79,7 +79,7 @@ def _(t):
     rows = page(t, doc=f"html || {PAGE_LD} || '<p>' || {LONG} || '</p>'").select(
         P, F.col("url"), F.col("doc").alias("html"), F.lit("Old title").alias("old_title"), F.lit(None).cast("string").alias("old_company"),
         F.lit("data lead; other").alias("searched_keywords"))
-    out = backfill.extract(rows)
+    out = backfill.extract(rows, max_title=300, max_company=200)
     return out.select(P, "new_title", F.when(F.col("new_company") == "Acme", F.col("new_company")).alias("named_company"), "ok", "failure")
 
 

@@ -213,7 +213,7 @@ MEANS = ("SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m, count(*) AS n FROM (SE
 @query("mean_vectors", "SELECT CAST(label AS VARCHAR) AS category, max(n) AS n, round(sum(m), 6) AS total, round(max(CASE WHEN pos = 7 THEN m END), 6) AS seventh FROM means GROUP BY label",
        means=MEANS.format(w=""))
 def _(t):
-    rows = V.mean_vectors(t.table("embeddings").withColumn("category", F.col("label").cast("string")))
+    rows = V.mean_vectors(t.table("embeddings").withColumn("category", F.col("label").cast("string")), 64)
     total = F.aggregate("mean", F.lit(0.0), lambda a, x: a + x)
     return rows.select("category", "n", F.round(total, 6).alias("total"), F.round(F.get("mean", F.lit(6)), 6).alias("seventh"))
 
@@ -228,8 +228,9 @@ VERDICT = ("SELECT vec_id, truth, p AS best_eligible, n AS best_other, p >= 0.1
 
 def classified_vectors(t):
     vectors = t.table("embeddings").withColumn("category", F.col("label").cast("string"))
-    means = V.mean_vectors(vectors.filter("vec_id % 2 = 0")).withColumn("eligible", F.col("category").cast("int") % 2 == 0)
-    return V.classify(vectors.filter("vec_id % 2 = 1"), means, 0.1, 0.02)
+    number = F.col("category").cast("int")
+    means = V.mean_vectors(vectors.filter("vec_id % 2 = 0"), 64).withColumn("eligible", number % 2 == 0).withColumn("ordinal", number)
+    return V.classify(vectors.filter("vec_id % 2 = 1"), means, 0.1, 0.02, 64)
 
 
 @query("classified_vectors",

@@ -170,7 +170,7 @@ FACTS = ("SELECT doc_id, CAST(doc_id % 6 AS INT) AS s, CAST(doc_id % 5 AS INT) A
        "WHERE terms IS NOT NULL UNION ALL SELECT doc_id, 'language', unnest(CASE g WHEN 0 THEN ['German'] WHEN 3 THEN ['German', 'French'] END), '', false FROM f "
        "UNION ALL SELECT doc_id, 'authorization', '', '', p = 0 FROM f WHERE p < 2) u", f=FACTS)
 def _(t):
-    rows = R.mandatory_criteria(described(t), F.col("description_text"), VOCABULARY)
+    rows = R.mandatory_criteria(described(t), F.col("description_text"), VOCABULARY, limits=R.STATED)
     return rows.select("doc_id", F.explode("criteria").alias("x")).select(
         "doc_id", "x.kind", "x.language", F.array_join("x.terms", ",").alias("terms"), "x.no_sponsorship")
 
@@ -178,7 +178,7 @@ def _(t):
 @query("preferred_items", "SELECT doc_id, CASE WHEN s = 3 THEN 'kafka' ELSE '' END AS items FROM f", f=FACTS)
 def _(t):
     return described(t).select("doc_id", F.array_join(
-        R.preferred_items(sentences(F.col("description_text")), VOCABULARY), ",").alias("items"))
+        R.preferred_items(sentences(F.col("description_text")), VOCABULARY, R.STATED), ",").alias("items"))
 
 
 SCORED = ("SELECT *, CAST(terms IS NOT NULL AS INT) + CASE g WHEN 0 THEN 1 WHEN 3 THEN 2 ELSE 0 END + CAST(p < 2 AS INT) AS total, "
@@ -197,7 +197,7 @@ SCORED = ("SELECT *, CAST(terms IS NOT NULL AS INT) + CASE g WHEN 0 THEN 1 WHEN
        "CAST(role_block AS BIGINT) AS blockers FROM (SELECT *, doc_id % 2 = 0 AS titled, lang_block OR permit_block OR role_block AS blocked FROM sc) z",
        f=FACTS, sc=SCORED)
 def _(t):
-    scored = R.score(described(t), CANDIDATE, VOCABULARY, "demo")
+    scored = R.score(described(t), CANDIDATE, VOCABULARY, "demo", R.STATED)
     return scored.select(F.col("job_id").cast("bigint").alias("doc_id"), "must_total", "must_matched", "fit_score", "assessment_status", "cta",
                          "stretch_label", "tailoring_effort", "tech_total", "tech_matched", "nice_total", "nice_matched",
                          "has_language_blocker", F.size("blockers").cast("bigint").alias("blockers"))
@@ -208,7 +208,7 @@ def _(t):
        "'cv-span:42:for ten years. Also C++ and Scala.' END AS evidence FROM f UNION ALL SELECT doc_id, CASE WHEN g IN (0, 3) THEN 'cache:languages:German' END FROM f "
        "UNION ALL SELECT doc_id, CASE WHEN p = 1 AND c = 0 THEN 'cache:workAuthorization:GB=yes' END FROM f) u WHERE evidence IS NOT NULL", f=FACTS)
 def _(t):
-    scored = R.score(described(t), CANDIDATE, VOCABULARY, "demo")
+    scored = R.score(described(t), CANDIDATE, VOCABULARY, "demo", R.STATED)
     return scored.select(F.col("job_id").cast("bigint").alias("doc_id"), F.explode("criteria.evidence").alias("evidence")).filter(
         F.col("evidence").isNotNull())
 
@@ -219,7 +219,7 @@ def _(t):
        "for US = no)' END FROM sc UNION ALL SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Role preferences need review: no confirmed role matches this title' WHEN 1 THEN "
        "'Role family blocker (Out of scope): Out of scope' END FROM sc) u WHERE blocker IS NOT NULL", f=FACTS, sc=SCORED)
 def _(t):
-    return R.score(described(t), CANDIDATE, VOCABULARY, "demo").select(
+    return R.score(described(t), CANDIDATE, VOCABULARY, "demo", R.STATED).select(
         F.col("job_id").cast("bigint").alias("doc_id"), F.explode("blockers").alias("blocker"))
 
 
@@ -319,5 +319,5 @@ def _(t):
        "SELECT doc_id AS resume_id, 'Lead Engineer' AS first_title, 'Data Lead ' || CASE doc_id % 2 WHEN 0 THEN 'alpha' ELSE 'beta' END AS second_title FROM documents")
 def _(t):
     from vacantry.operators import candidates
-    return candidates.titles(resumes(t)).select(
+    return candidates.titles(resumes(t), candidates.MAX_TITLES).select(
         "resume_id", F.get("titles", F.lit(0)).alias("first_title"), F.get("titles", F.lit(1)).alias("second_title"))

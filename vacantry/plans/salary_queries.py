@@ -155,7 +155,7 @@ def _(t):
         "p_partkey", f"p_name || ' pay range: GBP ' || {commas(LOW)} || ' to ' || {commas(HIGH)} || ' per year'",
         f"'Salary: DKK ' || {text(KILO)} || 'k - ' || {text(KILO + ' + 9')} || 'k ' || p_name",
         f"'The base is $' || {commas(LOW)} || ' annually for ' || p_name", "'Tickets cost £20 - £30 at ' || p_name", "p_name") + " AS body")
-    return S.advertiser_pay(rows, "body", F.lit(True)).select("p_partkey", "currency", "low", "high")
+    return S.advertiser_pay(rows, "body", F.lit(True), S.MAX_ADVERTISER).select("p_partkey", "currency", "low", "high")
 
 
 @query("pay_page_text",

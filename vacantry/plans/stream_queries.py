@@ -49,7 +49,7 @@ def _(t):
        "SELECT source, w AS start, w + INTERVAL 900 SECOND AS \"end\", count(*) AS requests FROM (SELECT source, unnest([time_bucket(INTERVAL 300 SECOND, \"at\"), "
        "time_bucket(INTERVAL 300 SECOND, \"at\") - INTERVAL 300 SECOND, time_bucket(INTERVAL 300 SECOND, \"at\") - INTERVAL 600 SECOND]) AS w FROM fetch_log) s GROUP BY source, w", ("fetch_log",))
 def _(t):
-    stream = jobs.rate_windows(view_stream(t, FETCH_LOG), 900, 300)
+    stream = jobs.rate_windows(view_stream(t, FETCH_LOG), 120, 900, 300)
     return jobs.keep_current(stream, ["source", "start", "end"], work_dir(t.spark, "rate"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,11 +26,14 @@ def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) ->
 def work_dir(spark: SparkSession, name: str) -> str:
     """New folder for one run under the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used when set.  Only where it is
-    unset, as in tests, a temporary folder stands in.
+    That folder is named by ``spark.checkpoint.dir``.  Where it is unset a local session,
+    as in tests, uses its warehouse folder; on a cluster it is an error, as executors
+    cannot see each other's disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return os.path.join(root, f"vacantry-{name}-{uuid.uuid4().hex}")

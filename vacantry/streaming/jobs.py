@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantry import lexicon as lx
-from vacantry.operators.fetchlog import run_lengths
+from vacantry.operators.fetchlog import join_back, run_lengths
 from vacantry.operators.retry import next_state
 from vacantry.operators.selection import OBS_JOB, newest
 from vacantry.streaming.runner import (batch_writer, newest_per_key, read_batches, run_available)
@@ -31,9 +31,13 @@ def retry_state(outcomes: DataFrame, axis: str) -> DataFrame:
     return folded.select(*OBS_JOB, state.alias("_s")).select(*OBS_JOB, "_s.*")
 
 
-def rate_windows(log: DataFrame, window_seconds: int = lx.RATE_WINDOW_SECONDS, slide_seconds: int = 5,
-                 late_seconds: int = 120) -> DataFrame:
-    """Requests per source in sliding windows; late rows are dropped after the watermark."""
+def rate_windows(log: DataFrame, late_seconds: int, window_seconds: int = lx.RATE_WINDOW_SECONDS,
+                 slide_seconds: int = 5) -> DataFrame:
+    """Requests per source in sliding windows.
+
+    State has to end somewhere: a row more than ``late_seconds`` behind the newest one
+    counts no more, so the caller states the lateness that cannot happen.
+    """
     span = F.window("at", f"{window_seconds} seconds", f"{slide_seconds} seconds")
     return (log.withWatermark("at", f"{late_seconds} seconds").groupBy(span.alias("w"), "source")
             .agg(F.count(F.lit(1)).alias("requests"))
@@ -47,7 +51,7 @@ def keep_current(stream: DataFrame, keys: list[str], work: str) -> DataFrame:
     return newest_per_key(read_batches(stream.sparkSession, out, stream.schema), keys)
 
 
-CARRY = "source string, run bigint, broken boolean"
+CARRY = "source string, run bigint, last struct<at:timestamp,id:bigint>"
 
 
 def breaker_runs(log: DataFrame, work: str, threshold: int = lx.BREAKER_THRESHOLD,
@@ -55,31 +59,38 @@ def breaker_runs(log: DataFrame, work: str, threshold: int = lx.BREAKER_THRESHOL
     """Run lengths of blocking states, carried from one micro-batch to the next.
 
     A batch is processed with the slotted batch operator, so a source that fills the
-    stream is still spread over tasks; only (source, open run, ever broken) is carried.
-    Batch N reads the carry written by the batch before it, so a replay is harmless.
+    stream is still spread over tasks; only (source, open run, last place) is carried.
+    Sources of which a batch brings rows older than their last place are worked out again
+    from their stored rows.  So the result does not depend on where batches end or in
+    which order files arrive.  Batch N reads what the batches before it wrote, so a replay
+    is harmless.  Ids are unique.
     """
     spark = log.sparkSession
     rows_out, carry_out = f"{work}/rows", f"{work}/carry"
     blocking = F.col("state").isin(lx.BREAKER_STATES)
+    schema = log.select("*", F.lit(0).cast("bigint").alias("run"), F.lit(True).alias("at_threshold")).schema
 
     def on_batch(df: DataFrame, batch: int) -> None:
-        session = df.sparkSession
+        session, columns = df.sparkSession, df.columns
         carry = (session.read.schema(CARRY).parquet(f"{carry_out}/batch={batch - 1}") if batch > 0
                  else session.createDataFrame([], CARRY))
+        if batch > 0:
+            firsts = df.groupBy("source").agg(F.min(F.struct("at", "id")).alias("_first"))
+            late = join_back(firsts, carry, ["source"]).filter(F.col("_first") < F.col("last")).select("source")
+            stored = read_batches(session, rows_out, schema).filter(F.col("batch") < batch)
+            old = newest_per_key(join_back(stored, late, ["source"], "left_semi"), ["id"]).select(*columns)
+            df = df.unionByName(old.join(df.select("id"), "id", "left_anti"))
+            carry = join_back(carry, late, ["source"], "left_anti")
         rows = run_lengths(df, ["source"], "at", "id", blocking, slot_seconds, carry)
-        rows.join(carry.select("source", F.col("broken").alias("_was")), "source", "left").select(
-            *df.columns, "run", (F.coalesce("_was", F.lit(False)) | (F.col("run") >= threshold))
-            .alias("at_threshold")).write.mode("overwrite").parquet(f"{rows_out}/batch={batch}")
+        rows.select(*columns, "run", (F.col("run") >= threshold).alias("at_threshold")).write.mode(
+            "overwrite").parquet(f"{rows_out}/batch={batch}")
         done = session.read.parquet(f"{rows_out}/batch={batch}").groupBy("source").agg(
-            F.max_by("run", F.struct("at", "id")).alias("_run"), F.max("at_threshold").alias("_broken"))
-        carry.join(done, "source", "full_outer").select(
-            "source", F.coalesce("_run", "run").alias("run"),
-            F.coalesce("_broken", "broken").alias("broken")).write.mode("overwrite").parquet(
-            f"{carry_out}/batch={batch}")
+            F.max_by("run", F.struct("at", "id")).alias("run"), F.max(F.struct("at", "id")).alias("last"))
+        join_back(carry, done.select("source"), ["source"], "left_anti").unionByName(
+            done.select("source", "run", "last")).write.mode("overwrite").parquet(f"{carry_out}/batch={batch}")
 
     run_available(log, f"{work}/checkpoint", on_batch, mode="append")
-    schema = log.select("*", F.lit(0).cast("bigint").alias("run"), F.lit(True).alias("at_threshold")).schema
-    return read_batches(spark, rows_out, schema)
+    return newest_per_key(read_batches(spark, rows_out, schema), ["id"]).select(*schema.names)
 
 
 def new_since_last_run(stream: DataFrame, work: str) -> DataFrame:
