@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def by_distinct(df: DataFrame, column: str, **made: Column) -> DataFrame:
+    """Adds columns that depend on one column only, worked out once per distinct value.
+
+    Values are made distinct map-side first, so a value that most rows share costs one
+    evaluation per task; the join back is planned by the size the distinct side turns out
+    to have.  NULL is a value like any other.
+    """
+    values = df.select(F.col(column).alias("_value")).distinct().select(
+        "_value", *[expr.alias(name) for name, expr in made.items()])
+    same = F.col(column).eqNullSafe(F.col("_value"))
+    return df.join(values, same, "left").select(*df.columns, *made)
+
+
 def computed_once(df: DataFrame, given: Iterable[str] = ()) -> DataFrame:
     """The same rows, with all columns fixed before anything that reads them.
 

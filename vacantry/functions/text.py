@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import re
 import unicodedata
 from collections.abc import Iterable
@@ -110,6 +112,11 @@ def strip_html(c: Column) -> Column:
     return blank_to_null(squeeze(out))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _numeric_entities(c: Column, pattern: str, base: int, prefix: str) -> Column:
     def char_of(digits: Column) -> Column:
         number = F.conv(digits, base, 10).cast("bigint")
@@ -132,8 +139,13 @@ def decode_entities(c: Column) -> Column:
         ("&#39;", "'"), ("&apos;", "'"), ("&pound;", "£"), ("&euro;", "€"),
     ):
         c = F.replace(c, F.lit(entity), F.lit(text))
-    c = _numeric_entities(c, r"&#(\d{1,8});", 10, "&#")
-    return _numeric_entities(c, r"&#x([0-9a-fA-F]{1,8});", 16, "&#x")
+
+    def numeric(t: Column) -> Column:
+        decimal = once(_numeric_entities(t, r"&#(\d{1,8});", 10, "&#"),
+                       lambda u: _numeric_entities(u, r"&#x([0-9a-fA-F]{1,8});", 16, "&#x"))
+        return F.when(F.contains(t, F.lit("&#")), decimal).otherwise(t)
+
+    return once(c, numeric)
 
 
 _BLOCK = "h[1-6]|p|div|li|ul|ol|br|tr|td|th|table|section|article|header|footer|aside|nav|main"

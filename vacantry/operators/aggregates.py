@@ -261,12 +261,16 @@ def keywords_by_id(ids: DataFrame) -> DataFrame:
 def exact_median(df: DataFrame, keys: list[str], value: str, width: float) -> DataFrame:
     """Exact median per key, safe for a key that holds most rows.
 
-    Counts per value band (``width`` wide) locate the band that holds the middle rank;
-    only that band's values are then ranked, and they are counted before the shuffle.
+    Values are counted once; counts per value band (``width`` wide) locate the band that
+    holds the middle rank, and only that band's distinct values are then ranked.
     """
-    band = F.floor(F.col(value) / width).alias("_band")
-    rows = df.filter(F.col(value).isNotNull())
-    bands = rows.groupBy(*keys, band).agg(n_rows().alias("_n"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(n_rows().alias("_n"))
+    return _counted_median(counted, keys, value, width)
+
+
+def _counted_median(counted: DataFrame, keys: list[str], value: str, width: float) -> DataFrame:
+    values = counted.withColumn("_band", F.floor(F.col(value) / width))
+    bands = values.groupBy(*keys, "_band").agg(F.sum("_n").alias("_n"))
     over = W.partitionBy(*keys)
     ranked = (
         bands.withColumn("_upto", F.sum("_n").over(over.orderBy("_band")))
@@ -278,7 +282,6 @@ def exact_median(df: DataFrame, keys: list[str], value: str, width: float) -> Da
     )
     mid = ranked.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_band").alias("_mid_band"),
                         "_before", "_total", "_r1", "_r2")
-    values = rows.groupBy(*keys, band, value).agg(n_rows().alias("_n"))
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_band") == F.col("_mid_band")]
     inside = values.join(mid, same)
     upto = F.sum("_n").over(W.partitionBy(*keys, "_band").orderBy(value)) + F.col("_before")
@@ -304,9 +307,12 @@ def posted_pay_summary(obs: DataFrame, postings: DataFrame, by: str = "company")
         ((F.col("amount_min") + F.col("amount_max")) / 2).alias("mid"))
     keys = [by, "country_code", "currency", "period", "compensation_type"]
     joined = postings.select(*JOB, by, "country_code").join(posted, JOB, "left")
-    unpaid = joined.groupBy(*keys).agg(F.count("mid").alias("samples")).filter(
+    # everything below reads these counts, whose exchange Spark plans once and reuses
+    counted = joined.groupBy(*keys, "mid").agg(n_rows().alias("_n"))
+    unpaid = counted.groupBy(*keys).agg(F.count("mid").alias("samples")).filter(
         F.col("samples") == 0).withColumn("median", F.lit(None).cast("double"))
-    return exact_median(joined, keys, "mid", 1000.0).unionByName(unpaid).withColumnRenamed(
+    paid = _counted_median(counted.filter(F.col("mid").isNotNull()), keys, "mid", 1000.0)
+    return paid.unionByName(unpaid).withColumnRenamed(
         "median", "median_mid").orderBy(F.col("samples") == 0, F.desc("median_mid"), *keys)
 
 

@@ -32,9 +32,13 @@ def rank_in(c: Column, order: list[str]) -> Column:
     return F.coalesce(literal_map({v: i for i, v in enumerate(order)})[c], F.lit(len(order)))
 
 
-def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The row of each key that sorts first by ``order`` (all ascending, NULL first)."""
-    rest = [c for c in df.columns if c not in keys]
+def first_per_key(df: DataFrame, keys: list[str], *order: Column, columns: list[str] | None = None) -> DataFrame:
+    """The row of each key that sorts first by ``order`` (all ascending, NULL first).
+
+    ``columns`` names the columns that are wanted besides the keys; no other is read,
+    packed or shuffled.
+    """
+    rest = [c for c in (df.columns if columns is None else columns) if c not in keys]
     rank = F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)])
     picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("_row"))
     return picked.select(*keys, "_row.*")
@@ -57,15 +61,15 @@ def latest_observation(obs: DataFrame) -> DataFrame:
     return first_per_key(obs, OBS_JOB, newest(F.col("observed_at")), F.col("observation_id"))
 
 
-def latest_posted_first(obs: DataFrame) -> DataFrame:
+def latest_posted_first(obs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One observation per job: posted pay before estimates, then newest."""
     return first_per_key(
         obs, OBS_JOB, -F.col("is_posted").cast("int"), newest(F.col("observed_at")),
-        newest(F.col("created_at")), F.col("observation_id"))
+        newest(F.col("created_at")), F.col("observation_id"), columns=columns)
 
 
 def best_observation(obs: DataFrame, country: Column | None = None,
-                     source_priority: list[str] | None = None) -> DataFrame:
+                     source_priority: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
     """Best pay evidence per job; amounts are never compared.
 
     Confidence label, posted, not predicted, newest, finest place, expected currency of
@@ -85,7 +89,7 @@ def best_observation(obs: DataFrame, country: Column | None = None,
         keys.append(F.when(expected.isNull() | (F.col("currency") == expected), 0).otherwise(1))
     if source_priority:
         keys.append(rank_in(F.col("data_source"), source_priority))
-    return first_per_key(obs, OBS_JOB, *keys, F.col("observation_id"))
+    return first_per_key(obs, OBS_JOB, *keys, F.col("observation_id"), columns=columns)
 
 
 def observation_history(obs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vacantry.functions import money as M
 from vacantry.functions import titles as X
+from vacantry.functions.staging import by_distinct
 from vacantry.functions.text import html_to_pay_text
 from vacantry.operators import salary as S
 from vacantry.operators.quality import rules_conflicts
@@ -184,8 +185,8 @@ LEVEL = words("l_orderkey", "senior", "lead", "_any", "principal", "junior", "vp
        f"{LEVEL} AS seniority FROM lineitem")
 def _(t):
     rows = t.table("lineitem").selectExpr("l_orderkey", "l_partkey", "l_suppkey", f"{RAW_TITLE} AS raw")
-    return rows.select("l_orderkey", "l_partkey", "l_suppkey", X.normalize_title(F.col("raw")).alias("title"),
-                       X.seniority(F.col("raw")).alias("seniority"))
+    value = F.col("_value")
+    return by_distinct(rows, "raw", title=X.normalize_title(value), seniority=X.seniority(value)).drop("raw")
 
 
 @query("industries",

@@ -36,7 +36,7 @@ OBS_COLS = "job_source, job_id, observation_id, data_source, confidence_label, i
        top("observations", "job_source, job_id",
            "is_posted DESC, observed_at DESC, created_at DESC, observation_id", OBS_COLS), ("observations",))
 def _(t):
-    return S.latest_posted_first(t.observations).select(*OBS_COLS.split(", "))
+    return S.latest_posted_first(t.observations, OBS_COLS.split(", ")).select(*OBS_COLS.split(", "))
 
 
 PRIORITY = ["itjobswatch", "indeed", "levels_fyi", "robert_half", "salaryexpert"]
@@ -52,8 +52,8 @@ PRIORITY = ["itjobswatch", "indeed", "levels_fyi", "robert_half", "salaryexpert"
            "WHEN 'robert_half' THEN 3 WHEN 'salaryexpert' THEN 4 ELSE 5 END, observation_id",
            OBS_COLS + ", currency, amount_median"), ("observations",))
 def _(t):
-    return S.best_observation(t.observations, F.col("country_code"), PRIORITY).select(
-        *OBS_COLS.split(", "), "currency", "amount_median")
+    wanted = [*OBS_COLS.split(", "), "currency", "amount_median"]
+    return S.best_observation(t.observations, F.col("country_code"), PRIORITY, wanted).select(*wanted)
 
 
 @query("latest_observation_per_job",
