@@ -1,8 +1,9 @@
 """Pay enrichment as set operations over all due postings at once.
 
-Posted pay is read from the stored text of every due posting; where none is found, the
-latest benchmark of the posting's cohort gives an estimate; the best evidence is then
-selected and the retry state moves.  Posted pay and estimates never mix.
+Posted pay is read from the JSON-LD and the stored text of every due posting; where none
+is found, the latest benchmark of the posting's cohort gives an estimate.  The best
+evidence is then selected, and each axis of the retry state moves on its own schedule.
+Posted pay and estimates never mix.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 from vacantry.functions.keys import observation_id, series_id
 from vacantry.functions.titles import normalize_title, seniority
 from vacantry.operators import retry
+from vacantry.operators.extractors import pick_by_country
 from vacantry.operators.salary import observation_shape, parse_salary
 from vacantry.operators.selection import (JOB, OBS_JOB, best_observation, first_per_key,
                                           latest_benchmark)
-from vacantry.operators.store import insert_ignore
+from vacantry.operators.store import insert_ignore, store_snapshot
 
 OBS_KEY = ["job_source", "job_id", "observation_id"]
 
@@ -26,6 +28,7 @@ OBS_KEY = ["job_source", "job_id", "observation_id"]
 @dataclass
 class EnrichmentResult:
     new_observations: DataFrame  # rows to append
+    snapshots: DataFrame  # benchmark snapshots to append
     selected: DataFrame  # best evidence per due posting
     state: DataFrame  # new enrichment state
 
@@ -80,19 +83,28 @@ def estimate_shape(estimates: DataFrame, as_of: str) -> DataFrame:
 
 
 def enrich(postings: DataFrame, observations: DataFrame, benchmarks: DataFrame, state: DataFrame,
-           as_of: str, use_benchmarks: bool = True, work: str | None = None) -> EnrichmentResult:
+           as_of: str, use_benchmarks: bool = True, work: str | None = None,
+           fetched: DataFrame | None = None) -> EnrichmentResult:
     """One pass over every due posting.
 
+    ``fetched`` has benchmark rows read in this pass (the columns of ``benchmarks``, with
+    series_id, country_code, data_source and payload_hash).  Of several sources for a
+    cohort the country's first choice is stored, unless that very payload is there already.
+    A posting without posted pay moves its benchmark axis: success with a fresh benchmark
+    of its cohort, else not found.  Postings with posted pay leave that axis alone.
+
     Pay read from text feeds several outputs.  With ``work``, a folder shared by all
     executors, it is written there once and read back, so texts are parsed a single time
     and a lost executor costs no re-parse; without it, each output parses again.
 
     ``postings`` needs source, job_id, url, title, description_text, country_code, region,
-    city.  Returns rows to append and the new state.
+    city, and may have jsonld.  Returns rows to append and the new state.
     """
     due = retry.due_jobs(postings, state, as_of)
-    facts = due.select(*JOB, "url", "title", "description_text", "country_code", "region", "city")
-    pay = parse_salary(facts, "description_text").drop("description_text")
+    stated = ["jsonld"] if "jsonld" in postings.columns else []
+    texts = due.select(*JOB, "url", "title", "description_text", "country_code", "region", "city", *stated)
+    facts = texts.drop(*stated)
+    pay = parse_salary(texts, "description_text", *stated).drop("description_text", *stated)
     if work is not None:
         schema = pay.schema
         pay.write.mode("errorifexists").parquet(f"{work}/pay")
@@ -104,8 +116,13 @@ def enrich(postings: DataFrame, observations: DataFrame, benchmarks: DataFrame,
     due_keys = facts.select(F.col("source").alias("job_source"), "job_id", "country_code")
     with_posted = known.filter("is_posted").select(*OBS_JOB).distinct()
 
-    new = fresh_posted
+    new, state_now = fresh_posted, state
+    snapshots = benchmarks.limit(0)
     if use_benchmarks:
+        if fetched is not None:
+            best = pick_by_country(fetched.withColumn("key", F.col("series_id"))).select(*benchmarks.columns)
+            snapshots = store_snapshot(benchmarks, best).filter("inserted").select(*benchmarks.columns)
+            benchmarks = benchmarks.unionByName(snapshots)
         open_jobs = facts.join(with_posted.select(
             F.col("job_source").alias("source"), "job_id"), JOB, "left_anti")
         cohort = cohort_benchmark(open_jobs, benchmarks, as_of).drop("country_code")
@@ -113,6 +130,11 @@ def enrich(postings: DataFrame, observations: DataFrame, benchmarks: DataFrame,
             cohort.join(open_jobs.select(*JOB, "country_code", "region", "city"), JOB), as_of)
         new = new.unionByName(insert_ignore(observations.select(*OBS_KEY), estimates, OBS_KEY,
                                             F.col("benchmark_id")))
+        served = cohort.select(*JOB, F.lit("success").alias("_served"))
+        benchmark_outcomes = open_jobs.select(*JOB).distinct().join(served, JOB, "left").select(
+            F.col("source").alias("job_source"), "job_id", F.coalesce("_served", F.lit("not_found")).alias("kind"),
+            F.when(F.col("_served").isNull(), F.lit("no benchmark for this cohort")).alias("message"))
+        state_now = retry.apply_outcomes(state_now, benchmark_outcomes, "benchmark", as_of)
     everything = observations.unionByName(new).join(
         due_keys.withColumnRenamed("country_code", "_country"), OBS_JOB)
     selected = best_observation(everything, country=F.col("_country")).drop("_country")
@@ -124,4 +146,4 @@ def enrich(postings: DataFrame, observations: DataFrame, benchmarks: DataFrame,
         F.col("source").alias("job_source"), "job_id",
         retry.fetch_event(F.col("_rows"), F.col("_usable"), F.lit(None).cast("int"), text, text).alias("kind"),
         text.alias("message"))
-    return EnrichmentResult(new, selected, retry.apply_outcomes(state, outcomes, "exact", as_of))
+    return EnrichmentResult(new, snapshots, selected, retry.apply_outcomes(state_now, outcomes, "exact", as_of))

@@ -192,10 +192,32 @@ def _(t):
 
 @query("enrichment_state",
        f"SELECT CAST(p_partkey AS VARCHAR) AS job_id, CASE WHEN p_partkey % 8 = 0 OR p_partkey % 12 NOT IN (7, 8, 9) THEN 'found' ELSE 'not_found' END AS exact_status, "
-       f"CASE WHEN p_partkey % 8 = 0 THEN 1 ELSE 2 END AS exact_attempts, CASE WHEN p_partkey % 8 <> 0 AND p_partkey % 12 IN (7, 8, 9) THEN {_asof} + INTERVAL 14 DAY END AS next_retry FROM part")
+       f"CASE WHEN p_partkey % 8 = 0 THEN 1 ELSE 2 END AS exact_attempts, CASE WHEN p_partkey % 8 <> 0 AND p_partkey % 12 IN (7, 8, 9) THEN {_asof} + INTERVAL 14 DAY END AS next_retry, "
+       f"CASE WHEN p_partkey % 8 = 0 OR p_partkey % 12 NOT IN (7, 8, 9) THEN 'pending' WHEN p_size % 3 < 2 THEN 'found' ELSE 'not_found' END AS benchmark_status, "
+       f"CASE WHEN p_partkey % 8 = 0 OR p_partkey % 12 NOT IN (7, 8, 9) THEN 0 ELSE 1 END AS benchmark_attempts, "
+       f"CASE WHEN p_partkey % 8 <> 0 AND p_partkey % 12 IN (7, 8, 9) AND p_size % 3 = 2 THEN {_asof} + INTERVAL 30 DAY END AS benchmark_next_retry FROM part")
 def _(t):
     out = enrich_all(t)
-    return out.state.select("job_id", "exact_status", "exact_attempts", F.col("exact_next_retry_at").alias("next_retry"))
+    return out.state.select("job_id", "exact_status", "exact_attempts", F.col("exact_next_retry_at").alias("next_retry"),
+                            "benchmark_status", "benchmark_attempts", F.col("benchmark_next_retry_at").alias("benchmark_next_retry"))
+
+
+# every supplier brings a figure of two sources for its own cohort; a third are stored already
+@query("enrichment_snapshots",
+       "SELECT 'new' || s_suppkey AS benchmark_id, 'indeed' AS data_source, CAST(s_suppkey AS DOUBLE) AS amount_median FROM supplier WHERE s_suppkey % 3 <> 0")
+def _(t):
+    postings, observations, _benchmarks, state = pass_inputs(t)
+    both = t.table("supplier").selectExpr(
+        "s_suppkey", "CAST(s_suppkey AS STRING) AS series_id", "'GB' AS country_code", "CAST(s_suppkey AS DOUBLE) AS amount_median",
+        "explode(array('indeed', 'somewhere else')) AS data_source", f"TIMESTAMP '{AS_OF}' AS fetched_at",
+        "'https://b.example' AS data_source_url", "'GBP' AS currency", "'year' AS period", "'base_salary' AS compensation_type",
+        "CAST(NULL AS DOUBLE) AS amount_min", "CAST(NULL AS DOUBLE) AS amount_max")
+    both = both.withColumn("payload_hash", F.sha2(F.concat_ws("|", "series_id", "data_source"), 256))
+    fetched = both.withColumn("benchmark_id", F.concat(F.lit("new"), "s_suppkey"))
+    stored = both.filter("s_suppkey % 3 = 0 AND data_source = 'indeed'").withColumn("benchmark_id", F.concat(F.lit("old"), "s_suppkey"))
+    keep = [c for c in fetched.columns if c != "s_suppkey"]
+    out = enrichment.enrich(postings, observations, stored.select(*keep), state, AS_OF, fetched=fetched.select(*keep))
+    return out.snapshots.select("benchmark_id", "data_source", "amount_median")
 
 
 @query("enrichment_new_observations",
