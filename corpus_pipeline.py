@@ -7,10 +7,9 @@ next.  All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vacantry.llm import decontaminate, packing, pii, rules, shingle_join
-from vacantry.llm.labelled import fresh, quoted
+from vacantry.llm.labelled import quoted
 from vacantry.llm.queries import byte_vocabulary, table
 from vacantry.llm.scratch import Scratch
 
@@ -21,16 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one with the smallest id.
-
-    Rows without an id cannot be named by one and all stay; of repeated rows of the kept id one stays.
-    """
-    found = shingle_join.near_duplicates(docs, Scratch(spark, "pipeline-near"))
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    mark, = fresh(docs.columns, "row_of_id")
-    ids = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    del mark
-    return ids.unionByName(docs.where("doc_id is null")).select(*quoted(*docs.columns))
+    """One document of each group of linked documents: the one with the smallest id."""
+    return shingle_join.one_of_each(docs, Scratch(spark, "pipeline-near"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,14 +113,13 @@ def test_signatures_of_frequent_shingles_meet():
         y[r.choice(n, lost, replace=False)] = r.choice(1 << 50, lost, replace=False).astype(np.uint64)
         if 5 * len(np.intersect1d(x, y)) < 4 * len(np.union1d(x, y)):
             continue
-        found = []
-        for s in (x, y):
-            s = np.sort(s)
-            keep = s[:n - int(shingle_join.least_common(n)) + max(1, 15 * n // 100)]
-            kind = np.array([int(t) % 3 for t in keep], dtype=np.uint64)
-            found.append(keep | (kind << np.uint64(56)))
-        both = np.intersect1d(*found)  # only shared shingles come so far
-        sig = [set(np.concatenate(shingle_join.signatures(both, n)).tolist()) for _ in (0, 1)]
+        both = np.intersect1d(x, y)
+        packed = both | ((both % np.uint64(3)) << np.uint64(56))
+        sig = []
+        for lost in (0, n - int(shingle_join.least_common(n)) - (n - len(both))):  # more shared shingles of one side
+            more = r.choice(1 << 50, max(lost, 0), replace=False).astype(np.uint64)
+            mine = np.union1d(packed, more | ((more % np.uint64(3)) << np.uint64(56)))
+            sig.append(set(np.concatenate(shingle_join.signatures(mine, n)).tolist()))
         assert sig[0] & sig[1]
 
 
@@ -350,6 +349,8 @@ def test_repeats(spark, docs, rows):
     assert bag(got) == collections.Counter(plain.without_repeats(every))
     short = repeats.without_repeats(frame(spark, every), Scratch(spark, "test"), length=90, grain=16)
     assert bag(short) == collections.Counter(plain.without_repeats(every, 90))
+    counted = repeats.without_repeats(frame(spark, every), Scratch(spark, "test"), length=90, grain=16, most=1)
+    assert bag(counted) == collections.Counter(plain.without_repeats(every, 90))
     assert repeats.without_repeats(empty(docs), Scratch(spark, "test")).count() == 0
 
 

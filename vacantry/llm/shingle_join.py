@@ -2,11 +2,11 @@
 
 1. Every text becomes the set of its distinct shingles (64-bit hashes).  Equal sets are one node.
 2. Two sets that link share many of their smallest shingles by hash.  Only that part of each set is dealt
-   out by shingle to count in how many nodes it occurs; what occurs in one node only links nothing, and a
-   node that keeps too few of them has no partner.
-3. The shingles that are left are ordered from rare to frequent.  Rare ones are indexed singly, frequent
-   ones in pairs or triples taken within small groups; the prefix is extended until a partner must share
-   at least one index entry.  Sizes further apart than the threshold allows never meet.
+   out by shingle, and a node that shares too few of them with other nodes has no partner.
+3. The whole sets of the nodes left are dealt out to count in how many nodes each shingle occurs.  Shared
+   shingles are ordered from rare to frequent.  Rare ones are indexed singly, frequent ones in pairs or
+   triples taken within small groups; the prefix is extended until a partner must share at least one index
+   entry.  A pair whose sizes or numbers of shared shingles rule the similarity out never meets.
 4. Within an index list each node is verified against one chosen member, links are contracted to
    components, and only pairs of different components are verified after that.  A large group of near
    copies thus costs about as many comparisons as it has members, and no link between components is missed.
@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 
 from vacantry.llm.blocks import LOWER, NOT_SPACE, Block, blocks, join_hashes, keyed, mix, windows
 from vacantry.llm.components import components
+from vacantry.llm.labelled import fresh, quoted
 from vacantry.llm.scratch import Scratch
 
 SHINGLE = 5
 NUMER, DENOM = 4, 5  # similarity 0.8 as a fraction
 EXTRA_PERCENT = 15  # shared shingles asked for in the hash-ordered part, as a share of the set
+BLOCK_SHINGLES = 1 << 18
 CLASS_LIMITS = (64, 4096)  # node counts up to which a shingle is indexed singly, in pairs; triples above
 _LOW56 = np.uint64((1 << 56) - 1)
 
@@ -86,60 +88,88 @@ SIZE_CLASS = _size_classes()
 
 
 def nodes_of(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, key, n, node) of every row; ``key`` stands for the row where ids are missing."""
+    """(doc_id, key, hash, n, node) of every row; ``hash`` is of the text, ``key`` the id or else the hash."""
     def run(batches):
         for batch in batches:
             for rows, block in blocks(batch, "text", LOWER):
                 _, _, n, node = shingle_sets(block, size)
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(node)],
-                    names=["doc_id", "key", "n", "node"])
+                    [*part.columns[:3], pa.array(n.astype(np.int64)), pa.array(node)],
+                    names=["doc_id", "key", "hash", "n", "node"])
 
-    return docs.select("doc_id", _key(docs).alias("key"), "text").mapInArrow(
-        run, "doc_id long, key long, n long, node long")
+    return docs.select("doc_id", _key().alias("key"), _hash().alias("hash"), "text").mapInArrow(
+        run, "doc_id long, key long, hash long, n long, node long")
 
 
-def _key(docs: DataFrame):
-    return F.coalesce(F.col("doc_id"), F.xxhash64("text"))
+def _hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _dealt(docs: DataFrame, parts: int, size: int) -> DataFrame:
-    """Hash-ordered part of every set, packed by (block, bucket): nodes, sizes, owner of each, shingles."""
+def _key():
+    return F.coalesce(F.col("doc_id"), _hash())
+
+
+_DEALT = "bucket int, nodes binary, sizes binary, owners binary, tokens binary"
+
+
+def _packed(text: np.ndarray, token: np.ndarray, node: np.ndarray, n: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Shingles (56 bits) by bucket, one row each: nodes and sizes, the owner of each shingle, shingles."""
+    bucket = (mix(token) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
+    out = ([], [], [], [], [])
+    for b in np.flatnonzero(np.diff(cuts)):
+        mine = order[cuts[b]:cuts[b + 1]]
+        owner, local = np.unique(text[mine], return_inverse=True)
+        seven = np.ascontiguousarray(token[mine]).view(np.uint8).reshape(-1, 8)[:, :7]
+        local = local.astype(np.uint16 if len(owner) < 65536 else np.uint32)
+        for column, value in zip(out, (int(b), node[owner].tobytes(), n[owner].astype(np.int32).tobytes(),
+                                       local.tobytes(), seven.tobytes())):
+            column.append(value)
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32())] + [pa.array(c, pa.binary()) for c in out[1:]],
+                                      names=["bucket", "nodes", "sizes", "owners", "tokens"])
+
+
+def _dealt_parts(docs: DataFrame, parts: int, size: int) -> DataFrame:
+    """Hash-ordered part of every set, dealt out; copies within a block count once."""
     def run(batches):
         for batch in batches:
             for _, block in blocks(batch, "text", LOWER):
                 text, shingle, n, node = shingle_sets(block, size)
                 fresh = np.zeros(block.n, dtype=bool)
-                fresh[np.unique(node, return_index=True)[1]] = True  # copies within the block count once
-                first = np.cumsum(n) - n
+                fresh[np.unique(node, return_index=True)[1]] = True
                 length = np.minimum(n, n - least_common(n) + _extra(n))
-                rank = np.arange(len(text)) - first[text]
-                take = (rank < length[text]) & fresh[text]
-                text, token = text[take], shingle[take] >> np.uint64(8)
-                bucket = (mix(token) % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
-                out = ([], [], [], [], [])
-                for b in np.flatnonzero(np.diff(cuts)):
-                    mine = order[cuts[b]:cuts[b + 1]]
-                    owner, local = np.unique(text[mine], return_inverse=True)
-                    seven = np.ascontiguousarray(token[mine]).view(np.uint8).reshape(-1, 8)[:, :7]
-                    for column, value in zip(out, (int(b), node[owner].tobytes(), n[owner].astype(np.int32).tobytes(),
-                                                   local.astype(np.uint16 if len(owner) < 65536 else np.uint32).tobytes(),
-                                                   seven.tobytes())):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int32())] + [pa.array(c, pa.binary()) for c in out[1:]],
-                    names=["bucket", "nodes", "sizes", "owners", "tokens"])
+                take = (np.arange(len(text)) - (np.cumsum(n) - n)[text] < length[text]) & fresh[text]
+                yield _packed(text[take], shingle[take] >> np.uint64(8), node, n, parts)
+
+    return docs.select("text").mapInArrow(run, _DEALT).repartitionById(parts, F.col("bucket"))
+
+
+def _dealt_sets(sets: DataFrame, parts: int) -> DataFrame:
+    """Whole sets, dealt out."""
+    def run(batches):
+        for batch in batches:
+            node, ends = batch.column(0).to_numpy(), batch.column(1).offsets.to_numpy()
+            values = batch.column(1).values.to_numpy().view(np.uint64)
+            at = 0
+            while at < len(node):
+                end = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_SHINGLES, "right")) - 1)
+                n = np.diff(ends[at:end + 1])
+                yield _packed(np.repeat(np.arange(end - at), n), values[ends[at]:ends[end]] >> np.uint64(8),
+                              node[at:end], n, parts)
+                at = end
 
-    return docs.select("text").mapInArrow(
-        run, "bucket int, nodes binary, sizes binary, owners binary, tokens binary")
+    return sets.select("node", "shingles").mapInArrow(run, _DEALT).repartitionById(parts, F.col("bucket"))
 
 
-def _shared(batches):
-    """Shingles of the buckets of one partition that occur in several nodes, by node, with their class."""
-    node, size, owner, token = [], [], [], []
+def _gathered(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of the buckets of one partition that occur in several nodes.
+
+    Gives all nodes and their sizes, then for each shingle and node: the node's index, the shingle, and in how
+    many nodes it occurs.
+    """
+    node, size, owner, token = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     n_nodes = 0
     for batch in batches:
         for nodes, sizes, owners, tokens in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
@@ -152,10 +182,8 @@ def _shared(batches):
             owner.append(np.frombuffer(owners, np.uint16 if len(own) < 65536 else np.uint32).astype(np.int64) + n_nodes)
             token.append(wide.view(np.uint64)[:, 0])
             n_nodes += len(own)
-    if not node:
-        return
     node, ref = np.unique(np.concatenate(node), return_inverse=True)
-    sizes = np.zeros(len(node), dtype=np.int32)
+    sizes = np.zeros(len(node), dtype=np.int64)
     sizes[ref] = np.concatenate(size)
     owner, token = ref[np.concatenate(owner)], np.concatenate(token)
     order = np.lexsort((owner, token))
@@ -163,20 +191,34 @@ def _shared(batches):
     new = np.ones(len(token), dtype=bool)
     new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
     owner, token = owner[new], token[new]
-    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, int)
     count = np.diff(np.append(first, len(token)))
-    kind = np.searchsorted(CLASS_LIMITS, count)  # 0 single, 1 pairs, 2 triples
-    count, kind = np.repeat(count, count), np.repeat(kind, count)
+    count = np.repeat(count, count)
     keep = count > 1
-    owner, packed = owner[keep], (kind[keep].astype(np.uint64) << np.uint64(56)) | token[keep]
+    return node, sizes, owner[keep], token[keep], count[keep]
+
+
+def _shared_counts(batches):
+    """How many of the shingles dealt to one partition each node shares with others."""
+    node, size, owner, _, _ = _gathered(batches)
+    count = np.bincount(owner, minlength=len(node))
+    some = count > 0
+    yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(size[some]), pa.array(count[some])],
+                                     names=["node", "n", "shared"])
+
+
+def _shared_tokens(batches):
+    """Shared shingles dealt to one partition by node, with their class in the top byte."""
+    node, size, owner, token, count = _gathered(batches)
+    packed = (np.searchsorted(CLASS_LIMITS, count).astype(np.uint64) << np.uint64(56)) | token
     order = np.argsort(owner, kind="stable")
     owner, packed = owner[order], packed[order]
-    cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])) if len(owner) else [0]
+    cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])) if len(owner) else np.zeros(1, int)
     for at in range(0, len(cuts) - 1, 10_000):
         part = cuts[at:at + 10_001]
         own = owner[part[:-1]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(node[own]), pa.array(sizes[own].astype(np.int64)),
+            [pa.array(node[own]), pa.array(size[own]),
              pa.array([packed[a:b].tobytes() for a, b in zip(part[:-1], part[1:])], pa.binary())],
             names=["node", "n", "tokens"])
 
@@ -190,12 +232,12 @@ def signatures(packed: np.ndarray, n: int) -> list[np.ndarray]:
     """
     packed = np.sort(packed)
     kind, token = (packed >> np.uint64(56)).astype(np.int64), packed & _LOW56
-    budget = len(packed) - int(least_shared(n))
+    budget = len(packed) - int(least_common(n))
     own = int(np.searchsorted(SIZE_CLASS, n, "right")) - 1
     out = []
     for size_class in (own, own + 1):
         smallest = int(SIZE_CLASS[max(size_class - 1, 0)])
-        groups = (int(least_shared(smallest)) - 1) // 3
+        groups = (int(least_common(smallest)) - 1) // 6
         k = np.where(kind > 0, kind + 1, 1) if groups else np.ones(len(kind), dtype=np.int64)
         group = np.where(k > 1, k * groups + (mix(token) % np.uint64(max(groups, 1))).astype(np.int64), -1)
         seen: dict[int, int] = {}
@@ -223,19 +265,20 @@ def signatures(packed: np.ndarray, n: int) -> list[np.ndarray]:
 
 def _index(batches):
     for batch in batches:
-        sig, node, size = [], [], []
+        sig, node, size, shared = [], [], [], []
         for name, n, lists in zip(*(batch.column(i).to_pylist() for i in range(3))):
             packed = np.frombuffer(b"".join(lists), dtype=np.uint64)
-            if len(packed) < least_shared(n):
+            if len(packed) < least_common(n):
                 continue
             for s in signatures(packed, n):
                 sig.append(s)
                 node.append(np.full(len(s), name, dtype=np.int64))
                 size.append(np.full(len(s), n, dtype=np.int64))
+                shared.append(np.full(len(s), len(packed), dtype=np.int64))
         if sig:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(node)),
-                 pa.array(np.concatenate(size))], names=["sig", "node", "n"])
+                [pa.array(np.concatenate(sig).view(np.int64)),
+                 *(pa.array(np.concatenate(c)) for c in (node, size, shared))], names=["sig", "node", "n", "shared"])
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -243,42 +286,37 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for _, block in blocks(batch, "text", LOWER):
                 _, shingle, n, node = shingle_sets(block, size)
-                at = np.concatenate([[0], np.cumsum(n)])
+                at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node), pa.array([shingle[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())],
+                    [pa.array(node), pa.ListArray.from_arrays(pa.array(at), pa.array(shingle.view(np.int64)))],
                     names=["node", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "node long, shingles binary")
-
-
-def _verified(batches):
-    for batch in batches:
-        keep = np.zeros(batch.num_rows, dtype=bool)
-        for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-            both = len(a) + len(b) - len(np.union1d(a, b))
-            keep[i] = DENOM * both >= NUMER * (len(a) + len(b) - both)
-        if keep.any():
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+    return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets reach the similarity."""
     out = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-           .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-           .select("a", "b", "x", "y"))
-    return out.mapInArrow(_verified, "a long, b long")
+           .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"))
+    both = F.size(F.array_intersect("x", "y"))
+    return (out.withColumn("both", both)
+            .where(DENOM * F.col("both") >= NUMER * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"))
 
 
-_NEAR = f"{NUMER} * greatest(n, m) <= {DENOM} * least(n, m)"
+# Similar enough by size, and if both shared as many shingles as the one that shares fewer has.
+_NEAR = f"""{NUMER} * greatest(n, m) <= {DENOM} * least(n, m)
+    AND {NUMER + DENOM} * least(shared, shared_b) >= {NUMER} * (n + m)"""
 
 
-def _star_pairs(index: DataFrame, seed: int) -> DataFrame:
-    """At most one pair per node: with the chosen member it shares most index lists with, if in another component."""
-    order = F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), F.col("node").alias("b"), F.col("n").alias("m"),
-                     F.col("component").alias("other"))
+def _star_pairs(index: DataFrame) -> DataFrame:
+    """At most one pair per node: with the chosen member it shares most index lists with, if in another component.
+
+    The member with the smallest share of shingles of its own is chosen, as it is nearest to the middle.
+    """
+    order = F.struct((1 - F.col("shared") / F.col("n")).alias("own"), F.xxhash64("node").alias("h"), F.col("node").alias("b"),
+                     F.col("n").alias("m"), F.col("shared").alias("shared_b"), F.col("component").alias("other"))
     chosen = (index.groupBy("sig").agg(F.min(order).alias("p"), F.count("*").alias("rows"))
-              .where("rows > 1").select("sig", "p.b", "p.m", "p.other"))
+              .where("rows > 1").select("sig", "p.b", "p.m", "p.shared_b", "p.other"))
     pairs = (index.join(chosen, "sig").where("component <> other").where(_NEAR)
              .groupBy("node", "b").agg(F.count("*").alias("lists")))
     return (pairs.groupBy("node").agg(F.max(F.struct("lists", "b")).alias("best"))
@@ -286,17 +324,22 @@ def _star_pairs(index: DataFrame, seed: int) -> DataFrame:
 
 
 def _cross_pairs(index: DataFrame) -> DataFrame:
-    """All pairs of one index list whose components differ, at least one of them outside the list's largest."""
-    parts = index.groupBy("sig", "component").agg(F.count("*").alias("rows"))
+    """All pairs of one index list whose components differ, at least one of them outside the list's largest.
+
+    Entries that no size in their list could reach leave first.
+    """
+    least = index.groupBy("sig").agg(F.min("n").alias("least"), F.max("shared").alias("most"), F.count("*").alias("rows"))
+    reach = (index.join(least.where("rows > 1"), "sig")
+             .where(f"{NUMER + DENOM} * least(shared, most) >= {NUMER} * (n + least)").drop("least", "most", "rows"))
+    parts = reach.groupBy("sig", "component").agg(F.count("*").alias("rows"))
     mixed = (parts.groupBy("sig").agg(F.count("*").alias("parts"), F.max(F.struct("rows", "component")).alias("top"))
              .where("parts > 1").select("sig", F.col("top.component").alias("major")))
-    left = index.join(mixed, "sig")
-    minor = left.where("component <> major").select("sig", F.col("node").alias("a"), "n",
+    left = reach.join(mixed, "sig")
+    minor = left.where("component <> major").select("sig", F.col("node").alias("a"), "n", "shared",
                                                     F.col("component").alias("of_a"))
-    every = left.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("of_b"),
-                        "major")
-    out = minor.join(every, "sig").where("of_a <> of_b").where(_NEAR)
-    out = out.where("of_b = major or a < b")
+    every = left.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("shared").alias("shared_b"),
+                        F.col("component").alias("of_b"), "major")
+    out = minor.join(every, "sig").where("of_a <> of_b").where(_NEAR).where("of_b = major or a < b")
     return out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -306,40 +349,61 @@ def _labelled(index: DataFrame, member: DataFrame | None) -> DataFrame:
     return index.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text; other columns are ignored).
-
-    Sets link at a Jaccard similarity of 0.8 or more.  ``component_id`` is the smallest doc_id reachable by
-    links, null only if every id there is null.  A null or empty text has no shingles and only itself.
-    Repeated rows each give a row; rows of one doc_id with different texts are separate sets.  Sets are
-    compared as 64-bit hashes.
-    """
+def _grouped(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
+    """(doc_id, hash, n, component) of every row; the component is null for a text without words."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     rows = scratch.keep(nodes_of(docs, size), "rows")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _dealt(docs, parts, size).repartitionById(parts, F.col("bucket"))
-    shared = dealt.mapInArrow(_shared, "node long, n long, tokens binary")
-    lists = shared.groupBy("node", "n").agg(F.collect_list("tokens").alias("tokens"))
-    index = scratch.keep(lists.mapInArrow(_index, "sig long, node long, n long"), "index")
-
-    met = index.groupBy("sig").agg(F.count("*").alias("rows")).where("rows > 1")
-    listed = index.join(met, "sig", "left_semi").select("node").distinct()
-    keys = rows.groupBy("node").agg(F.min("key").alias("key")).join(listed, "node", "left_semi").select("key").distinct()
-    with_key = docs.select("text", _key(docs).alias("key")).join(keys, "key", "left_semi")
+    counts = _dealt_parts(docs, parts, size).mapInArrow(_shared_counts, "node long, n long, shared long")
+    enough = f"shared >= greatest(1, {EXTRA_PERCENT} * (({NUMER} * n + {DENOM - 1}) div {DENOM}) div 100)"
+    near = scratch.keep(counts.groupBy("node", "n").agg(F.sum("shared").alias("shared")).where(enough).select("node"), "near")
+    keys = rows.groupBy("node").agg(F.min("key").alias("key")).join(near, "node", "left_semi").select("key").distinct()
+    with_key = docs.select("text", _key().alias("key")).join(keys, "key", "left_semi")
     sets = scratch.keep(_sets(with_key, size), "sets")
 
+    tokens = _dealt_sets(sets, parts).mapInArrow(_shared_tokens, "node long, n long, tokens binary")
+    lists = tokens.groupBy("node", "n").agg(F.collect_list("tokens").alias("tokens"))
+    index = scratch.keep(lists.mapInArrow(_index, "sig long, node long, n long, shared long"), "index")
+
     links, member = None, None
-    for found in (lambda i: _star_pairs(i, 1), lambda i: _star_pairs(i, 2), _cross_pairs):
+    for found in (_star_pairs, _cross_pairs):
         new = scratch.keep(verify(found(_labelled(index, member)), sets), "links")
         links = new if links is None else links.union(new)
         member = scratch.keep(components(links, scratch), "member")
 
-    out = rows.join(member, "node", "left")
     group = F.when(F.col("n") > 0, F.coalesce("component", "node"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component"))
+    return rows.join(member, "node", "left").select("doc_id", "hash", "n", group.alias("component"))
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text; other columns are ignored).
+
+    Sets link at a Jaccard similarity of 0.8 or more.  ``component_id`` is the smallest doc_id reachable by
+    links, null only if every id there is null.  A null or empty text has no shingles and only itself.
+    Repeated rows each give a row; rows of one doc_id with different texts are separate sets.  Sets are
+    compared as 64-bit hashes.
+    """
+    out = _grouped(docs, scratch, size)
     low = out.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = out.join(low, "component", "left")
-    return out.select("doc_id", "n_shingles",
-                      F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-                      .alias("component_id"))
+    return out.join(low, "component", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, scratch: Scratch, size: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` with all their columns, one of each group of linked texts.
+
+    The row with the smallest doc_id stays, rows without one coming last; of rows with that id the one whose
+    text has the smallest hash.  Of repeated rows (same id and text) one stays, also of empty ones.
+    """
+    out = _grouped(docs, scratch, size)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    first = out.where("component is not null").groupBy("component").agg(F.min(order).alias("first"))
+    gone = (out.join(first, "component").where(order != F.col("first"))
+            .select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash")).distinct())
+    mark, = fresh(docs.columns, "text_hash")
+    ids, hashes = quoted("doc_id", mark)
+    rest = docs.withColumn(mark, _hash()).join(gone, hashes.eqNullSafe(F.col("gone_hash")) & ids.eqNullSafe(F.col("gone_id")),
+                                               "left_anti")
+    return rest.dropDuplicates(["doc_id", mark]).select(*quoted(*docs.columns))
