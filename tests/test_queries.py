@@ -13,13 +13,17 @@ def con():
     return duck(SF)
 
 
+# queries whose rule hits nothing in so few rows; both sides must agree on that
+EMPTY_HERE: set[str] = set()
+
+
 @pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, con, name):
     ok, message = check(spark, con, SF, name, catalog.QUERIES, catalog.ORACLES)
-    assert ok or message == "no rows", message
+    assert ok or (message == "no rows" and name in EMPTY_HERE), message
 
 
-STREAMS = [n for n in catalog.QUERIES if n.endswith("_stream") or n.startswith("enrichment")]
+STREAMS = [n for n in catalog.QUERIES if n.endswith("_stream")]
 
 
 def test_no_query_pairs_rows_without_a_key(spark):

@@ -34,9 +34,10 @@ def _(t):
     found = t.postings.select("source", "job_id", "posting_key")
     tables.write_run(found, found.agg(F.count(F.lit(1)).alias("stated")), path)
     rows = t.spark.read.schema(found.schema).json(f"{path}/discovered").agg(
-        F.count(F.lit(1)).alias("discovered"), F.sum("posting_key").alias("keys"), F.lit(1).alias("_one"))
-    stated = t.spark.read.schema("stated bigint").json(f"{path}/summary").withColumn("_one", F.lit(1))
-    return rows.join(stated, "_one").drop("_one")
+        F.count(F.lit(1)).alias("discovered"), F.sum("posting_key").alias("keys"))
+    stated = t.spark.read.schema("stated bigint").json(f"{path}/summary")
+    return rows.unionByName(stated, allowMissingColumns=True).agg(
+        F.max("discovered").alias("discovered"), F.max("keys").alias("keys"), F.max("stated").alias("stated"))
 
 
 @query("report_envelopes",
