@@ -198,29 +198,70 @@ def _gathered(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     return node, sizes, owner[keep], token[keep], count[keep]
 
 
-def _shared_counts(batches):
+_BACK = "part int, nodes binary, sizes binary, counts binary, tokens binary"
+
+
+def _sent_back(node: np.ndarray, size: np.ndarray, count: np.ndarray, token: np.ndarray, parts: int) -> pa.RecordBatch:
+    """One row per part that nodes are dealt to: nodes, sizes, numbers of shingles, and the shingles of each in turn.
+
+    ``token`` holds the shingles of the nodes one after another, or is empty.
+    """
+    part = (mix(node.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    at = np.concatenate([[0], np.cumsum(count)])
+    out = ([], [], [], [], [])
+    for p in np.flatnonzero(np.diff(cuts)):
+        mine = order[cuts[p]:cuts[p + 1]]
+        own = b"".join(token[at[i]:at[i + 1]].tobytes() for i in mine) if len(token) else b""
+        for column, value in zip(out, (int(p), node[mine].tobytes(), size[mine].tobytes(), count[mine].tobytes(), own)):
+            column.append(value)
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32())] + [pa.array(c, pa.binary()) for c in out[1:]],
+                                      names=["part", "nodes", "sizes", "counts", "tokens"])
+
+
+def _shared_counts(parts: int):
     """How many of the shingles dealt to one partition each node shares with others."""
-    node, size, owner, _, _ = _gathered(batches)
-    count = np.bincount(owner, minlength=len(node))
-    some = count > 0
-    yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(size[some]), pa.array(count[some])],
-                                     names=["node", "n", "shared"])
+    def run(batches):
+        node, size, owner, _, _ = _gathered(batches)
+        count = np.bincount(owner, minlength=len(node)).astype(np.int64)
+        some = count > 0
+        yield _sent_back(node[some], size[some], count[some], np.zeros(0, np.uint64), parts)
 
+    return run
 
-def _shared_tokens(batches):
+
+def _shared_tokens(parts: int):
     """Shared shingles dealt to one partition by node, with their class in the top byte."""
-    node, size, owner, token, count = _gathered(batches)
-    packed = (np.searchsorted(CLASS_LIMITS, count).astype(np.uint64) << np.uint64(56)) | token
-    order = np.argsort(owner, kind="stable")
-    owner, packed = owner[order], packed[order]
-    cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])) if len(owner) else np.zeros(1, int)
-    for at in range(0, len(cuts) - 1, 10_000):
-        part = cuts[at:at + 10_001]
-        own = owner[part[:-1]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(node[own]), pa.array(size[own]),
-             pa.array([packed[a:b].tobytes() for a, b in zip(part[:-1], part[1:])], pa.binary())],
-            names=["node", "n", "tokens"])
+    def run(batches):
+        node, size, owner, token, count = _gathered(batches)
+        packed = (np.searchsorted(CLASS_LIMITS, count).astype(np.uint64) << np.uint64(56)) | token
+        packed = packed[np.argsort(owner, kind="stable")]
+        n = np.bincount(owner, minlength=len(node)).astype(np.int64)
+        some = n > 0
+        yield _sent_back(node[some], size[some], n[some], packed, parts)
+
+    return run
+
+
+def _arrived(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``_sent_back`` of one part: distinct nodes, their sizes, and for each entry its node, count and all shingles."""
+    columns = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, np.uint64)]
+    for batch in batches:
+        for k, name in enumerate(("nodes", "sizes", "counts", "tokens")):
+            for value in batch.column(batch.schema.get_field_index(name)).to_pylist():
+                columns[k].append(np.frombuffer(value, dtype=columns[k][0].dtype))
+    node, size, count, token = (np.concatenate(c) for c in columns)
+    distinct, ref = np.unique(node, return_inverse=True)
+    sizes = np.zeros(len(distinct), dtype=np.int64)
+    sizes[ref] = size
+    return distinct, sizes, ref, count, token
+
+
+def _may_have_partner(batches):
+    node, size, ref, count, _ = _arrived(batches)
+    shared = np.bincount(ref, weights=count, minlength=len(node))
+    yield pa.RecordBatch.from_arrays([pa.array(node[shared >= least_shared(size)])], names=["node"])
 
 
 def signatures(packed: np.ndarray, n: int) -> list[np.ndarray]:
@@ -264,21 +305,21 @@ def signatures(packed: np.ndarray, n: int) -> list[np.ndarray]:
 
 
 def _index(batches):
-    for batch in batches:
-        sig, node, size, shared = [], [], [], []
-        for name, n, lists in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            packed = np.frombuffer(b"".join(lists), dtype=np.uint64)
-            if len(packed) < least_common(n):
-                continue
-            for s in signatures(packed, n):
+    node, size, ref, count, token = _arrived(batches)
+    owner = np.repeat(ref, count)
+    token = token[np.argsort(owner, kind="stable")]
+    at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(node)))])
+    enough = np.flatnonzero(np.diff(at) >= least_common(size))
+    for first in range(0, len(enough), 1000):
+        sig, rows = [], []
+        for i in enough[first:first + 1000]:
+            packed = token[at[i]:at[i + 1]]
+            for s in signatures(packed, int(size[i])):
                 sig.append(s)
-                node.append(np.full(len(s), name, dtype=np.int64))
-                size.append(np.full(len(s), n, dtype=np.int64))
-                shared.append(np.full(len(s), len(packed), dtype=np.int64))
-        if sig:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(sig).view(np.int64)),
-                 *(pa.array(np.concatenate(c)) for c in (node, size, shared))], names=["sig", "node", "n", "shared"])
+                rows.append(np.broadcast_to(np.array([node[i], size[i], len(packed)]), (len(s), 3)))
+        rows = np.concatenate(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), *(pa.array(c) for c in rows.T.copy())],
+                                         names=["sig", "node", "n", "shared"])
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -355,16 +396,15 @@ def _grouped(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = scratch.keep(nodes_of(docs, size), "rows")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = _dealt_parts(docs, parts, size).mapInArrow(_shared_counts, "node long, n long, shared long")
-    enough = f"shared >= greatest(1, {EXTRA_PERCENT} * (({NUMER} * n + {DENOM - 1}) div {DENOM}) div 100)"
-    near = scratch.keep(counts.groupBy("node", "n").agg(F.sum("shared").alias("shared")).where(enough).select("node"), "near")
+    back = F.col("part")
+    counts = _dealt_parts(docs, parts, size).mapInArrow(_shared_counts(parts), _BACK).repartitionById(parts, back)
+    near = scratch.keep(counts.mapInArrow(_may_have_partner, "node long"), "near")
     keys = rows.groupBy("node").agg(F.min("key").alias("key")).join(near, "node", "left_semi").select("key").distinct()
     with_key = docs.select("text", _key().alias("key")).join(keys, "key", "left_semi")
     sets = scratch.keep(_sets(with_key, size), "sets")
 
-    tokens = _dealt_sets(sets, parts).mapInArrow(_shared_tokens, "node long, n long, tokens binary")
-    lists = tokens.groupBy("node", "n").agg(F.collect_list("tokens").alias("tokens"))
-    index = scratch.keep(lists.mapInArrow(_index, "sig long, node long, n long, shared long"), "index")
+    tokens = _dealt_sets(sets, parts).mapInArrow(_shared_tokens(parts), _BACK).repartitionById(parts, back)
+    index = scratch.keep(tokens.mapInArrow(_index, "sig long, node long, n long, shared long"), "index")
 
     links, member = None, None
     for found in (_star_pairs, _cross_pairs):
@@ -386,6 +426,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = SHINGLE) -> D
     """
     out = _grouped(docs, scratch, size)
     low = out.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    low = scratch.keep(low, "low")  # so that the join below has no aggregate on its side and can be split
     return out.join(low, "component", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -399,7 +440,7 @@ def one_of_each(docs: DataFrame, scratch: Scratch, size: int = SHINGLE) -> DataF
     """
     out = _grouped(docs, scratch, size)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    first = out.where("component is not null").groupBy("component").agg(F.min(order).alias("first"))
+    first = scratch.keep(out.where("component is not null").groupBy("component").agg(F.min(order).alias("first")), "first")
     gone = (out.join(first, "component").where(order != F.col("first"))
             .select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash")).distinct())
     mark, = fresh(docs.columns, "text_hash")
