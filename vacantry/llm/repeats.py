@@ -6,7 +6,9 @@ whose anchor n-gram occurs once are unique and drop out by counting; equal stret
 their number.  The others are dealt out by anchor.  There all stretches are cut into symbols of GRAIN bytes
 aligned to the anchor, the suffixes of the symbol string are sorted by grouping (``suffix_groups``), suffixes
 that agree on all whole symbols of a window form a class, and the windows of a class are compared as bytes
-by their hash.  Runs of repeated windows go back to their documents by joins.
+by their hash.  An anchor with very many different stretches, as at the edge of a passage that very many
+documents share, is too much for one task: its windows are counted one by one, by Spark.  Runs of repeated
+windows go back to their documents by joins.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ LENGTH = 400
 GRAIN = 32  # bytes of an n-gram and of a symbol
 BLOCK = 1 << 20
 TASK_BYTES = 4 << 20  # of stretches sorted together, more only for one anchor
+STRETCHES_PER_TASK = 20_000  # different stretches of one anchor that one task sorts
 _PLACE = 26  # low bits of a window key that hold a place in the block
 _STRETCHES = "array<struct<key:bigint,content:bigint,start:int,n:int,anchor:int>>"
 
@@ -198,6 +201,51 @@ def _sorted_out(length: int, grain: int):
     return run
 
 
+def _single_windows(length: int):
+    def run(batches):
+        for batch in batches:
+            texts = text_array(batch, "text")
+            for i, wanted in enumerate(batch.column(batch.schema.get_field_index("wanted")).to_pylist()):
+                data = np.frombuffer(texts[i].as_py().encode(), dtype=np.uint8)
+                block = Block(data, np.array([0, len(data)]))
+                n = np.array([w["n"] for w in wanted])
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                start = np.repeat([w["start"] for w in wanted], n) + at
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat([w["content"] for w in wanted], n)), pa.array(at.astype(np.int32)),
+                     pa.array(block.hashes(start, start + length).view(np.int64)),
+                     pa.array(np.repeat([w["weight"] for w in wanted], n))], names=["content", "at", "window", "weight"])
+
+    return run
+
+
+def _joined_runs(batches):
+    for batch in batches:
+        runs = []
+        for places in batch.column(1).to_pylist():
+            flags = np.zeros(max(places) + 1, dtype=bool)
+            flags[places] = True
+            runs.append(_runs(flags).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.binary())], names=["content", "runs"])
+
+
+def _counted_runs(texts: DataFrame, wanted: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+    """Runs of repeated windows of stretches, from the number of each window."""
+    every = scratch.keep(texts.join(wanted, ["ref", "row"]).select("text", "wanted").mapInArrow(
+        _single_windows(length), "content long, at int, window long, weight long"), "windows")
+    again = every.groupBy("window").agg(F.sum("weight").alias("total")).where("total > 1").select("window")
+    again = scratch.keep(again, "again")  # a plain join, which Spark can split where a window is very frequent
+    places = every.join(again, "window", "left_semi").groupBy("content").agg(F.collect_set("at").alias("places"))
+    return places.mapInArrow(_joined_runs, "content long, runs binary")
+
+
+def _by_document(contents: DataFrame) -> DataFrame:
+    """The stretches to cut out of each chosen document."""
+    return contents.groupBy("at.ref", "at.row").agg(F.collect_list(F.struct(
+        F.col("at.key").alias("key"), "content", "weight", F.col("at.start").alias("start"), F.col("at.n").alias("n"),
+        F.col("at.anchor").alias("anchor"))).alias("wanted"))
+
+
 def _finished(length: int):
     def run(batches):
         for batch in batches:
@@ -222,7 +270,8 @@ def _finished(length: int):
     return run
 
 
-def without_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
+def without_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, grain: int = GRAIN,
+                    most: int = STRETCHES_PER_TASK) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of (doc_id, text).
 
     A byte is removed if some string of ``length`` bytes over it starts anywhere else too, in this or another
@@ -241,16 +290,21 @@ def without_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
                          .select("ref", "row", "copies", "s.*"), "stretches")
 
     keys = items.groupBy("key").agg(F.sum("copies").alias("total")).where("total > 1").select("key")
+    keys = scratch.keep(keys, "keys")  # so that the join below has no aggregate on its side and can be split
     shared = scratch.keep(items.join(keys, "key", "left_semi"), "shared")
     contents = shared.groupBy("content").agg(
         F.sum("copies").alias("weight"), F.min(F.struct("ref", "row", "start", "n", "anchor", "key")).alias("at"))
-    wanted = contents.groupBy("at.ref", "at.row").agg(F.collect_list(F.struct(
-        F.col("at.key").alias("key"), "content", "weight", F.col("at.start").alias("start"), F.col("at.n").alias("n"),
-        F.col("at.anchor").alias("anchor"))).alias("wanted"))
-    cut = texts.join(wanted, ["ref", "row"]).select("text", "wanted").mapInArrow(
+    contents = scratch.keep(contents, "contents")
+    many = scratch.keep(contents.groupBy(F.col("at.key").alias("many")).agg(F.count("*").alias("different"))
+                        .where(F.col("different") > most).select("many"), "many")
+    few = contents.join(many, F.col("at.key") == F.col("many"), "left_anti")
+    cut = texts.join(_by_document(few), ["ref", "row"]).select("text", "wanted").mapInArrow(
         _cut_out(length), "key long, content long, weight long, anchor int, data binary")
     runs = scratch.keep(cut.repartition(parts, "key").sortWithinPartitions("key", "content")
                         .mapInArrow(_sorted_out(length, grain), "content long, runs binary"), "runs")
+    if not many.isEmpty():
+        rest = contents.join(many, F.col("at.key") == F.col("many"), "left_semi")
+        runs = runs.union(scratch.keep(_counted_runs(texts, _by_document(rest), scratch, length), "runs"))
 
     found = (shared.select("ref", "start", "content").join(runs, "content")
              .groupBy("ref").agg(F.collect_list(F.struct("start", "runs")).alias("found")))
