@@ -2,7 +2,7 @@
 
 Everything here is a value results depend on.  Larger vocabularies (skills,
 title-exclusion families, taxonomies) are parameters and come from files or
-tables, see ``vacantry.sources.readers``.
+tables, see ``vacantry.sources.tables``.
 """
 
 # --- fixed values: labels -------------------------------------------------

@@ -114,6 +114,7 @@ def has_ote(c: Column) -> Column:
 
 def ote_amount(c: Column) -> Column:
     """Struct (amount, currency) stated next to on-target wording, else NULL."""
+    # fixed values: wording patterns
     near = r"[^£$€\w]{0,30}"
     amount = r"([\d,'.]+k?)"
     tries = [
@@ -266,6 +267,7 @@ def parse_salary(df: DataFrame, text: str, jsonld: str | None = None) -> DataFra
 MONEY_MARK = r"(?:GBP|EUR|USD|DKK|CHF|£|€|\$)"
 AMOUNT = r"[0-9][0-9.,]*(?:\s?[kK])?"
 PER_YEAR = r"(?:per year|/yr|year|annually|annual|p\.a\.)"
+# fixed values: advertiser wording
 ADVERTISER_PATTERNS = [
     rf"(?i)({MONEY_MARK}\s?{AMOUNT}\s*(?:-|–|—|to)\s*(?:{MONEY_MARK}\s?)?{AMOUNT}(?:\s*{PER_YEAR})?)",
     rf"(?i)({MONEY_MARK}\s?{AMOUNT}\s*{PER_YEAR})",

@@ -229,11 +229,12 @@ def _(t):
        "SELECT ('0x' || substr(h, 1, 15))::BIGINT AS s0, ('0x' || substr(h, 16, 15))::BIGINT AS s1, ('0x' || substr(h, 31, 15))::BIGINT AS s2, "
        "('0x' || substr(h, 46, 15))::BIGINT AS s3 FROM (SELECT sha256('{\"source\":\"' || lang || '\",\"job_id\":\"' || CAST(doc_id AS VARCHAR) || '\",\"title\":\"' || "
        "CASE doc_id % 2 WHEN 0 THEN 'Senior Data  Engineer' ELSE 'Plumber' END || '\"' || CASE doc_id % 3 WHEN 0 THEN ',\"country_code\":\"GB\"' WHEN 1 THEN "
-       "',\"country_code\":\"US\"' ELSE '' END || ',\"description_text\":\"' || CAST(n_chars AS VARCHAR) || '\"}') AS h FROM documents) a) b) c")
+       "',\"country_code\":\"US\"' ELSE '' END || ',\"description_text\":' || CAST(to_json(text) AS VARCHAR) || '}') AS h FROM documents) a) b) c")
 def _(t):
-    rows = described(t).join(t.table("documents").select("doc_id", "n_chars"), "doc_id")
-    jobs = rows.select("source", "job_id", "title", F.lit(None).cast("string").alias("company"), "country_code",
-                       F.col("n_chars").cast("string").alias("description_text"))
+    rows = t.table("documents").selectExpr(
+        "lang AS source", f"{text('doc_id')} AS job_id", words("doc_id", "Senior Data  Engineer", "Plumber") + " AS title",
+        words("doc_id", "GB", "US", None) + " AS country_code", "text AS description_text")
+    jobs = rows.withColumn("company", F.lit(None).cast("string"))
     return R.search_id(jobs, "Data Engineer", "profile")
 
 
