@@ -326,13 +326,27 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for _, block in blocks(batch, "text", LOWER):
-                _, shingle, n, node = shingle_sets(block, size)
+                text, shingle, n, node = shingle_sets(block, size)
                 at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node), pa.ListArray.from_arrays(pa.array(at), pa.array(shingle.view(np.int64)))],
-                    names=["node", "shingles"])
+                    [pa.array(node), pa.ListArray.from_arrays(pa.array(at), pa.array(shingle.view(np.int64))),
+                     *map(pa.array, _parities(text, shingle, block.n).T.copy())], names=["node", "shingles", *PARITY])
+
+    return docs.select("text").mapInArrow(run, "node long, shingles array<long>, " + ", ".join(f"{p} long" for p in PARITY))
+
+
+PARITY = [f"parity{i}" for i in range(8)]
 
-    return docs.select("text").mapInArrow(run, "node long, shingles array<long>")
+
+def _parities(text: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
+    """64 bits per column of PARITY and text: whether an odd number of shingles fall on each bit.
+
+    Two sets differ in at least as many shingles as their bits differ.
+    """
+    bits = 64 * len(PARITY)
+    cell = text * bits + (mix(shingle) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
+    return np.packbits(odd, axis=1).view(np.int64)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -364,10 +378,11 @@ def _star_pairs(index: DataFrame) -> DataFrame:
             .select(F.col("node").alias("a"), F.col("best.b").alias("b")))
 
 
-def _cross_pairs(index: DataFrame) -> DataFrame:
+def _cross_pairs(index: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs of one index list whose components differ, at least one of them outside the list's largest.
 
-    Entries that no size in their list could reach leave first.
+    Entries that no size in their list could reach leave first, and pairs whose parity bits differ more than
+    their sets may.
     """
     least = index.groupBy("sig").agg(F.min("n").alias("least"), F.max("shared").alias("most"), F.count("*").alias("rows"))
     reach = (index.join(least.where("rows > 1"), "sig")
@@ -375,12 +390,15 @@ def _cross_pairs(index: DataFrame) -> DataFrame:
     parts = reach.groupBy("sig", "component").agg(F.count("*").alias("rows"))
     mixed = (parts.groupBy("sig").agg(F.count("*").alias("parts"), F.max(F.struct("rows", "component")).alias("top"))
              .where("parts > 1").select("sig", F.col("top.component").alias("major")))
-    left = reach.join(mixed, "sig")
+    bits = sets.select("node", *PARITY).dropDuplicates(["node"])
+    left = reach.join(mixed, "sig").join(bits, "node")
     minor = left.where("component <> major").select("sig", F.col("node").alias("a"), "n", "shared",
-                                                    F.col("component").alias("of_a"))
+                                                    F.col("component").alias("of_a"), *PARITY)
     every = left.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("shared").alias("shared_b"),
-                        F.col("component").alias("of_b"), "major")
+                        F.col("component").alias("of_b"), "major", *[F.col(p).alias(f"{p}_b") for p in PARITY])
+    apart = " + ".join(f"bit_count({p} ^ {p}_b)" for p in PARITY)
     out = minor.join(every, "sig").where("of_a <> of_b").where(_NEAR).where("of_b = major or a < b")
+    out = out.where(f"{NUMER + DENOM} * ({apart}) <= {DENOM - NUMER} * (n + m)")
     return out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -407,7 +425,7 @@ def _grouped(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     index = scratch.keep(tokens.mapInArrow(_index, "sig long, node long, n long, shared long"), "index")
 
     links, member = None, None
-    for found in (_star_pairs, _cross_pairs):
+    for found in (_star_pairs, lambda i: _cross_pairs(i, sets)):
         new = scratch.keep(verify(found(_labelled(index, member)), sets), "links")
         links = new if links is None else links.union(new)
         member = scratch.keep(components(links, scratch), "member")
