@@ -248,6 +248,23 @@ def test_packing(spark, docs, rows):
     assert sum(len(r.ids) for r in ids) == packed.agg(F.sum("length")).first()[0]
 
 
+def test_packing_of_one_length(spark):
+    """A length whose documents are all cut: the second parts lie in several ranges of one first-part range."""
+    ids = [257] * 1499 + [1]  # " a" is one token
+    for n in (4, 1001):
+        df = spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit(" a"), 1499).alias("text")).repartition(3)
+        pieces = packing.packed(df, Scratch(spark, "test"), **byte_vocabulary()).toPandas()
+        per = {i: p.sort_values("start") for i, p in pieces.groupby("doc_id")}
+        assert sorted(per) == list(range(n))
+        for p in per.values():
+            assert p.length.sum() == 1500 and set(p.doc_tokens) == {1500}
+            assert p.start.tolist() == [0, *p.length.cumsum().tolist()[:-1]]
+            assert p.ids_crc32.tolist() == [plain.crc(ids[a:a + k]) for a, k in zip(p.start, p.length)]
+        order = pieces.sort_values(["sequence_id", "offset"])
+        assert (order.groupby("sequence_id").length.cumsum() - order.length).tolist() == order.offset.tolist()
+        assert order.groupby("sequence_id").length.sum().max() <= 2048
+
+
 def test_quality_scores(spark, docs):
     good, bad = "calm words about nothing in particular that go on for a while", "LOUD!! WORDS!! "
     many = frame(spark, [(i, good + f" {i}" * (i % 9) if i % 2 else bad * (3 + i % 5)) for i in range(500)])

@@ -236,9 +236,11 @@ def make_plan(histogram: np.ndarray, window: int = WINDOW, cut: int = CUT) -> Pl
 
 
 def _placed(plan: Plan, window: int, cut: int):
+    # ranges from the first id and ranges of second parts are cut at different ranks: a table for each, in
+    # which no two ranges of a length share a rank
     span = int(plan.rows[:, 2].max(initial=0)) + 1
-    key = plan.rows[:, 0] * span + plan.rows[:, 1]
-    high = plan.rows[:, 2]
+    tables = [(t[:, 0] * span + t[:, 1], t) for t in (plan.rows[plan.rows[:, 3] == 0], plan.rows[plan.rows[:, 3] > 0])
+              if len(t)]
 
     def run(batches):
         for batch in batches:
@@ -251,21 +253,20 @@ def _placed(plan: Plan, window: int, cut: int):
             flat = whole.flatten().to_numpy()
             parts = [(row, within * window, np.full(len(row), window), flat,
                       (part[row] + 1) * _ALONE + alone[row] + within, np.zeros(len(row), dtype=np.int64))]
-            # a remainder has one range, or one for each part where it was cut
+            # a remainder has one range, or one in each table where it was cut
             mine = np.flatnonzero(rest > 0)
-            for back in (0, 1):
-                at = np.searchsorted(key, rest[mine] * span + rank[mine], "right") - 1 - back
+            for key, table in tables:
+                at = np.searchsorted(key, rest[mine] * span + rank[mine], "right") - 1
                 found = np.maximum(at, 0)
-                ok = (at >= 0) & (plan.rows[found, 0] == rest[mine]) & (plan.rows[found, 1] <= rank[mine])
-                ok &= high[found] > rank[mine]
+                ok = (at >= 0) & (table[found, 0] == rest[mine]) & (table[found, 2] > rank[mine])
                 found, rows = found[ok], mine[ok]
-                start, end = plan.rows[found, 3], plan.rows[found, 4]
+                start, end = table[found, 3], table[found, 4]
                 where = np.where(end - start == rest[rows], 0,
                                  np.where(start == 0, 2 * (end // cut) - 1, 2 * (start // cut)))
                 ends = crcs.offsets.to_numpy()
                 crc = crcs.values.to_numpy()[ends[rows] + where] if len(rows) else np.zeros(0, dtype=np.int64)
                 parts.append((rows, total[rows] - rest[rows] + start, end - start, crc,
-                              plan.rows[found, 5] + rank[rows] - plan.rows[found, 1], plan.rows[found, 6]))
+                              table[found, 5] + rank[rows] - table[found, 1], table[found, 6]))
             row, start, length, crc, sequence, offset = (np.concatenate(c) for c in zip(*parts))
             yield pa.RecordBatch.from_arrays(
                 [doc.take(pa.array(row)), *(pa.array(c.astype(np.int64)) for c in (
