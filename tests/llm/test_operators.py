@@ -397,3 +397,19 @@ def test_token_counts(spark, docs):
     got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, path).where("doc_id is not null").collect()}
     assert got[3] == 0
     assert token_counts.token_counts(empty(docs), path).count() == 0
+
+
+def test_repeated_windows_among_other_keys():
+    """Suffixes of another key with the same whole symbols may be sorted between two of one class."""
+    r = np.random.default_rng(5)
+
+    def some(n):
+        return r.integers(0, 256, n).astype(np.uint8).tobytes()
+
+    middle, head, tail = some(352), some(31), some(17)
+    stretches = [head + middle + tail + some(16) for _ in range(6)] + [some(31) + middle + some(33) for _ in range(12)]
+    keys = [1] * 6 + [2] * 12
+    flags = repeats.repeated_windows(stretches, np.array(keys), np.ones(18, dtype=np.int64), np.full(18, 31))
+    windows = collections.Counter((k, t[i:i + 400]) for k, t in zip(keys, stretches) for i in range(len(t) - 399))
+    assert [f.tolist() for f in flags] == [[windows[k, t[i:i + 400]] > 1 for i in range(len(t) - 399)]
+                                           for k, t in zip(keys, stretches)]

@@ -141,13 +141,18 @@ def repeated_windows(texts: list[bytes], key: np.ndarray, weight: np.ndarray, an
     sa = sa[nth[sa] + whole <= n_symbols[owner[sa]]]
     # anchors of one key need not lie at equal symbol numbers, so the distance to the anchor is compared as well
     apart = (anchor[owner] - lead[owner]) // grain - nth
+    # the suffix order says nothing about key and distance, so they are sorted within each run of equal symbols
     fresh = np.ones(len(sa), dtype=bool)
     if len(sa) > 1:
         a, b = sa[:-1], sa[1:]
-        same = (key[owner[a]] == key[owner[b]]) & (apart[a] == apart[b])
+        same = np.ones(len(a), dtype=bool)
         for t in range(whole):
             same &= symbol[a + t] == symbol[b + t]
-        fresh[1:] = ~same
+        run = np.cumsum(np.concatenate([[True], ~same]))
+        order = np.lexsort((apart[sa], key[owner[sa]], run))
+        sa, run = sa[order], run[order]
+        a, b = sa[:-1], sa[1:]
+        fresh[1:] = (run[1:] != run[:-1]) | (key[owner[a]] != key[owner[b]]) | (apart[a] != apart[b])
     kind = np.full(len(symbol), -1, dtype=np.int64)
     kind[sa] = np.cumsum(fresh)
     members = np.bincount(kind[sa], minlength=len(sa) + 2)
