@@ -413,3 +413,28 @@ def test_repeated_windows_among_other_keys():
     windows = collections.Counter((k, t[i:i + 400]) for k, t in zip(keys, stretches) for i in range(len(t) - 399))
     assert [f.tolist() for f in flags] == [[windows[k, t[i:i + 400]] > 1 for i in range(len(t) - 399)]
                                            for k, t in zip(keys, stretches)]
+
+
+def test_stretches_of_a_text_longer_than_its_place_bits(monkeypatch):
+    import pyarrow as pa
+
+    text = "".join(random.Random(4).choice("abcdef") for _ in range(10_000))
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    block = repeats.Block(data, np.array([0, len(data)]))
+    whole = repeats.stretches(block)
+    monkeypatch.setattr(repeats, "_PLACE", 12)
+    monkeypatch.setattr(repeats, "BLOCK", 2048)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array(["short", text])], names=["row", "ref", "text"])
+    out = [r for b in repeats._listed(400, 32)([batch]) for r in b.to_pylist()]
+    assert [r["row"] for r in out] == [1, 2] and out[0]["stretches"] == []
+    got = out[1]["stretches"]
+    assert [s["start"] for s in got] == np.cumsum([0, *(s["n"] for s in got)])[:-1].tolist()
+    assert sum(s["n"] for s in got) == 10_000 - 399
+    places = [s["start"] + s["anchor"] for s in got for _ in range(s["n"])]
+    assert places == np.repeat(whole["start"] + whole["anchor"], whole["n"]).tolist()
+    start, n = np.array([s["start"] for s in got]), np.array([s["n"] for s in got])
+    assert [s["content"] for s in got] == block.hashes(start, start + n + 399).view(np.int64).tolist()
+    wanted = pa.RecordBatch.from_arrays([pa.array([text]), pa.array([[{**s, "weight": 1} for s in got]])], names=["text", "wanted"])
+    hashed = [r for b in repeats._single_windows(400)([wanted]) for r in b.to_pylist()]
+    at = np.arange(10_000 - 399)
+    assert [r["window"] for r in hashed] == block.hashes(at, at + 400).view(np.int64).tolist()

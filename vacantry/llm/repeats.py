@@ -72,14 +72,26 @@ def stretches(block: Block, length: int = LENGTH, grain: int = GRAIN) -> dict[st
             "start": start - block.offsets[text], "n": count, "anchor": anchor - start}
 
 
+def _in_segments(block: Block, length: int, grain: int, size: int) -> dict[str, np.ndarray]:
+    """Stretches of a block; a text longer than ``size`` is taken in segments that share ``length`` - 1 bytes, so every
+    window lies in one of them and places stay below _PLACE bits.  A stretch ends with its segment."""
+    if block.n > 1 or len(block.data) < size + length:
+        return stretches(block, length, grain)
+    out = []
+    for at in range(0, len(block.data) - length + 1, size):
+        data = block.data[at:at + size + length - 1]
+        got = stretches(Block(data, np.array([0, len(data)])), length, grain)
+        got["start"] = got["start"] + at
+        out.append(got)
+    return {k: np.concatenate([got[k] for got in out]) for k in out[0]}
+
+
 def _listed(length: int, grain: int):
     def run(batches):
         for batch in batches:
             for rows, block in blocks(batch, "text", size=BLOCK):
                 part = batch.slice(rows.start, rows.stop - rows.start)
-                if len(block.data) >> _PLACE:
-                    raise ValueError("a text of 64 MB or more")
-                got = stretches(block, length, grain)
+                got = _in_segments(block, length, grain, BLOCK)
                 ends = np.searchsorted(got["text"], np.arange(block.n + 1))
                 fields = [pa.array(got["key"]), pa.array(got["content"]),
                           *(pa.array(got[k].astype(np.int32)) for k in ("start", "n", "anchor"))]
@@ -212,14 +224,19 @@ def _single_windows(length: int):
             texts = text_array(batch, "text")
             for i, wanted in enumerate(batch.column(batch.schema.get_field_index("wanted")).to_pylist()):
                 data = np.frombuffer(texts[i].as_py().encode(), dtype=np.uint8)
-                block = Block(data, np.array([0, len(data)]))
-                n = np.array([w["n"] for w in wanted])
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start = np.repeat([w["start"] for w in wanted], n) + at
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([w["content"] for w in wanted], n)), pa.array(at.astype(np.int32)),
-                     pa.array(block.hashes(start, start + length).view(np.int64)),
-                     pa.array(np.repeat([w["weight"] for w in wanted], n))], names=["content", "at", "window", "weight"])
+                begin = np.array([w["start"] for w in wanted])
+                for segment in np.unique(begin // BLOCK):
+                    some = [w for w, mine in zip(wanted, begin // BLOCK == segment) if mine]
+                    low = min(w["start"] for w in some)
+                    piece = data[low:max(w["start"] + w["n"] for w in some) + length - 1]
+                    block = Block(piece, np.array([0, len(piece)]))
+                    n = np.array([w["n"] for w in some])
+                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    start = np.repeat([w["start"] - low for w in some], n) + at
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat([w["content"] for w in some], n)), pa.array(at.astype(np.int32)),
+                         pa.array(block.hashes(start, start + length).view(np.int64)),
+                         pa.array(np.repeat([w["weight"] for w in some], n))], names=["content", "at", "window", "weight"])
 
     return run
 
@@ -259,12 +276,12 @@ def _finished(length: int):
             out = ([], [], [], [])
             for i, spans in enumerate(found):
                 data = np.frombuffer(texts[i].as_py().encode(), dtype=np.uint8)
-                cover = np.zeros(len(data) + 1, dtype=np.int64)
+                cover = np.zeros(len(data) + 1, dtype=np.int32)
                 for s in spans or ():
                     runs = np.frombuffer(s["runs"], dtype=np.int32).reshape(-1, 2).astype(np.int64)
                     np.add.at(cover, s["start"] + runs[:, 0], 1)
                     np.add.at(cover, s["start"] + runs[:, 1] + length - 1, -1)
-                gone = np.cumsum(cover[:-1]) > 0
+                gone = np.cumsum(cover[:-1], out=cover[:-1]) > 0
                 for column, value in zip(out, (len(data), int(gone.sum()), len(_runs(gone)),
                                                hashlib.sha256(data[~gone].tobytes()).hexdigest())):
                     column.append(value)
