@@ -147,6 +147,18 @@ def test_decontamination(spark, docs, rows):
         decontaminate.pattern_items(bench, most=10)
 
 
+def test_decontamination_by_a_benchmark_in_parts(spark, docs, rows):
+    planted = [(900, "x " + ITEMS[0][1].replace(" ", ", ") + " y solo"), (901, "a short, item\nhere short item here"),
+               (903, ITEMS[0][1] + " " + ITEMS[0][1] + " solo short item here")]
+    every = rows + planted
+    bench = spark.createDataFrame(ITEMS, "item_id int, text string")
+    for most in (1, 100):
+        assert len(list(decontaminate.item_parts(bench, most))) > 1
+        out = decontaminate.contamination(frame(spark, every), bench, most=most)
+        assert out.columns[-5:] == ["_n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+        assert bag(out.select("doc_id", *out.columns[-5:])) == collections.Counter(plain.contamination(every, ITEMS))
+
+
 def test_long_patterns_in_buckets():
     r = random.Random(2)
     items = [(i, " ".join(r.choice("abcd") for _ in range(14))) for i in range(40)]

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from vacantry.llm.blocks import LOWER, Block, blocks, byte_set, join_hashes
 from vacantry.llm.labelled import fresh
+from vacantry.llm.scratch import Scratch
 
 WINDOW = 10
 LANE = 256  # words a lane starts in
@@ -146,6 +147,7 @@ def _search_block(block: Block, searches: list[Search], ids: list[str]) -> dict[
     np.cumsum(np.cumsum(cover[:-1]) > 0, out=hit[1:])
     names = [sorted(found.get(t, ())) for t in range(block.n)]
     return {"n_words": np.diff(bounds), "n_hit": hit[bounds[1:]] - hit[bounds[:-1]], "items": names,
+            "covered": np.diff(hit) > 0, "bounds": bounds,
             "n_items": np.array([len(x) for x in names], dtype=np.int64),
             "items_sha256": [hashlib.sha256(",".join(ids[k] for k in x).encode()).hexdigest() for x in names]}
 
@@ -153,8 +155,8 @@ def _search_block(block: Block, searches: list[Search], ids: list[str]) -> dict[
 def pattern_items(benchmark: DataFrame, most: int = PATTERN_BYTES) -> list[tuple[object, str | None]]:
     """The (item_id, text) rows, read to the driver behind a check of their size.
 
-    A benchmark is a stated, small pattern set.  One larger than ``most`` bytes raises; give it in several
-    parts and search the rows with each.
+    For one search table of a stated, small pattern set: one larger than ``most`` bytes raises.  ``item_parts``
+    reads a benchmark of any size.
     """
     size = benchmark.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     if size > most:
@@ -162,30 +164,94 @@ def pattern_items(benchmark: DataFrame, most: int = PATTERN_BYTES) -> list[tuple
     return [tuple(r) for r in benchmark.select("item_id", "text").toLocalIterator()]
 
 
+def item_parts(benchmark: DataFrame, most: int = PATTERN_BYTES) -> Iterator[list[tuple[object, str | None]]]:
+    """The (item_id, text) rows in parts of at most ``most`` bytes, more only for one longer row; at least one part.
+
+    Parts are read to the driver one after another.
+    """
+    part, held = [], 0
+    for item, text in benchmark.select("item_id", "text").toLocalIterator():
+        size = len((text or "").encode()) + 16
+        if part and held + size > most:
+            yield part
+            part, held = [], 0
+        part.append((item, text))
+        held += size
+    yield part
+
+
+def _merge(got: dict[str, list], ids: list[str], hits: list[bytes], found: list[list[str]]) -> None:
+    """Adds hit words and item ids of other parts to those of a block."""
+    covered, bounds = got["covered"], got["bounds"]
+    for t, runs in enumerate(hits):
+        for a, b in np.frombuffer(runs, dtype=np.int64).reshape(-1, 2) + bounds[t]:
+            covered[a:b] = True
+    total = np.concatenate([[0], np.cumsum(covered)])
+    names = [sorted({*(ids[k] for k in mine), *others}) for mine, others in zip(got["items"], found)]
+    got["n_hit"] = total[bounds[1:]] - total[bounds[:-1]]
+    got["n_items"] = np.array([len(x) for x in names], dtype=np.int64)
+    got["items_sha256"] = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
+    got["names"] = names
+
+
+def _hit_runs(got: dict[str, list]) -> list[bytes]:
+    """First and one past the last word of each run of hit words, for every text."""
+    out = []
+    for a, b in zip(got["bounds"][:-1], got["bounds"][1:]):
+        edge = np.diff(np.concatenate([[0], got["covered"][a:b].astype(np.int8), [0]]))
+        out.append(np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1).astype(np.int64).tobytes())
+    return out
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text",
-                  drop: tuple[str, ...] = ()) -> DataFrame:
+                  drop: tuple[str, ...] = (), most: int = PATTERN_BYTES) -> DataFrame:
     """The rows with ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated`` as last columns.
 
     A word is hit if it lies in any occurrence of a window.  A null text has no words.  With no items, or
     none with words, nothing is hit.  Columns of the rows with such names stay and the new ones get
-    underscores in front.  Nothing is shuffled.
+    underscores in front.  Nothing is shuffled.  A benchmark of more than ``most`` bytes is searched in parts;
+    between two parts the rows are written with their hit words and item ids so far.
     """
-    searches, ids = compile_items(pattern_items(benchmark), window)
     keep = [c for c in docs.columns if c not in drop]
     names = fresh(keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType()]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, k) for n, k in zip(names, kinds)])
-    tables = docs.sparkSession.sparkContext.broadcast((searches, ids))  # bounded by PATTERN_BYTES
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searches, ids = tables.value
-        for batch in batches:
-            for rows, block in blocks(batch, text, LOWER):
-                got = _search_block(block, searches, ids)
-                part = batch.slice(rows.start, rows.stop - rows.start)
-                arrays = [part.column(batch.schema.get_field_index(c)) for c in keep]
-                arrays += [pa.array(got[c].astype(np.int64)) for c in ("n_words", "n_hit", "n_items")]
-                arrays += [pa.array(got["items_sha256"], pa.string()), pa.array(got["n_hit"] > 0)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
-
-    return docs.mapInArrow(run, schema)
+    columns, carry = docs.columns, fresh(docs.columns, "hits", "found")
+    carried_schema = T.StructType([*docs.schema, T.StructField(carry[0], T.BinaryType()),
+                                   T.StructField(carry[1], T.ArrayType(T.StringType()))])
+
+    def searched(rows: DataFrame, items: list[tuple[object, str | None]], first: bool, last: bool) -> DataFrame:
+        tables = docs.sparkSession.sparkContext.broadcast(compile_items(items, window))  # bounded by ``most``
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            searches, ids = tables.value
+            for batch in batches:
+                for rows, block in blocks(batch, text, LOWER):
+                    got = _search_block(block, searches, ids)
+                    part = batch.slice(rows.start, rows.stop - rows.start)
+                    if not (first and last):
+                        hits, found = ([b""] * block.n, [[]] * block.n) if first else (
+                            part.column(batch.schema.get_field_index(c)).to_pylist() for c in carry)
+                        _merge(got, ids, hits, found)
+                    if last:
+                        arrays = [part.column(batch.schema.get_field_index(c)) for c in keep]
+                        arrays += [pa.array(got[c].astype(np.int64)) for c in ("n_words", "n_hit", "n_items")]
+                        arrays += [pa.array(got["items_sha256"], pa.string()), pa.array(got["n_hit"] > 0)]
+                        yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
+                    else:
+                        arrays = [part.column(batch.schema.get_field_index(c)) for c in columns]
+                        arrays += [pa.array(_hit_runs(got), pa.binary()), pa.array(got["names"], pa.list_(pa.string()))]
+                        yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *carry])
+
+        return rows.mapInArrow(run, schema if last else carried_schema)
+
+    parts = item_parts(benchmark, most)
+    items, after = next(parts), next(parts, None)
+    if after is None:
+        return searched(docs, items, True, True)
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    rows, first = docs, True
+    while after is not None:
+        rows, first = scratch.keep(searched(rows, items, first, False), "part"), False
+        items, after = after, next(parts, None)
+    return searched(rows, items, False, True)
