@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantry.llm import (archive, decontaminate, gam, langid, packing, pii, repeats, rules, shingle_join,
+from vacantry.llm import (archive, decontaminate, gam, langid, merkle, packing, pii, repeats, rules, shingle_join,
                           token_counts)
 from vacantry.llm.scratch import Scratch
 
@@ -116,3 +116,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that strings of 400 bytes repeated anywhere cover, removed from every document."""
     return repeats.without_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof digest and root of every document, and the root that tampered texts of a fifth of them lead to."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0,
+                      merkle.leaf_digest(text=merkle.folded_case()))
+    out = merkle.manifest(docs, Scratch(spark, "op12"), tampered)
+    out = out.withColumn("folded_root", merkle.fold("altered", "proof"))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest("proof").alias("proof_sha256"),
+                      "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
