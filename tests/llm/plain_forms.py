@@ -28,16 +28,16 @@ def stats(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), again, len(cover)
 
 
-def shingles(text):
+def shingles(text, size=5):
     w = words((text or "").translate(LOW))
-    if len(w) >= 5:
-        return {tuple(w[j:j + 5]) for j in range(len(w) - 4)}
+    if len(w) >= size:
+        return {tuple(w[j:j + size]) for j in range(len(w) - size + 1)}
     return {tuple(w)} if w else set()
 
 
-def components(rows):
+def components(rows, size=5):
     """[(doc_id, set size, smallest linked id)] of (doc_id, text) rows."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, size) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):
@@ -167,3 +167,32 @@ def merkle(rows):
                 at = h(*left, at, *right)
             out.append((row[0], own, trees[s][-1][0], top[-1][0], h(*("".join(a + b) for a, b in proof)), at, at == top[-1][0]))
     return out
+
+
+def collocations(rows, least=10, top=2000, share=50):
+    """[(lang, rank, phrase, a, l, r, n, score)] of (text, lang) rows."""
+    count = collections.defaultdict(collections.Counter)
+    for text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOW)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            for k in (1, 2, 3):
+                count["und" if lang is None else lang].update(tuple(w[j:j + k]) for j in range(len(w) - k + 1))
+    out = []
+    for lang, f in count.items():
+        n = sum(v for k, v in f.items() if len(k) == 1)
+        wide = [k for k in f if len(k) in (2, 3) and f[k] >= least]
+        longer = collections.defaultdict(int)
+        for k in wide:
+            if len(k) == 3:
+                for part in (k[:2], k[1:]):
+                    longer[part] = max(longer[part], f[k])
+        scored = []
+        for k in wide:
+            if len(k) == 2 and k in longer and 100 * longer[k] >= share * f[k]:
+                continue
+            score, _, left, right = min((10 ** 6 * f[k] ** 2 // (f[k[:c]] * f[k[c:]]), c, f[k[:c]], f[k[c:]])
+                                        for c in range(1, len(k)))
+            scored.append((-score, -f[k], " ".join(k).encode(), left, right))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(scored)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n, -score))
+    return out

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantry.llm import (archive, decontaminate, gam, langid, merkle, packing, pii, repeats, rules, shingle_join,
-                          token_counts)
+from vacantry.llm import (archive, collocation, decontaminate, gam, hyper_minhash, langid, merkle, packing, pii,
+                          repeats, rules, shingle_join, token_counts)
 from vacantry.llm.scratch import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,46 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.withColumn("folded_root", merkle.fold("altered", "proof"))
     return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest("proof").alias("proof_sha256"),
                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language."""
+    return collocation.collocations(table(spark, sf_dir, "documents").select("text", "lang"), Scratch(spark, "op11"))
+
+
+ORACLES["op11_collocations"] = r"""
+    WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+               FROM documents),
+    p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+    s AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+    i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS j FROM s),
+    g AS (SELECT lang, w[j] AS x, w[j + 1] AS y, w[j + 2] AS z FROM i),
+    f1 AS (SELECT lang, x, count(*) AS f FROM g GROUP BY ALL),
+    f2 AS (SELECT lang, x, y, count(*) AS f FROM g WHERE y IS NOT NULL GROUP BY ALL),
+    f3 AS (SELECT lang, x, y, z, count(*) AS f FROM g WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+    n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY ALL),
+    cuts AS (
+        SELECT c.lang, c.x || ' ' || c.y AS phrase, c.f AS a, 1 AS k, l.f AS l, r.f AS r
+        FROM f2 c JOIN f1 l ON l.lang = c.lang AND l.x = c.x JOIN f1 r ON r.lang = c.lang AND r.x = c.y
+        WHERE c.f >= 10 AND NOT EXISTS (SELECT 1 FROM f3 t WHERE t.lang = c.lang AND t.x = c.x AND t.y = c.y
+                                        AND 100 * t.f >= 50 * c.f)
+          AND NOT EXISTS (SELECT 1 FROM f3 t WHERE t.lang = c.lang AND t.y = c.x AND t.z = c.y AND 100 * t.f >= 50 * c.f)
+        UNION ALL
+        SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, 1, l.f, r.f
+        FROM f3 c JOIN f1 l ON l.lang = c.lang AND l.x = c.x JOIN f2 r ON r.lang = c.lang AND r.x = c.y AND r.y = c.z
+        UNION ALL
+        SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, 2, l.f, r.f
+        FROM f3 c JOIN f2 l ON l.lang = c.lang AND l.x = c.x AND l.y = c.y JOIN f1 r ON r.lang = c.lang AND r.x = c.z),
+    scored AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM best JOIN n USING (lang)
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
+
+
+@query
+def op13_hyper_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's shingle set, the smallest id it is linked with, and whether it is the one kept."""
+    return hyper_minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op13"))

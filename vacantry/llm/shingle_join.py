@@ -98,7 +98,7 @@ def nodes_of(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     [*part.columns[:3], pa.array(n.astype(np.int64)), pa.array(node)],
                     names=["doc_id", "key", "hash", "n", "node"])
 
-    return docs.select("doc_id", _key().alias("key"), _hash().alias("hash"), "text").mapInArrow(
+    return docs.select("doc_id", text_key().alias("key"), _hash().alias("hash"), "text").mapInArrow(
         run, "doc_id long, key long, hash long, n long, node long")
 
 
@@ -106,7 +106,7 @@ def _hash():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _key():
+def text_key():
     return F.coalesce(F.col("doc_id"), _hash())
 
 
@@ -322,7 +322,7 @@ def _index(batches):
                                          names=["sig", "node", "n", "shared"])
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def whole_sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for _, block in blocks(batch, "text", LOWER):
@@ -418,8 +418,8 @@ def _grouped(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     counts = _dealt_parts(docs, parts, size).mapInArrow(_shared_counts(parts), _BACK).repartitionById(parts, back)
     near = scratch.keep(counts.mapInArrow(_may_have_partner, "node long"), "near")
     keys = rows.groupBy("node").agg(F.min("key").alias("key")).join(near, "node", "left_semi").select("key").distinct()
-    with_key = docs.select("text", _key().alias("key")).join(keys, "key", "left_semi")
-    sets = scratch.keep(_sets(with_key, size), "sets")
+    with_key = docs.select("text", text_key().alias("key")).join(keys, "key", "left_semi")
+    sets = scratch.keep(whole_sets(with_key, size), "sets")
 
     tokens = _dealt_sets(sets, parts).mapInArrow(_shared_tokens(parts), _BACK).repartitionById(parts, back)
     index = scratch.keep(tokens.mapInArrow(_index, "sig long, node long, n long, shared long"), "index")
