@@ -100,7 +100,7 @@ def test_estimate_condition_counts_equal_registers(spark):
         a = r.integers(0, 1 << 16, hyper_minhash.COMPARED).astype(np.uint16)
         b = np.where(r.random(len(a)) < 0.45, a, a ^ r.integers(1, 1 << 16, len(a)).astype(np.uint16))
         want = bool((a == b).mean() - 2.0 ** -10 / 3 >= 0.42 * (1 - 2.0 ** -10 / 3))
-        rows.append([*map(int, a.view(np.int64)), *map(int, b.view(np.int64)), want])
+        rows.append([*map(int, hyper_minhash.packed(a[None])[0]), *map(int, hyper_minhash.packed(b[None])[0]), want])
     names = hyper_minhash.SKETCH + [f"{c}_b" for c in hyper_minhash.SKETCH]
     df = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in names) + ", want boolean")
     assert df.where(f"({hyper_minhash.estimate_condition()}) <> want").count() == 0

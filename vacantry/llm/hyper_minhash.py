@@ -8,7 +8,7 @@ registers make a band, nodes with an equal band meet, and pairs whose Jaccard es
 agree by chance, is far below the bound drop out.  Whole sets decide.
 
 A pair at similarity 0.8 shares none of the 40 bands with probability (1 - 0.8**4)**40 < 1e-9, and fails the
-estimate (80 registers, bound 0.42) with probability below 1e-10; more similar pairs do so still less.  Equal sets are
+estimate (81 registers, bound 0.42) with probability below 1e-10; more similar pairs do so still less.  Equal sets are
 one node.  Bands list one node against one chosen member, links are contracted to components, and only pairs of
 different components meet after that.
 """
@@ -31,9 +31,9 @@ REGISTERS, BAND = 160, 4
 MANTISSA = 10  # bits
 MOST_BUCKETS = 32
 LOAD = 8  # shingles per bucket at least, where there is more than one
-COMPARED = 80  # registers that the estimate looks at
+COMPARED = 81  # registers that the estimate looks at
 BOUND = 0.42  # estimates below cannot come from linked sets
-SKETCH = [f"r{i}" for i in range(COMPARED // 4)]  # four registers a column
+SKETCH = [f"r{i}" for i in range(COMPARED // 3)]  # three registers a column, 20 bits each
 _LEAST = 4  # smaller sets link with equal ones only
 
 
@@ -77,9 +77,15 @@ def estimate_condition(least: float = BOUND) -> str:
     2**-MANTISSA.
     """
     chance = 2.0 ** -MANTISSA / 3
-    low, high = 0x7FFF7FFF7FFF7FFF, -0x7FFF7FFF7FFF8000  # per 16-bit lane: all bits but the highest, the highest
-    lanes = " + ".join(f"bit_count(((((({r} ^ {r}_b) & {low}L) + {low}L) | ({r} ^ {r}_b)) & {high}L))" for r in SKETCH)
-    return f"({COMPARED} - ({lanes})) / {COMPARED} - {chance} >= {least} * (1 - {chance})"
+    ones, carry = (sum(x << 20 * i for i in range(3)) for x in (0xFFFF, 0x10000))
+    differ = " + ".join(f"bit_count((({r} ^ {r}_b) + {ones}L) & {carry}L)" for r in SKETCH)
+    return f"({COMPARED} - ({differ})) / {COMPARED}D - {chance}D >= {least}D * (1 - {chance}D)"
+
+
+def packed(sketch: np.ndarray) -> np.ndarray:
+    """The first COMPARED registers of each sketch as the columns of SKETCH."""
+    lanes = sketch[:, :COMPARED].astype(np.int64).reshape(len(sketch), len(SKETCH), 3)
+    return lanes[:, :, 0] | lanes[:, :, 1] << 20 | lanes[:, :, 2] << 40
 
 
 def _sketched(size: int):
@@ -106,8 +112,7 @@ def _sketched(size: int):
                         ends = pa.array((np.arange(len(mine) + 1) * (REGISTERS // BAND)).astype(np.int32))
                         keys = bands(sketch, int(buckets)).view(np.int64).ravel()
                         columns.append(pa.ListArray.from_arrays(ends, pa.array(keys)))
-                        packed = np.ascontiguousarray(sketch[:, :COMPARED]).view(np.int64)
-                        columns += [pa.array(c) for c in packed.T.copy()]
+                        columns += [pa.array(c) for c in packed(sketch).T.copy()]
                         yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "next", "bands", *SKETCH])
 
     return run
