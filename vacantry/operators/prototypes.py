@@ -22,15 +22,14 @@ def mean_vectors(vectors: DataFrame, dims: int, category: str = "category",
     return good.groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("mean"))
 
 
-def _chunk(means: DataFrame, dims: int, chunks: int, k: int) -> DataFrame:
-    """One row with the k-th part of the prototypes, its size checked before it is sent out."""
+def _chunk(means: DataFrame, dims: int, chunks: int, k: int) -> Column:
+    """The k-th part of the prototypes as one value, its size checked before tasks get it."""
     most = CHUNK_BYTES // (8 * dims + 64)
     part = means.filter(usable(F.col("mean"), dims) & (
         F.pmod(F.xxhash64("category"), F.lit(chunks)) == k))
     listed = F.collect_list(F.struct("category", "eligible", "ordinal", "mean"))
-    return part.groupBy(F.lit(k).alias("_k")).agg(
-        F.when(F.count(F.lit(1)) <= most, listed).otherwise(F.raise_error(F.lit(
-            f"more than {most} prototypes in one of {chunks} chunks; ask for more chunks"))).alias("_means"))
+    return part.agg(F.when(F.count(F.lit(1)) <= most, listed).otherwise(F.raise_error(F.lit(
+        f"more than {most} prototypes in one of {chunks} chunks; ask for more chunks")))).scalar()
 
 
 def _best(sims: Column, eligible: bool) -> Column:
@@ -46,8 +45,8 @@ def classify(vectors: DataFrame, means: DataFrame, threshold: float, margin: flo
 
     ``means`` has category, eligible, ordinal (the declared order), mean.  An eligible
     category must reach the threshold and beat the best other one by the margin.
-    Prototypes travel in ``chunks`` broadcast rows of checked size, each met by a narrow
-    map that keeps the best so far, so every vector stays one row.  A vector that cannot
+    Prototypes travel as ``chunks`` scalar subqueries of checked size, each read by a narrow
+    map that keeps the best so far, so every vector stays one row and nothing is joined.  A vector that cannot
     be compared keeps its row, without a category, and ``reason`` says why (null, empty,
     dimension, not_finite, zero); without prototypes no vector gets a category.
     """
@@ -57,12 +56,10 @@ def classify(vectors: DataFrame, means: DataFrame, threshold: float, margin: flo
         "_pos", F.lit(None).cast(best)).withColumn("_neg", F.lit(None).cast(best))
     means = means.select("category", "eligible", F.col("ordinal").cast("bigint").alias("ordinal"), "mean")
     for k in range(chunks):
-        key = (F.coalesce(F.size(taken), F.lit(0)) * 0 + k).alias("_k")
-        met = rows.select("*", key).join(F.broadcast(_chunk(means, dims, chunks, k)), "_k", "left")
         sims = F.when(F.col("_fault").isNull(), F.transform("_means", lambda m: F.struct(
             cosine(taken, m["mean"]).alias("sim"), m["category"].alias("category"),
             m["eligible"].alias("eligible"), m["ordinal"].alias("ordinal"))))
-        met = met.withColumn("_sims", sims)
+        met = rows.withColumn("_means", _chunk(means, dims, chunks, k)).withColumn("_sims", sims)
         rows = met.select(*vectors.columns, "_fault", F.greatest("_pos", _best(F.col("_sims"), True)).alias("_pos"),
                           F.greatest("_neg", _best(F.col("_sims"), False)).alias("_neg"))
     p, n = F.col("_pos.sim"), F.col("_neg.sim")
