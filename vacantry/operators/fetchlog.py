@@ -21,37 +21,34 @@ def join_back(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inn
     return rows.join(named, same, how).drop(*[f"_side_{k}" for k in keys])
 
 
-def run_lengths(log: DataFrame, group: list[str], at: str, seq: str, hit: Column,
-                slot_seconds: int = 600, carry: DataFrame | None = None, threshold: int | None = None,
-                **marks: Column) -> DataFrame:
-    """Adds ``run``: length of the unbroken run of hits that ends at each row (0 on a miss).
+SLOT_SECONDS = 600
 
-    Rows are ordered by (at, seq) inside ``group``; a NULL in either is a value like any
-    other and NULL times come first.  ``carry`` (group…, run) holds runs still open from
-    earlier data.  With a ``threshold``, ``first_at`` is the place (at, seq) of the first
-    row of the group, up to the row's own slot, whose run reached it; each of ``marks``
-    becomes a column with the first place where it holds.  All of it comes from one pass
-    over the slots, so no join is on the group alone.
-    """
-    slot = F.floor(F.unix_micros(F.col(at)) / F.lit(slot_seconds * 1_000_000)).alias("_slot")
-    stamp = F.struct(at, seq)
-    rows = log.select("*", slot, F.coalesce(hit, F.lit(False)).cast("int").alias("_hit"))
+
+def slot_of(at: str, slot_seconds: int = SLOT_SECONDS) -> Column:
+    return F.floor(F.unix_micros(F.col(at)) / F.lit(slot_seconds * 1_000_000)).cast("bigint")
+
+
+def runs_in_slots(log: DataFrame, group: list[str], at: str, seq: str, hit: Column,
+                  slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+    """Adds _slot, _hit, _misses (so far in the slot) and _run (length of the run of hits, in the slot only)."""
+    rows = log.select("*", slot_of(at, slot_seconds).alias("_slot"), F.coalesce(hit, F.lit(False)).cast("int").alias("_hit"))
     inside = W.partitionBy(*group, "_slot").orderBy(at, seq).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("_misses", F.sum(1 - F.col("_hit")).over(inside))
     streak = W.partitionBy(*group, "_slot", "_misses").orderBy(at, seq).rowsBetween(
         W.unboundedPreceding, 0)
-    rows = rows.withColumn("_run", F.sum("_hit").over(streak))
+    return rows.withColumn("_run", F.sum("_hit").over(streak))
+
+
+def runs_across_slots(rows: DataFrame, columns: list[str], group: list[str], at: str, seq: str,
+                      threshold: int | None = None, **marks: Column) -> DataFrame:
+    """Runs over all slots from rows of ``runs_in_slots``; only one summary row per slot meets others."""
+    stamp = F.struct(at, seq)
     heads = range(1, (threshold or 0) + 1)
     slots = rows.groupBy(*group, "_slot").agg(
         F.max("_misses").alias("_m"), F.max_by("_run", stamp).alias("_tail"),
         F.min(F.when(F.col("_run") >= (threshold or 1 << 60), stamp)).alias("_reached"),
         *[F.min(F.when((F.col("_misses") == 0) & (F.col("_run") == i), stamp)).alias(f"_head{i}") for i in heads],
         *[F.min(F.when(test, stamp)).alias(f"_mark_{name}") for name, test in marks.items()])
-    if carry is not None:
-        # an open run from earlier data acts as a slot before all others
-        slots = slots.unionByName(carry.select(
-            *group, F.lit(-(1 << 62)).cast("bigint").alias("_slot"),
-            F.lit(1).cast("bigint").alias("_m"), F.col("run").cast("bigint").alias("_tail")), allowMissingColumns=True)
     order = W.partitionBy(*group).orderBy("_slot")
     so_far = order.rowsBetween(W.unboundedPreceding, 0)
     slots = slots.withColumn("_broken", F.sum((F.col("_m") > 0).cast("int")).over(so_far))
@@ -69,7 +66,21 @@ def run_lengths(log: DataFrame, group: list[str], at: str, seq: str, hit: Column
         slots = slots.withColumn(name, F.min(f"_mark_{name}").over(so_far))
     joined = join_back(rows, slots.select(*kept, *marks), [*group, "_slot"])
     run = F.col("_run") + F.when((F.col("_misses") == 0), F.col("_in")).otherwise(F.lit(0))
-    return joined.select(*log.columns, run.cast("bigint").alias("run"), *kept[len(group) + 2:], *marks)
+    return joined.select(*columns, run.cast("bigint").alias("run"), *kept[len(group) + 2:], *marks)
+
+
+def run_lengths(log: DataFrame, group: list[str], at: str, seq: str, hit: Column,
+                slot_seconds: int = SLOT_SECONDS, threshold: int | None = None, **marks: Column) -> DataFrame:
+    """Adds ``run``: length of the unbroken run of hits that ends at each row (0 on a miss).
+
+    Rows are ordered by (at, seq) inside ``group``; a NULL in either is a value like any
+    other and NULL times come first.  With a ``threshold``, ``first_at`` is the place (at, seq)
+    of the first row of the group, up to the row's own slot, whose run reached it; each of
+    ``marks`` becomes a column with the first place where it holds.  All of it comes from one
+    pass over the slots, so no join is on the group alone.
+    """
+    rows = runs_in_slots(log, group, at, seq, hit, slot_seconds)
+    return runs_across_slots(rows, log.columns, group, at, seq, threshold, **marks)
 
 
 def breaker(log: DataFrame, strict: bool = False, threshold: int = lx.BREAKER_THRESHOLD,

@@ -126,16 +126,22 @@ PAGING = ("SELECT *, CASE WHEN hit THEN row_number() OVER (PARTITION BY key, grp
           "sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY \"at\", id) AS grp FROM (SELECT *, new_ids = 0 AS hit FROM fetch_log) a) b")
 
 
-@query("paging_stop",
-       "SELECT r.id, r.key AS query, r.run FROM pg r LEFT JOIN (SELECT key, min(\"at\") AS \"at\" FROM pg WHERE run >= 3 GROUP BY 1) s ON s.key = r.key WHERE s.\"at\" IS NULL OR r.\"at\" <= s.\"at\"", ("fetch_log",), pg=PAGING)
+PAGES_READ = (
+    "SELECT r.id, r.key AS query, r.run FROM pg r LEFT JOIN (SELECT key, min(\"at\") AS \"at\" FROM pg WHERE run >= 3 GROUP BY 1) s ON s.key = r.key WHERE s.\"at\" IS NULL OR r.\"at\" <= s.\"at\"")
+
+
+@query("paging_stop", PAGES_READ, ("fetch_log",), pg=PAGING)
 def _(t):
     pages = t.fetch_log.select("id", F.col("key").alias("query"), "new_ids", "at")
     return L.paging_stop(pages).select("id", "query", "run")
 
 
-@query("halted_queue",
-       "SELECT q.id, CASE WHEN q.id > h.halt THEN 'deferred' WHEN q.id = h.halt THEN 'restricted' ELSE 'done' END AS outcome FROM fetch_log q LEFT JOIN (SELECT key, min(id) AS halt FROM fetch_log "
-       "WHERE state IN ('blocked', 'rate_limited', 'active_challenge', 'login_required') GROUP BY 1) h ON h.key = q.key", ("fetch_log",))
+HALTS = (
+    "SELECT q.id, CASE WHEN q.id > h.halt THEN 'deferred' WHEN q.id = h.halt THEN 'restricted' ELSE 'done' END AS outcome FROM fetch_log q LEFT JOIN (SELECT key, min(id) AS halt FROM fetch_log "
+    "WHERE state IN ('blocked', 'rate_limited', 'active_challenge', 'login_required') GROUP BY 1) h ON h.key = q.key")
+
+
+@query("halted_queue", HALTS, ("fetch_log",))
 def _(t):
     queue = t.fetch_log.select("id", F.col("key").alias("source"), F.col("id").alias("position"), "state")
     return L.halt_on_restriction(queue).select("id", "outcome")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from vacantry.plans.registry import query
 from vacantry.plans.selection_queries import top
-from vacantry.plans.state_queries import RUNS
+from vacantry.plans.state_queries import HALTS, PAGES_READ, PAGING, RUNS
 from vacantry.plans.testbed import FETCH_LOG, SCHEMAS, STAGE_EVENTS
 from vacantry.session import work_dir
 from vacantry.sources.tables import json_roundtrip
@@ -49,8 +51,28 @@ def _(t):
        "SELECT source, w AS start, w + INTERVAL 900 SECOND AS \"end\", count(*) AS requests FROM (SELECT source, unnest([time_bucket(INTERVAL 300 SECOND, \"at\"), "
        "time_bucket(INTERVAL 300 SECOND, \"at\") - INTERVAL 300 SECOND, time_bucket(INTERVAL 300 SECOND, \"at\") - INTERVAL 600 SECOND]) AS w FROM fetch_log) s GROUP BY source, w", ("fetch_log",))
 def _(t):
-    stream = jobs.rate_windows(view_stream(t, FETCH_LOG), 120, 900, 300)
-    return jobs.keep_current(stream, ["source", "start", "end"], work_dir(t.spark, "rate"))
+    windows, _ = jobs.rate_windows(view_stream(t, FETCH_LOG), work_dir(t.spark, "rate"), None, 900, 300)
+    return windows
+
+
+@query("rate_stream_late",
+       "SELECT id, source, 'no_time' AS reason FROM (SELECT id, source, CASE WHEN id % 7 <> 0 THEN \"at\" END AS \"at\" FROM fetch_log) r WHERE \"at\" IS NULL", ("fetch_log",))
+def _(t):
+    log = view_stream(t, FETCH_LOG).withColumn("at", F.when(F.col("id") % 7 != 0, F.col("at")))
+    _, missed = jobs.rate_windows(log, work_dir(t.spark, "rate"), 120, 900, 300)
+    return missed.select("id", "source", "reason")
+
+
+@query("paging_stream", PAGES_READ, ("fetch_log",), pg=PAGING)
+def _(t):
+    pages = view_stream(t, FETCH_LOG).select("id", F.col("key").alias("query"), "new_ids", "at")
+    return jobs.paging(pages, work_dir(t.spark, "paging")).select("id", "query", "run")
+
+
+@query("halted_stream", HALTS, ("fetch_log",))
+def _(t):
+    queue = view_stream(t, FETCH_LOG).select("id", F.col("key").alias("source"), F.col("id").alias("position"), "state")
+    return jobs.halted(queue, work_dir(t.spark, "halted")).select("id", "outcome")
 
 
 @query("digest_stream", "SELECT id, job_source, job_id, stage FROM stage_events WHERE note IS NULL OR note NOT LIKE 'backfilled%'", ("stage_events",))

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vacantry import lexicon as lx
-from vacantry.operators.fetchlog import join_back, run_lengths
+from vacantry.operators.fetchlog import SLOT_SECONDS, join_back, runs_across_slots, runs_in_slots, slot_of
 from vacantry.operators.retry import next_state
-from vacantry.operators.selection import OBS_JOB, newest
-from vacantry.streaming.runner import (batch_writer, newest_per_key, read_batches, run_available)
+from vacantry.operators.selection import OBS_JOB
+from vacantry.operators.selection import newest as newest_first
+from vacantry.streaming.deltas import EVERY, DeltaTable, newest, newest_group, totals
+from vacantry.streaming.runner import batch_writer, read_batches, run_available
 
 
 def latest_stage(events: DataFrame) -> DataFrame:
     """Update-mode stream of the latest stage per job; one state row per job."""
     rest = [c for c in events.columns if c not in OBS_JOB]
-    order = F.struct(newest(F.col("occurred_at")), -F.col("id"))
+    order = F.struct(newest_first(F.col("occurred_at")), -F.col("id"))
     return events.groupBy(*OBS_JOB).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*OBS_JOB, "_r.*")
 
 
@@ -31,66 +34,131 @@ def retry_state(outcomes: DataFrame, axis: str) -> DataFrame:
     return folded.select(*OBS_JOB, state.alias("_s")).select(*OBS_JOB, "_s.*")
 
 
-def rate_windows(log: DataFrame, late_seconds: int, window_seconds: int = lx.RATE_WINDOW_SECONDS,
-                 slide_seconds: int = 5) -> DataFrame:
-    """Requests per source in sliding windows.
+def keep_current(stream: DataFrame, keys: list[str], work: str, every: int = EVERY) -> DataFrame:
+    """Runs an update-mode stream to the end of its input and returns the current table.
 
-    State has to end somewhere: a row more than ``late_seconds`` behind the newest one
-    counts no more, so the caller states the lateness that cannot happen.
+    The table is a base and at most ``every`` changes, however many batches have run.
     """
-    span = F.window("at", f"{window_seconds} seconds", f"{slide_seconds} seconds")
-    return (log.withWatermark("at", f"{late_seconds} seconds").groupBy(span.alias("w"), "source")
-            .agg(F.count(F.lit(1)).alias("requests"))
-            .select("source", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests"))
+    def table(session: SparkSession) -> DeltaTable:
+        return DeltaTable(session, f"{work}/rows", stream.schema, newest(keys), every)
 
+    run_available(stream, f"{work}/checkpoint", lambda df, batch: table(df.sparkSession).put(df, batch))
+    return table(stream.sparkSession).current()
 
-def keep_current(stream: DataFrame, keys: list[str], work: str) -> DataFrame:
-    """Runs an update-mode stream to the end of its input and returns the current table."""
-    out = f"{work}/rows"
-    run_available(stream, f"{work}/checkpoint", batch_writer(out))
-    return newest_per_key(read_batches(stream.sparkSession, out, stream.schema), keys)
 
+def rate_windows(log: DataFrame, work: str, late_seconds: int | None = None, window_seconds: int = lx.RATE_WINDOW_SECONDS,
+                 slide_seconds: int = 5, every: int = EVERY) -> tuple[DataFrame, DataFrame]:
+    """Requests per source in sliding windows, and the rows that are in no window.
 
-CARRY = "source string, run bigint, last struct<at:timestamp,id:bigint>"
+    Kept are one count per source and slot of ``slide_seconds``, and each source's newest time.  A row more than
+    ``late_seconds`` behind its source's newest row of earlier batches (``too_late``), or without a time (``no_time``),
+    is not counted but listed with its ``reason``, so every row is in one of the two results.  Without
+    ``late_seconds`` no row is too late and the counts do not depend on the order in which files arrive.  A replayed
+    batch reads what the batches before it wrote and leaves the same rows.
+    """
+    if window_seconds % slide_seconds:
+        raise ValueError("the window is a whole number of slides")
+    counted = StructType.fromDDL("source string, slot bigint, requests bigint")
+    seen = StructType.fromDDL("source string, newest timestamp")
+    missed = log.select("*", F.lit("").alias("reason")).schema
 
+    def tables(session: SparkSession) -> tuple[DeltaTable, DeltaTable, DeltaTable]:
+        return (DeltaTable(session, f"{work}/slots", counted, totals(["source", "slot"], requests=F.sum("requests")), every),
+                DeltaTable(session, f"{work}/newest", seen, totals(["source"], newest=F.max("newest")), every),
+                DeltaTable(session, f"{work}/late", missed, lambda rows: rows, every))
 
-def breaker_runs(log: DataFrame, work: str, threshold: int = lx.BREAKER_THRESHOLD,
-                 slot_seconds: int = 600) -> DataFrame:
-    """Run lengths of blocking states, carried from one micro-batch to the next.
+    def on_batch(df: DataFrame, batch: int) -> None:
+        slots, newest_at, late = tables(df.sparkSession)
+        reason = F.when(F.col("at").isNull(), "no_time")
+        if late_seconds is None:
+            rows = df.withColumn("reason", reason)
+        else:
+            behind = F.col("at") < F.col("newest") - F.make_dt_interval(secs=F.lit(late_seconds))
+            rows = join_back(df, newest_at.current(before=batch), ["source"], "left").select(
+                *df.columns, reason.when(behind, "too_late").alias("reason"))
+        slot = F.floor(F.unix_micros("at") / F.lit(slide_seconds * 1_000_000)).cast("bigint").alias("slot")
+        good = rows.filter("reason IS NULL")
+        slots.put(good.groupBy("source", slot).agg(F.count(F.lit(1)).alias("requests")), batch)
+        late.put(rows.filter("reason IS NOT NULL"), batch)
+        newest_at.put(df.groupBy("source").agg(F.max("at").alias("newest")), batch)
 
-    A batch is processed with the slotted batch operator, so a source that fills the
-    stream is still spread over tasks; only (source, open run, last place) is carried.
-    Sources of which a batch brings rows older than their last place are worked out again
-    from their stored rows.  So the result does not depend on where batches end or in
-    which order files arrive.  Batch N reads what the batches before it wrote, so a replay
-    is harmless.  Ids are unique.
+    run_available(log, f"{work}/checkpoint", on_batch, mode="append")
+    slots, _, late = tables(log.sparkSession)
+    back = window_seconds // slide_seconds
+    first = F.explode(F.sequence(F.col("slot") - (back - 1), F.col("slot"))).alias("first")
+    windows = slots.current().select("source", first, "requests").groupBy("source", "first").agg(
+        F.sum("requests").alias("requests"))
+    start = F.col("first") * slide_seconds
+    return windows.select("source", F.timestamp_seconds(start).alias("start"),
+                          F.timestamp_seconds(start + window_seconds).alias("end"), "requests"), late.current()
+
+
+def runs(log: DataFrame, work: str, group: list[str], hit: Column, threshold: int, slot_seconds: int = SLOT_SECONDS,
+         every: int = EVERY, buckets: int = 32) -> DataFrame:
+    """Rows with ``run`` and ``first_at`` as ``run_lengths`` gives them, kept up to date by micro-batches.
+
+    Stored are the rows of each time slot with their runs inside the slot, in buckets of (group, slot).  A batch reads
+    the buckets of the slots it brings rows for, works those slots out again with the new rows and stores them; other
+    slots are not touched, late rows or not.  Runs across slots come from one summary row per slot when the result is
+    read.  So the result does not depend on where batches end or in which order files arrive, and a replay is harmless.
+    ``log`` has id (unique) and at.
     """
-    spark = log.sparkSession
-    rows_out, carry_out = f"{work}/rows", f"{work}/carry"
-    blocking = F.col("state").isin(lx.BREAKER_STATES)
-    schema = log.select("*", F.lit(0).cast("bigint").alias("run"), F.lit(True).alias("at_threshold")).schema
+    schema = runs_in_slots(log, group, "at", "id", hit, slot_seconds).schema
+    slot = [*group, "_slot"]
+
+    def table(session: SparkSession) -> DeltaTable:
+        return DeltaTable(session, f"{work}/slots", schema, newest_group(slot), every, slot, buckets)
 
     def on_batch(df: DataFrame, batch: int) -> None:
-        session, columns = df.sparkSession, df.columns
-        carry = (session.read.schema(CARRY).parquet(f"{carry_out}/batch={batch - 1}") if batch > 0
-                 else session.createDataFrame([], CARRY))
-        if batch > 0:
-            firsts = df.groupBy("source").agg(F.min(F.struct("at", "id")).alias("_first"))
-            late = join_back(firsts, carry, ["source"]).filter(F.col("_first") < F.col("last")).select("source")
-            stored = read_batches(session, rows_out, schema).filter(F.col("batch") < batch)
-            old = newest_per_key(join_back(stored, late, ["source"], "left_semi"), ["id"]).select(*columns)
-            df = df.unionByName(old.join(df.select("id"), "id", "left_anti"))
-            carry = join_back(carry, late, ["source"], "left_anti")
-        rows = run_lengths(df, ["source"], "at", "id", blocking, slot_seconds, carry)
-        rows.select(*columns, "run", (F.col("run") >= threshold).alias("at_threshold")).write.mode(
-            "overwrite").parquet(f"{rows_out}/batch={batch}")
-        done = session.read.parquet(f"{rows_out}/batch={batch}").groupBy("source").agg(
-            F.max_by("run", F.struct("at", "id")).alias("run"), F.max(F.struct("at", "id")).alias("last"))
-        join_back(carry, done.select("source"), ["source"], "left_anti").unionByName(
-            done.select("source", "run", "last")).write.mode("overwrite").parquet(f"{carry_out}/batch={batch}")
+        stored = table(df.sparkSession)
+        touched = df.select(*group, slot_of("at", slot_seconds).alias("_slot")).distinct()
+        wanted = [r[0] for r in touched.select(stored.bucket().alias("b")).distinct().collect()]  # at most ``buckets``
+        before = join_back(stored.current(batch, wanted), touched, slot, "left_semi").select(*df.columns)
+        rows = before.join(df.select("id"), "id", "left_anti").unionByName(df)
+        stored.put(runs_in_slots(rows, group, "at", "id", hit, slot_seconds), batch)
 
     run_available(log, f"{work}/checkpoint", on_batch, mode="append")
-    return newest_per_key(read_batches(spark, rows_out, schema), ["id"]).select(*schema.names)
+    rows = table(log.sparkSession).current()
+    return runs_across_slots(rows, log.columns, group, "at", "id", threshold)
+
+
+def breaker_runs(log: DataFrame, work: str, threshold: int = lx.BREAKER_THRESHOLD, **options) -> DataFrame:
+    """Run lengths of blocking states per source; see ``runs``."""
+    rows = runs(log, work, ["source"], F.col("state").isin(lx.BREAKER_STATES), threshold, **options)
+    return rows.select(*log.columns, "run", (F.col("run") >= threshold).alias("at_threshold"))
+
+
+def paging(pages: DataFrame, work: str, limit: int = lx.EMPTY_PAGE_STOP, **options) -> DataFrame:
+    """Stream form of ``fetchlog.paging_stop``: pages a query would have read until ``limit`` in a row brought nothing new.
+
+    A page that arrives late can move a query's stop either way; the result is always that of all pages so far.
+    """
+    rows = runs(pages, work, ["query"], F.col("new_ids") == 0, limit, **options)
+    return rows.filter("first_at IS NULL OR struct(at, id) <= first_at").select(*pages.columns, "run")
+
+
+def halted(queue: DataFrame, work: str, every: int = EVERY) -> DataFrame:
+    """Stream form of ``fetchlog.halt_on_restriction``: adds ``outcome`` to the rows of a queue (source, position, state).
+
+    Kept per source is the first restricted position; a restriction that arrives late defers what lies behind it.
+    """
+    places = StructType.fromDDL("source string, halt bigint")
+
+    def tables(session: SparkSession) -> tuple[DeltaTable, DeltaTable]:
+        return (DeltaTable(session, f"{work}/rows", queue.schema, lambda rows: rows, every),
+                DeltaTable(session, f"{work}/halts", places, totals(["source"], halt=F.min("halt")), every))
+
+    def on_batch(df: DataFrame, batch: int) -> None:
+        rows, halts = tables(df.sparkSession)
+        rows.put(df, batch)
+        halts.put(df.filter(F.col("state").isin(lx.RESTRICTION_STATES)).groupBy("source").agg(
+            F.min("position").cast("bigint").alias("halt")), batch)
+
+    run_available(queue, f"{work}/checkpoint", on_batch, mode="append")
+    rows, halts = tables(queue.sparkSession)
+    at, halt = F.col("position"), F.col("halt")
+    outcome = F.when(at > halt, "deferred").when(at == halt, "restricted").otherwise("done")
+    return join_back(rows.current(), halts.current(), ["source"], "left").select(*queue.columns, outcome.alias("outcome"))
 
 
 def new_since_last_run(stream: DataFrame, work: str) -> DataFrame:

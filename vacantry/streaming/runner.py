@@ -43,9 +43,3 @@ def read_batches(spark: SparkSession, out: str, schema: StructType) -> DataFrame
     """All batches written so far with their number in column ``batch``."""
     full = StructType(list(schema.fields)).add("batch", LongType())
     return spark.read.schema(full).parquet(out)
-
-
-def newest_per_key(batches: DataFrame, keys: list[str]) -> DataFrame:
-    """Row of the latest batch for each key: the current table of an update-mode stream."""
-    rest = [c for c in batches.columns if c not in keys and c != "batch"]
-    return batches.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
