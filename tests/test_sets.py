@@ -215,3 +215,41 @@ def test_sponsor_names(spark):
                                       ("Nobody", "C", "Other")], "name string, town string, route string")
     got = {r.employer: r.employer_status for r in A.sponsor_status(employers, register).collect()}
     assert got == {"Acme, Ltd.": "confirmed_skilled_worker", "Twin": "ambiguous", "Nobody": "no_confirmed_match", None: "unknown"}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_of_a_hot_key(spark, how):
+    """One key holds half of all rows; no task holds more than a few times the median."""
+    from vacantry.operators.joins import heavy_keys, spread_join
+
+    rows = spark.range(20_000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'hot' WHEN id % 1000 <> 1 THEN concat('k', id % 997) END AS key")
+    side = spark.range(900).selectExpr("CASE WHEN id = 0 THEN 'hot' ELSE concat('k', id) END AS key", "id AS v")
+    assert list(heavy_keys(rows, "key", 16)) == ["hot"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = spread_join(rows, side, "key", how, parts=16)
+        want = rows.join(side, "key", how)
+        assert sorted(map(str, got.select("id", "key", "v").collect())) == sorted(map(str, want.select("id", "key", "v").collect()))
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        sizes = sorted(r["count"] for r in spread_join(rows, side, "key", how, parts=16).groupBy(F.spark_partition_id()).count().collect())
+        assert sizes[-1] <= 3 * statistics.median(sizes)
+        plain = sorted(r["count"] for r in rows.join(side, "key", how).groupBy(F.spark_partition_id()).count().collect())
+        assert plain[-1] > 6 * statistics.median(plain)
+    finally:
+        for k, v in (("autoBroadcastJoinThreshold", "10485760"), ("adaptive.enabled", "true"), ("shuffle.partitions", "4")):
+            spark.conf.set(f"spark.sql.{k}", v)
+
+
+def test_positions_over_ranges(spark):
+    from vacantry.operators.ranks import with_position
+
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice(["hot"] * 5 + ["a", None]), rnd.choice([None, 1.5, 2.5])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id bigint, k string, v double").repartition(5)
+    got = {r.id: r.position for r in with_position(df, "k", F.desc("v"), "id").collect()}
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[2] is None, -(r[2] or 0), r[0]))
+    assert [got[r[0]] for r in want] == list(range(1, 501))
+    assert with_position(df.where("false"), "id").count() == 0
+    with pytest.raises(ValueError):
+        with_position(df, "id", name="K")

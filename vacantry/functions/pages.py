@@ -57,8 +57,8 @@ def _children(v: Column) -> Column:
 JSON_DEPTH = 1000  # the JSON parser takes no deeper text
 
 
-def _walk(nodes: Column) -> Column:
-    """Nodes and all their descendants, parents before children.
+def _walk(nodes: Column, depth: Column) -> Column:
+    """Nodes and their descendants down to ``depth`` levels, parents before children.
 
     Every round puts the children of the nodes found last behind them, until no node has any.
     """
@@ -70,7 +70,7 @@ def _walk(nodes: Column) -> Column:
             n["open"], F.concat(opened(F.array(n["v"]), False), opened(_children(n["v"]), True))).otherwise(F.array(n))))
         return F.when(F.exists(found, lambda n: n["open"]), more).otherwise(found)
 
-    rounds = F.sequence(F.lit(1), F.lit(JSON_DEPTH))
+    rounds = F.sequence(F.lit(1), F.least(F.greatest(depth, F.lit(1)), F.lit(JSON_DEPTH)))
     return F.aggregate(rounds, opened(nodes, True), grow, lambda found: F.transform(found, lambda n: n["v"]))
 
 
@@ -80,9 +80,17 @@ def type_text(v: Column) -> Column:
 
 
 def find_job_posting(blocks: Column) -> Column:
-    """First JSON-LD object typed JobPosting at any depth, searching depth first."""
-    found = F.filter(_walk(blocks), lambda v: type_text(v).rlike("(?i)JobPosting"))
-    return F.when(F.size(blocks) > 0, F.get(found, F.lit(0)))
+    """First JSON-LD object typed JobPosting at any depth, searching depth first.
+
+    Only blocks that hold the word at all are walked, in as many rounds as the one with most brackets has, so a
+    page costs what its own blocks do.
+    """
+    written = F.filter(F.transform(blocks, lambda v: F.struct(v.alias("v"), F.to_json(v).alias("json"))),
+                       lambda b: b["json"].rlike("(?i)JobPosting"))
+    depth = F.aggregate(written, F.lit(0), lambda most, b: F.greatest(
+        most, F.length(F.regexp_replace(b["json"], r"[^\[{]", ""))))
+    found = F.filter(_walk(F.transform(written, lambda b: b["v"]), depth), lambda v: type_text(v).rlike("(?i)JobPosting"))
+    return F.when(F.size(written) > 0, F.get(found, F.lit(0)))
 
 
 def is_result_page(text: Column) -> Column:

@@ -16,6 +16,7 @@ from vacantry.functions.pages import MONEY, first_hit, hit
 from vacantry.functions.staging import computed_once
 from vacantry.functions.text import half_up, squeeze
 from vacantry.functions.titles import candidate_slugs
+from vacantry.operators.joins import spread_join
 from vacantry.operators.selection import first_per_key, rank_in
 from vacantry import lexicon as lx
 
@@ -226,11 +227,12 @@ def slug_benchmark(titles: DataFrame, figures: DataFrame) -> DataFrame:
     """First look-up slug of each title with a published median.
 
     ``titles`` has key, title; ``figures`` has slug, median.  Slugs without a median are
-    dropped before the join, then the earliest slug of each title wins.
+    dropped before the join, then the earliest slug of each title wins.  A slug that very
+    many titles share is spread over tasks.
     """
     listed = titles.select("key", "title", F.posexplode(candidate_slugs(F.col("title"))).alias("pos", "slug"))
     published = figures.filter(F.col("median").isNotNull()).groupBy("slug").agg(F.max("median").alias("median"))
-    return first_per_key(listed.join(published, "slug"), ["key"], F.col("pos"))
+    return first_per_key(spread_join(listed, published, "slug"), ["key"], F.col("pos"))
 
 
 def pick_by_country(candidates: DataFrame, country: str = "country_code",

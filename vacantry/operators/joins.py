@@ -52,6 +52,39 @@ def display_facts(matches: DataFrame, postings: DataFrame) -> DataFrame:
     return matches.join(postings.select(*JOB, "title", "company", "country_code", "url"), JOB, "left")
 
 
+HEAVY_KEYS = 64  # keys that may be spread
+TRACKED_KEYS = 10_000  # keys that the sketch follows
+
+
+def heavy_keys(rows: DataFrame, key: str, parts: int, most: int = HEAVY_KEYS) -> dict:
+    """Keys that hold more than a fair share of one of ``parts`` tasks, with their estimated share of all rows.
+
+    One aggregate with a mergeable frequent-items sketch; at most ``most`` keys come to the driver, and more than
+    ``parts`` keys cannot be that frequent.
+    """
+    listed = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(`{key}`, {most}, {TRACKED_KEYS})").alias("top")).first()
+    return {r["item"]: r["count"] / listed["n"] for r in listed["top"] or [] if r["item"] is not None and r["count"] * parts > listed["n"]}
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner", parts: int | None = None) -> DataFrame:
+    """``rows`` joined with ``side`` on one key, of which few values may hold most of ``rows``.
+
+    Rows of a heavy key are dealt to as many salts as its share of all rows fills tasks, twice over, and the side's
+    rows with that key are copied to each salt; all other rows have salt 0.  The salt comes from the row itself, so
+    a task that runs again deals alike.  Keys that the sketch misses only cost time.  ``how`` is inner or left.
+    """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = heavy_keys(rows, key, parts)
+    if not heavy:
+        return rows.join(side, key, how)
+    salts = F.lit(1)
+    for value, share in heavy.items():
+        salts = F.when(F.col(key) == value, F.lit(max(1, round(2 * share * parts)))).otherwise(salts)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if rows.schema[c].dataType.typeName() != "map"]), salts))
+    copied = side.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), (salts - 1).cast("bigint"))))
+    return dealt.join(copied, [key, "_salt"], how).drop("_salt")
+
+
 def phrase_matches(df: DataFrame, text: str, terms: list[str]) -> DataFrame:
     """One row per (row, term found in its text): a containment join as one regex pass."""
     hits = F.regexp_extract_all(F.lower(F.col(text)), F.lit(any_phrase(terms)), F.lit(1))

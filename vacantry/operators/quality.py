@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -118,6 +118,19 @@ def fixture_findings(cases: DataFrame, categories: list[str]) -> DataFrame:
     )
 
 
-def rules_conflicts(stopwords: DataFrame, seniority_words: DataFrame) -> DataFrame:
-    """Words that are both a stopword and a seniority word; must be empty."""
-    return stopwords.select("word").intersect(seniority_words.select("word"))
+def rules_conflicts(rules: DataFrame) -> DataFrame:
+    """(section, word): words that a rule table drops although they tell the seniority; must be empty.
+
+    ``rules`` has section, word: every word of the tables ``stopwords``, ``filler_adjectives`` and ``seniority_table``.
+    A word that both dropping tables hold is listed for each.
+    """
+    words = rules.select("section", F.lower("word").alias("word")).distinct()
+    told = words.filter("section = 'seniority_table'").select("word")
+    return words.filter(F.col("section").isin("stopwords", "filler_adjectives")).join(told, "word", "left_semi").select("section", "word")
+
+
+def rule_words(spark: SparkSession) -> DataFrame:
+    """(section, word) of the rule tables in use."""
+    rows = [("stopwords", w) for w in lx.TITLE_STOPWORDS] + [("filler_adjectives", w) for w in lx.TITLE_FILLERS]
+    rows += [("seniority_table", w) for _, words in lx.SENIORITY_TABLE for w in words]
+    return spark.createDataFrame(rows, "section string, word string")

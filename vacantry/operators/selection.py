@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vacantry import lexicon as lx
 from vacantry.functions.clock import as_timestamp
 from vacantry.functions.text import is_blank, literal_map
+from vacantry.operators.ranks import with_position
 
 JOB = ["source", "job_id"]
 OBS_JOB = ["job_source", "job_id"]
@@ -93,8 +94,8 @@ def best_observation(obs: DataFrame, country: Column | None = None,
 
 
 def observation_history(obs: DataFrame) -> DataFrame:
-    """All observations of each job, newest first."""
-    return obs.orderBy("job_source", "job_id", F.desc("observed_at"), "observation_id")
+    """All observations with their ``position``: by job, newest first."""
+    return with_position(obs, "job_source", "job_id", F.desc("observed_at"), "observation_id")
 
 
 def find_observation(obs: DataFrame, source: str, job_id: str, observation_id: str) -> DataFrame:
@@ -146,28 +147,25 @@ def top_apply(matches: DataFrame, size: int) -> DataFrame:
 
 
 def stage_board(events: DataFrame, postings: DataFrame) -> DataFrame:
-    """Latest stage of every job, offers first, newest first inside a stage."""
-    return (
+    """Latest stage of every job with its ``position``: offers first, newest first inside a stage."""
+    rows = (
         latest_stage(events)
         .withColumnRenamed("job_source", "source")
         .join(postings.select(*JOB, "title", "company"), JOB)
         .withColumn("board_rank", rank_in(F.col("stage"), lx.BOARD_ORDER))
-        .orderBy("board_rank", F.desc("occurred_at"), "source", "job_id")
     )
+    return with_position(rows, "board_rank", F.desc("occurred_at"), "source", "job_id")
 
 
 def salary_queue(matches: DataFrame, postings: DataFrame, search_id: str | None = None) -> DataFrame:
-    """Apply rows for pay research: core fits, then stretches, then fit and title."""
+    """Apply rows for pay research with their ``position``: core fits, then stretches, then fit and title."""
     rows = matches.filter(F.col("cta") == "Apply")
     if search_id is not None:
         rows = rows.filter(F.col("search_id") == search_id)
     rank = F.when(F.col("stretch_label") == "Core fit", 0).when(
         F.col("stretch_label") == "Stretch", 1).otherwise(2)
-    return (
-        rows.join(postings.select(*JOB, "title", "company", "country_code"), JOB)
-        .withColumn("queue_rank", rank)
-        .orderBy("queue_rank", F.desc("fit_score"), F.lower("title"), "source", "job_id")
-    )
+    rows = rows.join(postings.select(*JOB, "title", "company", "country_code"), JOB).withColumn("queue_rank", rank)
+    return with_position(rows, "queue_rank", F.desc("fit_score"), F.lower("title"), "source", "job_id", "search_id")
 
 
 SCAN_COUNTRIES = ["GB", "IE", "NL", "DK"]
@@ -175,25 +173,25 @@ SCAN_COUNTRIES = ["GB", "IE", "NL", "DK"]
 
 def scan_queue(matches: DataFrame, postings: DataFrame, obs: DataFrame,
                search_id: str | None = None) -> DataFrame:
-    """Apply rows whose latest pay evidence is not posted, in scan order."""
+    """Apply rows whose latest pay evidence is not posted, with their ``position`` in scan order."""
     rows = matches.filter(F.col("cta") == "Apply")
     if search_id is not None:
         rows = rows.filter(F.col("search_id") == search_id)
     latest = latest_posted_first(obs).select(
         F.col("job_source").alias("source"), "job_id", "is_posted", "data_source")
-    return (
+    rows = (
         rows.select(*JOB, "search_id")
         .join(postings.select(*JOB, "title", "company", "country_code"), JOB)
         .join(latest, JOB, "left")
         .filter(~F.coalesce(F.col("is_posted"), F.lit(False)))
         .withColumn("country_rank", rank_in(F.col("country_code"), SCAN_COUNTRIES))
-        .orderBy("country_rank", "company", "title", "source", "job_id")
     )
+    return with_position(rows, "country_rank", "company", "title", "source", "job_id", "search_id")
 
 
 def backfill_candidates(postings: DataFrame, source: str | None = None, retry_failed: bool = False,
                         size: int | None = None) -> DataFrame:
-    """Postings without a description, last updated first."""
+    """Postings without a description with their ``position``, last updated first; the first ``size`` of them if given."""
     reason = F.col("language_reason")
     wanted = is_blank(F.col("description_text"))
     if retry_failed:
@@ -204,9 +202,9 @@ def backfill_candidates(postings: DataFrame, source: str | None = None, retry_fa
     rows = postings.filter(wanted)
     if source is not None:
         rows = rows.filter(F.col("source") == source)
-    rows = rows.select(*JOB, "url", "title", "company", "language_reason", "updated_at").orderBy(
-        F.desc("updated_at"), F.lower("title"), "source", "job_id")
-    return rows.limit(size) if size else rows
+    rows = rows.select(*JOB, "url", "title", "company", "language_reason", "updated_at")
+    order = [F.desc("updated_at"), F.lower("title"), "source", "job_id"]
+    return with_position(rows.orderBy(*order).limit(size) if size else rows, *order)
 
 
 def detail_budget(ids: DataFrame, existing: DataFrame, cap: int) -> DataFrame:

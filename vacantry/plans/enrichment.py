@@ -17,6 +17,7 @@ from vacantry.functions.keys import observation_id, series_id
 from vacantry.functions.titles import normalize_title, seniority
 from vacantry.operators import retry
 from vacantry.operators.extractors import pick_by_country
+from vacantry.operators.joins import spread_join
 from vacantry.operators.salary import observation_shape, parse_salary
 from vacantry.operators.selection import (JOB, OBS_JOB, best_observation, first_per_key,
                                           latest_benchmark)
@@ -54,11 +55,11 @@ def cohort_keys(postings: DataFrame) -> DataFrame:
 
 
 def cohort_benchmark(postings: DataFrame, benchmarks: DataFrame, as_of: str) -> DataFrame:
-    """Latest fresh benchmark of each posting's cohort, the finest place first."""
+    """Latest fresh benchmark of each posting's cohort, the finest place first; a hot cohort is spread over tasks."""
     latest = latest_benchmark(benchmarks, as_of).filter(~F.col("is_stale")).select(
         "series_id", "benchmark_id", "data_source", "data_source_url", "currency", "period",
         "compensation_type", "amount_min", "amount_max", "amount_median")
-    return first_per_key(cohort_keys(postings).join(latest, "series_id"), JOB, F.col("level"),
+    return first_per_key(spread_join(cohort_keys(postings), latest, "series_id"), JOB, F.col("level"),
                          F.col("benchmark_id"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vacantry.functions import pages as H
-from vacantry.functions.text import html_to_text, text_lines
+from vacantry.functions.text import html_to_text, squeeze, text_lines
 from vacantry.operators import backfill
 from vacantry.operators import extractors as E
 from vacantry.operators.aggregates import run_status
@@ -102,26 +102,33 @@ def _(t):
     return rows.select(P, *[f[n].alias(n) for n in names], F.array_join(f["application_links"], " ").alias("links"))
 
 
-BODY = (f"'Data Lead ' || {text(P)} || '\nData Lead ' || {text(P)} || '\n  Acme \nLeeds, England\nPosted ' || {text(P + ' % 9 + 1')} || ' days ago\nOver 40 applicants\n' || "
-        + choose(P, f"'Report this job\nIntro line\nAbout us\n' || {LONG} || '\nSeniority level\nMid\nEmployment type\nFull-time\n'",
-                 f"'About the job\nThe role is ' || {LONG} || '\nShow more\nIndustries\nIT\n'",
-                 f"'Job description ' || {LONG} || ' Show more\n'", "'Nothing else here\n'"))
+# the page's own text and address stand inside the templates, on one line each
+FLAT = "flat"
+HOST = "regexp_extract(url, '://([^/]+)', 1)"
+BODY = (f"'Data Lead ' || {text(P)} || '\nData Lead ' || {text(P)} || '\n  Site ' || {HOST} || ' \nLeeds, England\nPosted ' || {text(P + ' % 9 + 1')} || ' days ago\nOver 40 applicants\n' || "
+        + choose(P, f"'Report this job\nIntro line\nAbout us\n' || {LONG} || {FLAT} || '\nSeniority level\nMid\nEmployment type\nFull-time\n'",
+                 f"'About the job\nThe role is ' || {LONG} || {FLAT} || '\nShow more\nIndustries\nIT\n'",
+                 f"'Job description ' || {LONG} || {FLAT} || ' Show more\n'", "'Nothing else here\n'"))
+
+
+DUCK_FLAT = f"trim(regexp_replace({duck_text('html')}, '\\s+', ' ', 'g'))"
 
 
 def bodies(t):
-    return page(t, body=BODY)
+    rows = page(t).withColumn("flat", squeeze(html_to_text(F.col("html"))))
+    return rows.selectExpr(P, "url", f"{BODY} AS body")
 
 
 @query("page_descriptions",
        "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'About us' || chr(10) || w WHEN 1 THEN 'The role is ' || w WHEN 2 THEN w END AS job_description FROM "
-       "(SELECT page_id, trim(repeat('We build useful things for people. ', 10)) AS w FROM pages) s")
+       f"(SELECT page_id, trim(repeat('We build useful things for people. ', 10) || {DUCK_FLAT}) AS w FROM pages) s")
 def _(t):
     return H.with_job_description(bodies(t).select(P, "body"), "body").select(P, "job_description")
 
 
 @query("page_lines",
        "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Mid' END AS seniority, 'Posted ' || CAST(page_id % 9 + 1 AS VARCHAR) || ' days ago' AS posted, "
-       "'Over 40 applicants' AS applicants, 'Acme' AS company, 'Leeds, England' AS location FROM pages")
+       "'Over 40 applicants' AS applicants, 'Site ' || regexp_extract(url, '://([^/]+)', 1) AS company, 'Leeds, England' AS location FROM pages")
 def _(t):
     rows = bodies(t).withColumn("lines", text_lines(F.col("body")))
     lines = F.col("lines")
@@ -162,7 +169,7 @@ def _(t):
 
 
 # -- benchmark pages -------------------------------------------------------
-N = f"CAST(40000 + {P} * 13 AS BIGINT)"
+N = "CAST(40000 + length(html) % 5000 * 13 AS BIGINT)"
 
 
 def money(n: str, sign: str = "£") -> str:
@@ -177,7 +184,7 @@ TABLE = (f"'<table><tr><td>10<sup>th</sup> Percentile</td><td>' || {money(N)} ||
 
 @query("percentile_tables",
        "SELECT page_id, CAST(n AS DOUBLE) AS p10, CASE WHEN page_id % 2 = 1 THEN 50000.0 END AS p25, CAST(n + 20000 AS DOUBLE) AS median, CAST(NULL AS DOUBLE) AS p75, "
-       "CAST(1000 + page_id % 900 AS BIGINT) AS sample_size, 48000.0 AS median_ex_london FROM (SELECT page_id, 40000 + page_id * 13 AS n FROM pages) s")
+       "CAST(1000 + page_id % 900 AS BIGINT) AS sample_size, 48000.0 AS median_ex_london FROM (SELECT page_id, 40000 + length(html) % 5000 * 13 AS n FROM pages) s")
 def _(t):
     rows = page(t, doc=f"html || {TABLE}")
     return E.percentile_table(rows, "doc").select(P, "p10", "p25", "median", "p75", "sample_size", "median_ex_london")
@@ -186,16 +193,16 @@ def _(t):
 SOURCE = words(P, "itjobswatch", "indeed", "levels_fyi", "robert_half", "salaryexpert")
 BENCH_DOC = choose(
     P, f"html || {TABLE}", f"'<meta name=\"description\" content=\"The average is ' || {money(N, '€')} || ' per year\">' || html",
-    f"'<title>Pay ' || {money(N)} || ' to ' || {money(N + ' + 9000')} || '</title><meta content=\"up from £9,000 and ' || {money(N + ' + 4000')} || '\" name=\"description\">'",
-    f"'<p>engineer pay</p> 21,000 ' || format_number({N}, 0) || ' then ' || format_number({N} + 100, 0) || ' and ' || {text(N + ' + 200')} || ' <b>' || {text(N + ' + 900')} || '</b> 999'",
-    f"'<meta name=\"description\" content=\"' || {money(N)} || '; ' || {money(N + ' + 10')} || '; £9,999; ' || {money(N + ' + 30')} || '\">'")
+    f"'<title>Pay ' || {money(N)} || ' to ' || {money(N + ' + 9000')} || '</title><meta content=\"up from £9,000 and ' || {money(N + ' + 4000')} || '\" name=\"description\">' || html",
+    f"'<p>engineer pay</p> 21,000 ' || format_number({N}, 0) || ' then ' || format_number({N} + 100, 0) || ' and ' || {text(N + ' + 200')} || ' <b>' || {text(N + ' + 900')} || '</b> 999' || regexp_replace(html, '[0-9]', '')",
+    f"'<meta name=\"description\" content=\"' || {money(N)} || '; ' || {money(N + ' + 10')} || '; £9,999; ' || {money(N + ' + 30')} || '\">' || html")
 
 
 @query("extracted_benchmarks",
        "SELECT page_id, data_source, CAST(CASE page_id % 5 WHEN 0 THEN CASE WHEN page_id % 2 = 1 THEN 50000 END WHEN 1 THEN n - floor(n * 0.15 + 0.5) WHEN 3 THEN 21000 ELSE n END AS DOUBLE) AS amount_min, "
        "CAST(CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN n + floor(n * 0.15 + 0.5) WHEN 2 THEN n + 9000 WHEN 3 THEN n + 200 ELSE n + 30 END AS DOUBLE) AS amount_max, "
        "CAST(CASE page_id % 5 WHEN 0 THEN n + 20000 WHEN 1 THEN n WHEN 2 THEN floor((2 * n + 9000) / 2 + 0.5) WHEN 3 THEN floor((21000 + n + 200) / 2 + 0.5) ELSE n + 10 END AS DOUBLE) AS amount_median "
-       f"FROM (SELECT page_id, {SOURCE} AS data_source, 40000 + page_id * 13 AS n FROM pages) s")
+       f"FROM (SELECT page_id, {SOURCE} AS data_source, 40000 + length(html) % 5000 * 13 AS n FROM pages) s")
 def _(t):
     rows = page(t, data_source=SOURCE, doc=BENCH_DOC, title="'Senior Engineer'").select(
         P, "data_source", "title", F.col("doc").alias("html"))

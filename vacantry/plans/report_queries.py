@@ -111,16 +111,19 @@ def _(t):
 
 
 @query("follow_ups",
-       "SELECT l.job_source AS source, l.job_id, stage, CAST(floor((epoch(TIMESTAMP '2024-02-08') - epoch(occurred_at)) / 86400.0) AS BIGINT) AS days_ago, title, url FROM ("
+       "SELECT l.job_source AS source, l.job_id, stage, CAST(floor((epoch(TIMESTAMP '2024-02-08') - epoch(occurred_at)) / 86400.0) AS BIGINT) AS days_ago, title, url, "
+       "row_number() OVER (ORDER BY CAST(floor((epoch(TIMESTAMP '2024-02-08') - epoch(occurred_at)) / 86400.0) AS BIGINT) DESC, l.job_source NULLS FIRST, l.job_id) AS position FROM ("
        + top("stage_events", "job_source, job_id", "occurred_at DESC, id DESC", "*") + ") l JOIN postings p ON p.source = l.job_source AND p.job_id = l.job_id "
        "WHERE stage IN ('applied', 'screening') AND epoch(TIMESTAMP '2024-02-08') - epoch(occurred_at) >= 7 * 86400", ("stage_events", "postings"))
 def _(t):
-    return Q.follow_ups(t.stage_events, t.postings, "2024-02-08").select("source", "job_id", "stage", "days_ago", "title", "url")
+    return Q.follow_ups(t.stage_events, t.postings, "2024-02-08").select("source", "job_id", "stage", "days_ago", "title", "url", "position")
 
 
-@query("stage_history", "SELECT id, job_source, job_id, stage, occurred_at FROM stage_events", ("stage_events",))
+@query("stage_history",
+       "SELECT id, job_source, job_id, stage, occurred_at, row_number() OVER (ORDER BY job_source NULLS FIRST, job_id, occurred_at NULLS FIRST, id) AS position "
+       "FROM stage_events", ("stage_events",))
 def _(t):
-    return Q.stage_history(t.stage_events).select("id", "job_source", "job_id", "stage", "occurred_at")
+    return Q.stage_history(t.stage_events).select("id", "job_source", "job_id", "stage", "occurred_at", "position")
 
 
 @query("salary_lines",

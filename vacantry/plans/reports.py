@@ -9,6 +9,7 @@ from vacantry.functions.clock import as_timestamp, posting_age
 from vacantry.functions.fields import role_label
 from vacantry.functions.keys import number_text
 from vacantry.operators import aggregates as agg
+from vacantry.operators.ranks import with_position
 from vacantry.operators.selection import (JOB, apply_queue, first_per_key, latest_observation,
                                           latest_stage, newest)
 
@@ -158,20 +159,21 @@ def digest_state(state: DataFrame | None, as_of: str, default_days: int = 7) ->
 
 # -- stages ----------------------------------------------------------------
 def follow_ups(events: DataFrame, postings: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    """Jobs whose latest stage is applied or screening and at least ``days`` old."""
+    """Jobs whose latest stage is applied or screening and at least ``days`` old, with their ``position``, oldest first."""
     age = (F.unix_micros(as_timestamp(as_of)) - F.unix_micros(F.col("occurred_at"))) / F.lit(86400e6)
-    return (
+    rows = (
         latest_stage(events).filter(F.col("stage").isin("applied", "screening"))
         .withColumn("_age", age).filter(F.col("_age") >= days)
         .withColumn("days_ago", F.floor("_age").cast("bigint")).drop("_age")
         .withColumnRenamed("job_source", "source")
         .join(postings.select(*JOB, "title", "company", "url"), JOB)
-        .orderBy(F.desc("days_ago"), *JOB)
     )
+    return with_position(rows, F.desc("days_ago"), *JOB)
 
 
 def stage_history(events: DataFrame) -> DataFrame:
-    return events.orderBy("job_source", "job_id", "occurred_at", "id")
+    """All stage events with their ``position``: by job, in order of time."""
+    return with_position(events, "job_source", "job_id", "occurred_at", "id")
 
 
 # -- pay line --------------------------------------------------------------

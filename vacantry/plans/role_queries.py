@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vacantry import lexicon as lx
 from vacantry.functions.text import sentences
 from vacantry.operators import languages as L
 from vacantry.operators import requirements as R
@@ -114,16 +115,21 @@ def _(t):
     return titled(t).select("o_orderkey", family.alias("family"))
 
 
+MARKED = " OR ".join(f"contains(lower(hay), '{m}')" for m in lx.PORTAL_MARKERS)
+
+
 @query("page_relevance",
-       "SELECT page_id, page_id % 5 IN (0, 1, 4) AS relevant, page_id % 4 = 0 OR page_id % 6 = 0 AS expired FROM pages")
+       f"SELECT page_id, page_id % 5 <> 2 AND (page_id % 5 IN (0, 1, 4) OR {MARKED}) AS relevant, page_id % 4 = 0 OR page_id % 6 = 0 "
+       "OR regexp_matches(hay, 'we can.?t find this page|page not found|error 404', 'i') AS expired FROM (SELECT page_id, url || ' ' || html AS hay FROM pages) p")
 def _(t):
     rows = t.table("pages").selectExpr(
-        "page_id", words("page_id", "https://jobs.lever.co/x/1", "https://acme.example/careers/2", "https://www.linkedin.com/jobs/view/3",
+        "page_id", "url", "html", words("page_id", "https://jobs.lever.co/x/1", "https://acme.example/careers/2", "https://www.linkedin.com/jobs/view/3",
                          "https://blog.example/post", "https://x.myworkdayjobs.com/en") + " AS link",
         words("page_id", "Error 404", "Data Lead", "Nurse", "Cook") + " AS title",
         words("page_id", "We can't find this page", "Apply", "Hello", "Read", "More", "Less") + " AS body")
-    return rows.select("page_id", C.portal_relevant(F.col("link"), F.col("link")).alias("relevant"),
-                       C.expired_page(F.col("title"), F.col("body")).alias("expired"))
+    whole = F.concat_ws(" ", "link", "url", "html", "body")
+    return rows.select("page_id", C.portal_relevant(F.col("link"), whole).alias("relevant"),
+                       C.expired_page(F.col("title"), whole).alias("expired"))
 
 
 @query("phrase_matches",

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vacantry import lexicon as lx
 from vacantry.functions import money as M
 from vacantry.functions import titles as X
 from vacantry.functions.staging import by_distinct
 from vacantry.functions.text import html_to_pay_text
 from vacantry.operators import salary as S
-from vacantry.operators.quality import rules_conflicts
+from vacantry.operators.quality import rule_words, rules_conflicts
 from vacantry.plans.registry import query
 from vacantry.plans.testbed import choose, text, words
 
@@ -207,8 +208,17 @@ def _(t):
         "o_orderkey", F.array_join(X.candidate_slugs(F.col("raw")), "|").alias("slugs"))
 
 
+SECTION = "CASE p_size % 4 WHEN 0 THEN 'stopwords' WHEN 1 THEN 'filler_adjectives' WHEN 2 THEN 'seniority_table' ELSE 'locations' END"
+EDITED_SQL = (
+    f"SELECT {SECTION} AS section, lower(unnest(string_split(p_name, ' '))) AS word FROM part UNION ALL SELECT * FROM (VALUES "
+    + ", ".join([f"('stopwords', '{w}')" for w in lx.TITLE_STOPWORDS] + [f"('filler_adjectives', '{w}')" for w in lx.TITLE_FILLERS]
+                + [f"('seniority_table', '{w}')" for _, words_ in lx.SENIORITY_TABLE for w in words_]) + ") v(section, word)")
+
+
 @query("title_word_conflicts",
-       "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part INTERSECT SELECT unnest(string_split(p_name, ' ')) FROM part WHERE p_type = 'ECONOMY'")
+       "SELECT DISTINCT section, word FROM (" + EDITED_SQL + ") r WHERE section IN ('stopwords', 'filler_adjectives') AND word IN (SELECT word FROM (" + EDITED_SQL
+       + ") s WHERE section = 'seniority_table')")
 def _(t):
-    word = F.explode(F.split("p_name", " ")).alias("word")
-    return rules_conflicts(t.table("part").select(word), t.table("part").filter("p_type = 'ECONOMY'").select(word)).distinct()
+    # the tables in use, edited: words of part names join the section that the part's size names
+    edits = t.table("part").selectExpr(f"{SECTION} AS section", "explode(split(p_name, ' ')) AS word")
+    return rules_conflicts(rule_words(t.spark).unionByName(edits))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vacantry.functions import keys as K
 from vacantry.operators import aggregates as A
+from vacantry.operators import joins as J
 from vacantry.operators import quality as D
 from vacantry.operators import selection as S
 from vacantry.operators import store
@@ -62,9 +63,11 @@ def _(t):
     return S.latest_observation(t.observations).select(*OBS_COLS.split(", "))
 
 
-@query("observation_history", f"SELECT {OBS_COLS} FROM observations", ("observations",))
+@query("observation_history",
+       f"SELECT {OBS_COLS}, row_number() OVER (ORDER BY job_source NULLS FIRST, job_id, observed_at DESC, observation_id) AS position FROM observations",
+       ("observations",))
 def _(t):
-    return S.observation_history(t.observations).select(*OBS_COLS.split(", "))
+    return S.observation_history(t.observations).select(*OBS_COLS.split(", "), "position")
 
 
 @query("observations_by_label", "SELECT job_source, job_id, confidence_label, count(*) AS n FROM observations "
@@ -167,43 +170,48 @@ BOARD = ("CASE stage WHEN 'offer' THEN 0 WHEN 'interview' THEN 1 WHEN 'screening
 
 
 @query("stage_board",
-       f"SELECT l.job_source AS source, l.job_id, stage, occurred_at, title, company, {BOARD} AS board_rank FROM ("
+       f"SELECT l.job_source AS source, l.job_id, stage, occurred_at, title, company, {BOARD} AS board_rank, "
+       f"row_number() OVER (ORDER BY {BOARD}, occurred_at DESC, l.job_source NULLS FIRST, l.job_id) AS position FROM ("
        + top("stage_events", "job_source, job_id", "occurred_at DESC, id DESC", "*")
        + ") l JOIN postings p ON p.source = l.job_source AND p.job_id = l.job_id", ("stage_events", "postings"))
 def _(t):
     return S.stage_board(t.stage_events, t.postings).select(
         "source", "job_id", "stage", "occurred_at", "title", "company",
-        F.col("board_rank").cast("int").alias("board_rank"))
+        F.col("board_rank").cast("int").alias("board_rank"), "position")
 
 
 @query("salary_queue",
        "SELECT m.search_id, m.source, m.job_id, fit_score, title, country_code, CASE stretch_label "
-       "WHEN 'Core fit' THEN 0 WHEN 'Stretch' THEN 1 ELSE 2 END AS queue_rank FROM matches m JOIN postings p "
+       "WHEN 'Core fit' THEN 0 WHEN 'Stretch' THEN 1 ELSE 2 END AS queue_rank, row_number() OVER (ORDER BY CASE stretch_label "
+       "WHEN 'Core fit' THEN 0 WHEN 'Stretch' THEN 1 ELSE 2 END, fit_score DESC NULLS LAST, lower(title) NULLS FIRST, m.source NULLS FIRST, "
+       "m.job_id, m.search_id) AS position FROM matches m JOIN postings p "
        "ON p.source = m.source AND p.job_id = m.job_id WHERE cta = 'Apply'", ("matches", "postings"))
 def _(t):
     return S.salary_queue(t.matches, t.postings).select(
-        "search_id", "source", "job_id", "fit_score", "title", "country_code", "queue_rank")
+        "search_id", "source", "job_id", "fit_score", "title", "country_code", "queue_rank", "position")
 
 
 @query("scan_queue",
        "SELECT m.search_id, m.source, m.job_id, p.country_code, company, lo.data_source, "
        "CASE p.country_code WHEN 'GB' THEN 0 WHEN 'IE' THEN 1 WHEN 'NL' THEN 2 WHEN 'DK' THEN 3 ELSE 4 END "
-       "AS country_rank FROM matches m JOIN postings p ON p.source = m.source AND p.job_id = m.job_id LEFT JOIN ("
+       "AS country_rank, row_number() OVER (ORDER BY CASE p.country_code WHEN 'GB' THEN 0 WHEN 'IE' THEN 1 WHEN 'NL' THEN 2 WHEN 'DK' THEN 3 ELSE 4 END, "
+       "company NULLS FIRST, title NULLS FIRST, m.source NULLS FIRST, m.job_id, m.search_id) AS position FROM matches m JOIN postings p ON p.source = m.source AND p.job_id = m.job_id LEFT JOIN ("
        + top("observations", "job_source, job_id", "is_posted DESC, observed_at DESC, created_at DESC, observation_id", "*")
        + ") lo ON lo.job_source = p.source AND lo.job_id = p.job_id WHERE cta = 'Apply' "
        "AND NOT coalesce(lo.is_posted, false)", ("matches", "postings", "observations"))
 def _(t):
     return S.scan_queue(t.matches, t.postings, t.observations).select(
-        "search_id", "source", "job_id", "country_code", "company", "data_source", "country_rank")
+        "search_id", "source", "job_id", "country_code", "company", "data_source", "country_rank", "position")
 
 
 @query("backfill_candidates",
-       "SELECT source, job_id, updated_at, language_reason FROM postings WHERE description_text IS NULL "
+       "SELECT source, job_id, updated_at, language_reason, row_number() OVER (ORDER BY updated_at DESC NULLS LAST, lower(title) NULLS FIRST, "
+       "source NULLS FIRST, job_id) AS position FROM postings WHERE description_text IS NULL "
        "OR trim(description_text) = '' OR language_reason LIKE 'FAIL: Could not extract JD%' "
        "OR language_reason LIKE 'scrape_failed:%'", ("postings",))
 def _(t):
     return S.backfill_candidates(t.postings, retry_failed=True).select(
-        "source", "job_id", "updated_at", "language_reason")
+        "source", "job_id", "updated_at", "language_reason", "position")
 
 
 # queries of a search plan: each supplier stands for a query, its parts for the listed ids
@@ -450,6 +458,28 @@ def _(t):
     return A.cohort_medians(t.observations)
 
 
+@query("cohort_benchmarks",
+       "SELECT normalized_title, country_code, currency, count(*) AS n, min(amount_median) AS min_median, max(amount_median) AS max_median FROM ("
+       + top(f"(SELECT *, {SERIES_SQL} AS series_id FROM benchmarks)", "series_id", "fetched_at DESC, benchmark_id", "*") + ") l GROUP BY ALL", ("benchmarks",))
+def _(t):
+    return A.latest_cohort_benchmarks(S.latest_benchmark(snapshots(t), AS_OF))
+
+
+# half of all postings are in one cohort
+COHORT = "CASE WHEN o_orderkey % 2 = 0 THEN 'everyone' ELSE 'cohort ' || CAST(o_custkey % 61 AS {}) END"
+COHORT_MEDIANS = "CASE WHEN p_partkey % 50 = 0 THEN 'everyone' ELSE 'cohort ' || CAST(p_partkey % 50 AS {}) END"
+
+
+@query("cohort_hot_key",
+       f"SELECT job_id, max(median) AS median FROM (SELECT o_orderkey AS job_id, {COHORT.format('VARCHAR')} AS cohort FROM orders) o "
+       f"JOIN (SELECT {COHORT_MEDIANS.format('VARCHAR')} AS cohort, max(p_retailprice) AS median FROM part GROUP BY 1) b USING (cohort) GROUP BY job_id")
+def _(t):
+    postings = t.table("orders").selectExpr("o_orderkey AS job_id", COHORT.format("STRING") + " AS cohort")
+    medians = t.table("part").selectExpr(COHORT_MEDIANS.format("STRING") + " AS cohort", "p_retailprice").groupBy("cohort").agg(
+        F.max("p_retailprice").alias("median"))
+    return J.spread_join(postings, medians, "cohort").groupBy("job_id").agg(F.max("median").alias("median"))
+
+
 @query("posted_pay_by_company",
        "SELECT company, p.country_code, currency, period, compensation_type, count(mid) AS samples, "
        "median(mid) AS median_mid FROM postings p LEFT JOIN (SELECT *, (amount_min + amount_max) / 2 AS mid FROM "

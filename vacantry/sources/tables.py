@@ -61,9 +61,34 @@ def json_roundtrip(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).json(path)
 
 
-def read_sqlite(spark: SparkSession, url: str, table: str) -> DataFrame:
-    """Table of an existing SQLite file; needs a JDBC driver on the class path."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, driver="org.sqlite.JDBC").load()
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV files with a header, one line per row; quotes inside values are doubled."""
+    df.write.csv(path, header=True, quote='"', escape='"', timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", emptyValue='""')
+
+
+CORRUPT = "_corrupt"
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad records) of CSV files with a header, read with an explicit schema.
+
+    A record is a line.  One with a value that its column cannot hold, or with too many or too few fields, is no row
+    but appears as it was written, in ``_corrupt``, among the bad ones.
+    """
+    kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    full = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*kinds.fields, StructField(CORRUPT, StringType())])
+    parsed = F.from_csv("value", full, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "quote": '"', "escape": '"', "emptyValue": "",
+        "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    lines = spark.read.text(path).filter(~F.col("value").isin("", ",".join(kinds.names)))
+    records = lines.select(parsed.alias("r")).select("r.*")
+    return records.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), records.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+
+
+def orc_roundtrip(df: DataFrame, path: str) -> DataFrame:
+    """Rows written as ORC and read back with their own schema."""
+    df.write.orc(path)
+    return df.sparkSession.read.schema(df.schema).orc(path)
 
 
 # -- dictionaries ----------------------------------------------------------
@@ -93,10 +118,13 @@ def load_title_families(path: str, selected: list[str]):
     return tuple(families), tuple(literals)
 
 
-def dictionary_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(term, alias, kind) rows of a vocabulary file, for joins and audits."""
+def dictionary_rows(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(term, alias, kind) rows of vocabulary files, for joins and audits.
+
+    A file is one document with ``terms``, or with ``lines`` one such document per line, which splits over tasks.
+    """
     schema = "terms array<struct<term:string,aliases:array<string>,kind:string>>"
-    terms = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("terms").alias("t"))
+    terms = spark.read.schema(schema).json(path, multiLine=not lines).select(F.explode("terms").alias("t"))
     spellings = F.array_distinct(F.concat(F.array("t.term"), F.coalesce("t.aliases", F.array().cast("array<string>"))))
     return terms.select(F.lower("t.term").alias("term"), F.explode(spellings).alias("alias"), "t.kind").withColumn(
         "alias", F.lower("alias"))
