@@ -253,3 +253,48 @@ def test_positions_over_ranges(spark):
     assert with_position(df.where("false"), "id").count() == 0
     with pytest.raises(ValueError):
         with_position(df, "id", name="K")
+
+
+def test_bucketed_merge_leaves_other_buckets_alone(spark, tmp_path):
+    from vacantry.operators.buckets import BUCKET, BucketedTable
+
+    rows = spark.range(1000).selectExpr("CASE WHEN id % 100 > 0 THEN id END AS k", "id AS v")
+    path = tmp_path / "table"
+    table = BucketedTable(spark, str(path), rows.schema, ["k"], 16)
+    table.create(rows)
+    before = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    changes = spark.createDataFrame([(1, -1), (2, -2), (5000, 7)], rows.schema)
+    touched = table.merge(changes, lambda old, new: store.upsert(old, new, ["k"]))
+    assert 1 <= len(touched) <= 3
+    after = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    inside = {f for f in before if int(f.parent.name.partition("=")[2]) in touched}
+    assert {f: t for f, t in before.items() if f not in inside} == {f: t for f, t in after.items() if int(
+        f.parent.name.partition("=")[2]) not in touched} and not inside & set(after)
+    plan = table.read(touched)._jdf.queryExecution().executedPlan().toString()
+    assert f"PartitionFilters: [isnotnull({BUCKET}" in plan or f"PartitionFilters: [{BUCKET}" in plan
+    want = {(r.k, r.v) for r in rows.where("k IS NULL OR k NOT IN (1, 2)").collect()} | {(1, -1), (2, -2), (5000, 7)}
+    assert {(r.k, r.v) for r in table.read().collect()} == want and table.read().count() == 1001
+    assert table.merge(changes.where("false"), lambda old, new: old) == []
+    gone = table.merge(changes, lambda old, new: old.where("false"))
+    assert gone == touched and table.read(touched).count() == 0 and table.read().count() > 800
+
+
+def test_term_matches_take_the_longest_from_the_left(spark):
+    from vacantry.operators.joins import term_matches
+
+    terms = spark.createDataFrame([("a b",), ("b c d",), ("C++",), ("a",), ("é f",), ("",)], "term string")
+    rows = spark.createDataFrame([(1, "A  b c d, c++ x a"), (2, "xb c d b c d"), (3, None), (4, ""), (5, "É F a-a, a b"), (6, "a " * 3000)], "id int, body string")
+    got = {(r.id, r.term): r.n for r in term_matches(rows, ["id"], "body", terms).collect()}
+    assert got == {(1, "a b"): 1, (1, "C++"): 1, (1, "a"): 1, (2, "b c d"): 1, (5, "é f"): 1, (5, "a"): 2, (5, "a b"): 1, (6, "a"): 3000}
+    with pytest.raises(Exception, match="tokens"):
+        term_matches(rows, ["id"], "body", terms, most_tokens=2).collect()
+
+
+def test_titles_are_folded(spark):
+    from vacantry.functions import titles as X
+
+    rows = spark.createDataFrame([(1, "Ｓｒ． ﬁeld Engineer"), (2, "Senior Architect"), (3, None), (4, "Sénior Ingénieur"), (5, "Sénior Ingénieur"),
+                                  (6, "Senior Architect")], "id int, t string")
+    got = {r.id: (r.normalized_title, r.seniority) for r in X.titled_rows(rows, "t").collect()}
+    assert got[1] == ("senior field engineer", "senior") and got[2] == got[6] and got[3] == ("", "_any")
+    assert got[4] == got[5] == ("senior ingenieur", "_any")

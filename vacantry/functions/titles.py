@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantry import lexicon as lx
+from vacantry.functions.folding import compatible, without_marks
+from vacantry.functions.staging import by_distinct
 from vacantry.functions.text import escape, literal_map, longest_first, squeeze, strip_accents
 
 
@@ -37,6 +39,18 @@ def normalize_title(c: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.coalesce(synonyms[t], t)), " ")
 
 
+def titled_rows(df: DataFrame, column: str) -> DataFrame:
+    """Adds ``normalized_title`` and ``seniority`` of a title column, worked out once per distinct title.
+
+    Titles are compatibility-folded first, so ligatures, full-width letters and combining accents read as plain
+    letters; only distinct titles that hold other than ASCII characters pass through Python.
+    """
+    value = F.col("_value")
+    folded = by_distinct(df, column, _compatible=compatible(value))
+    made = by_distinct(folded, "_compatible", normalized_title=normalize_title(without_marks(value)), seniority=seniority(value))
+    return made.drop("_compatible")
+
+
 def _first_bucket(text: Column, table: list[tuple[str, list[str]]]) -> Column:
     """Bucket, in table order, of the words found by one pass over the text."""
     rank: dict[str, int] = {}

@@ -6,7 +6,7 @@ sides are reduced to one row per key before they are joined.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantry.functions.text import any_phrase
@@ -85,6 +85,40 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, how: str = "inner",
     return dealt.join(copied, [key, "_salt"], how).drop("_salt")
 
 
+# words, and every other character that is no space by itself
+TOKEN = r"\w+|[^\w\s]"
+
+
+def tokens(c: Column) -> Column:
+    """Lower-case tokens of a text; what stands between them does not count."""
+    return F.regexp_extract_all(F.lower(c), F.lit(f"(?U)({TOKEN})"), F.lit(1))
+
+
+def term_matches(df: DataFrame, key: list[str], text: str, terms: DataFrame, most_tokens: int = 8) -> DataFrame:
+    """(key, term, n): terms of a large vocabulary in each text and how often, for a vocabulary of any size.
+
+    ``terms`` has term.  Texts and terms are compared by tokens: every run of up to ``most_tokens`` tokens meets the
+    terms in one hash join, so the cost does not grow with the number of terms, and a frequent run is spread over
+    tasks.  From left to right the longest term at each place counts and what it covers is used up.  Terms of more
+    tokens raise; ``key`` names the rows.
+    """
+    joiner = "\u0001"
+    listed = terms.select("term", tokens(F.col("term")).alias("_t")).filter(F.size("_t") > 0)
+    longest = F.when(F.size("_t") > most_tokens, F.raise_error(F.lit(f"a term has more than {most_tokens} tokens")))
+    listed = listed.select(F.coalesce(longest, F.array_join("_t", joiner)).alias("_run"), "term").groupBy("_run").agg(
+        F.min("term").alias("term"))
+    firsts = df.select(*key, tokens(F.col(text)).alias("_t")).select(*key, "_t", F.posexplode("_t").alias("_at", "_w"))
+    runs = firsts.select(*key, "_at", F.posexplode(F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(most_tokens), F.size("_t") - F.col("_at"))),
+        lambda n: F.array_join(F.slice("_t", F.col("_at") + 1, n), joiner))).alias("_more", "_run"))
+    hits = spread_join(runs, listed, "_run").groupBy(*key, "_at").agg(F.max(F.struct("_more", "term")).alias("h"))
+    placed = hits.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_at", "h._more", "h.term"))).alias("_hits"))
+    start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<string>").alias("terms"))
+    taken = F.aggregate("_hits", start, lambda acc, h: F.when(h["_at"] > acc["end"], F.struct(
+        (h["_at"] + h["_more"]).alias("end"), F.concat(acc["terms"], F.array(h["term"])).alias("terms"))).otherwise(acc))
+    return placed.select(*key, F.explode(taken["terms"]).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("n"))
+
+
 def phrase_matches(df: DataFrame, text: str, terms: list[str]) -> DataFrame:
     """One row per (row, term found in its text): a containment join as one regex pass."""
     hits = F.regexp_extract_all(F.lower(F.col(text)), F.lit(any_phrase(terms)), F.lit(1))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantry.functions.keys import observation_id, series_id
-from vacantry.functions.titles import normalize_title, seniority
+from vacantry.functions.titles import titled_rows
 from vacantry.operators import retry
 from vacantry.operators.extractors import pick_by_country
 from vacantry.operators.joins import spread_join
@@ -39,10 +39,8 @@ def cohort_keys(postings: DataFrame) -> DataFrame:
 
     A benchmark published for a whole region or country serves every posting below it.
     """
-    title, level = normalize_title(F.col("title")), seniority(F.col("title"))
-    base = postings.select(*JOB, "country_code", F.coalesce("region", F.lit("")).alias("_region"),
-                           F.coalesce("city", F.lit("")).alias("_city"), title.alias("normalized_title"),
-                           level.alias("seniority"))
+    base = titled_rows(postings.select(*JOB, "country_code", F.coalesce("region", F.lit("")).alias("_region"),
+                                       F.coalesce("city", F.lit("")).alias("_city"), "title"), "title")
     nothing = F.lit("")
     places = F.array(
         F.struct(F.lit(0).alias("level"), F.col("_region").alias("region"), F.col("_city").alias("city")),

@@ -9,7 +9,7 @@ from vacantry.functions.text import sentences
 from vacantry.operators import languages as L
 from vacantry.operators import requirements as R
 from vacantry.operators import roles as C
-from vacantry.operators.joins import phrase_matches
+from vacantry.operators.joins import phrase_matches, term_matches
 from vacantry.plans.registry import query
 from vacantry.plans.testbed import TITLES, choose, text, words
 
@@ -141,6 +141,19 @@ def _(t):
         "o_orderkey", "term")
 
 
+@query("vocabulary_matches",
+       "SELECT l_orderkey, l_partkey, l_suppkey, lower(p_name || ' ' || s_name) AS term, CAST(2 * count(*) AS BIGINT) AS n FROM lineitem JOIN part ON p_partkey = l_partkey "
+       "JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL")
+def _(t):
+    """Names of part and supplier pairs, tens of thousands of terms, found in texts that hold two of them twice."""
+    pairs = (t.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey").join(t.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+             .join(t.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey"))
+    named = pairs.withColumn("term", F.lower(F.concat_ws(" ", "p_name", "s_name")))
+    texts = named.groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.array_join(F.collect_list(F.concat(
+        F.lit("We ship "), F.upper("term"), F.lit(", or ("), "term", F.lit(") instead."))), " ").alias("body"))
+    return term_matches(texts, ["l_orderkey", "l_partkey", "l_suppkey"], "body", named.select("term").distinct())
+
+
 # -- requirements ----------------------------------------------------------
 SKILL = words("doc_id", "Must have experience with Kafka.", "Strong background in Python and SQL is required.",
               "Proficient in k8s or C++, please.", "Experience with Kafka is a plus.",

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from vacantry import lexicon as lx
 from vacantry.functions import money as M
 from vacantry.functions import titles as X
-from vacantry.functions.staging import by_distinct
 from vacantry.functions.text import html_to_pay_text
 from vacantry.operators import salary as S
 from vacantry.operators.quality import rule_words, rules_conflicts
@@ -186,8 +185,20 @@ LEVEL = words("l_orderkey", "senior", "lead", "_any", "principal", "junior", "vp
        f"{LEVEL} AS seniority FROM lineitem")
 def _(t):
     rows = t.table("lineitem").selectExpr("l_orderkey", "l_partkey", "l_suppkey", f"{RAW_TITLE} AS raw")
-    value = F.col("_value")
-    return by_distinct(rows, "raw", title=X.normalize_title(value), seniority=X.seniority(value)).drop("raw")
+    return X.titled_rows(rows, "raw").drop("raw").withColumnRenamed("normalized_title", "title")
+
+
+# mostly distinct titles, with full-width letters, ligatures and combining marks
+FOLDED = ("Ｓｅｎｉｏｒ Ｓｏｆｔｗａｒｅ Ｅｎｇｉｎｅｅｒ", "Oﬃce Architect", "De\u0301veloppeur Sr.", "Lead ﬁeld Engineer", "Ⅻ Analyst²")
+FOLDED_OUT = ("senior software_engineer", "office architect", "developpeur senior", "lead field engineer", "xii analyst2")
+FOLDED_LEVEL = ("senior", "_any", "senior", "lead", "_any")
+
+
+@query("folded_titles",
+       f"SELECT o_orderkey, {words('o_orderkey', *FOLDED_OUT)} || ' x' || CAST(o_orderkey AS VARCHAR) AS title, {words('o_orderkey', *FOLDED_LEVEL)} AS seniority FROM orders")
+def _(t):
+    rows = t.table("orders").selectExpr("o_orderkey", f"{words('o_orderkey', *FOLDED)} || ' x' || CAST(o_orderkey AS STRING) AS raw")
+    return X.titled_rows(rows, "raw").select("o_orderkey", F.col("normalized_title").alias("title"), "seniority")
 
 
 @query("industries",

@@ -10,8 +10,10 @@ from vacantry.operators import joins as J
 from vacantry.operators import quality as D
 from vacantry.operators import selection as S
 from vacantry.operators import store
-from vacantry.plans.registry import query
+from vacantry.operators.buckets import BucketedTable
+from vacantry.plans.registry import ORACLES, query
 from vacantry.plans.testbed import AS_OF, choose, text, words
+from vacantry.session import work_dir
 
 TS = f"TIMESTAMP '{AS_OF}'"
 RANK = ("CASE confidence_label WHEN 'posted_exact' THEN 0 WHEN 'external_exact' THEN 1 "
@@ -591,6 +593,10 @@ INCOMING_SQL = (
     "'4' AS taxonomy_version FROM customer")
 
 
+MERGE_COLUMNS = ["source", "job_id", "title", "description_text", "role_label", "role_confidence",
+                 "taxonomy_version", "created_at", "application_status"]
+
+
 @query("merge_postings",
        "SELECT coalesce(i.source, e.source) AS source, coalesce(i.job_id, e.job_id) AS job_id, "
        "CASE WHEN i.job_id IS NOT NULL THEN i.title ELSE e.title END AS title, "
@@ -605,9 +611,7 @@ INCOMING_SQL = (
        "FROM postings e FULL JOIN incoming i ON i.source = e.source AND i.job_id = e.job_id",
        ("postings",), incoming=INCOMING_SQL)
 def _(t):
-    cols = ["source", "job_id", "title", "description_text", "role_label", "role_confidence",
-            "taxonomy_version", "created_at", "application_status"]
-    return store.merge_postings(t.postings.select(*cols), incoming(t)).drop("role_confidence")
+    return store.merge_postings(t.postings.select(*MERGE_COLUMNS), incoming(t)).drop("role_confidence")
 
 
 @query("replace_children",
@@ -769,3 +773,26 @@ def _(t):
         "vec_id AS id", "CAST(label AS STRING) AS category",
         "CASE WHEN vec_id % 2 = 0 THEN 'prototype' ELSE 'evaluation' END AS split")
     return D.fixture_findings(cases, [str(i) for i in range(8)] + ["10"])
+
+
+# -- merges that touch some buckets only -----------------------------------
+def bucketed(t, rows, key):
+    table = BucketedTable(t.spark, work_dir(t.spark, "table"), rows.schema, key, 16)
+    table.create(rows)
+    return table
+
+
+@query("bucketed_merge", ORACLES["merge_postings"])
+def _(t):
+    table = bucketed(t, t.postings.select(*MERGE_COLUMNS), ["source", "job_id"])
+    table.merge(incoming(t), store.merge_postings)
+    return table.read().drop("role_confidence")
+
+
+@query("bucketed_upsert", ORACLES["upsert_scores"])
+def _(t):
+    old = t.matches.select("search_id", "source", "job_id", "fit_score")
+    key = ["search_id", "source", "job_id"]
+    table = bucketed(t, old, key)
+    table.merge(old.filter("fit_score >= 90").withColumn("fit_score", F.lit(99.5)), lambda stored, new: store.upsert(stored, new, key))
+    return table.read()
