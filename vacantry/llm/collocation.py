@@ -29,9 +29,9 @@ LEAST = 10  # occurrences of a candidate
 DROP_PERCENT = 50  # of a phrase's occurrences: one longer candidate with as many replaces it
 TOP = 2000  # phrases listed per language
 NO_LANGUAGE = "und"
-BLOCK = 1 << 22
-PART_BYTES = 16 << 20  # of text per part that runs are dealt to
-MERGE_ROWS = 4 << 20  # entries gathered before runs are merged
+BLOCK = 1 << 21
+PART_BYTES = 8 << 20  # of text per part that runs are dealt to
+MERGE_ROWS = 1 << 20  # entries gathered before runs are merged
 _RUNS = "part int, firsts binary, seconds binary, thirds binary, counts binary, words binary, langs binary, totals binary, spelled binary"
 _STREAM = "k int, a long, b long, c long, n long, word string"
 
@@ -135,12 +135,13 @@ def _merged_runs(least: int):
     def run(batches):
         grams, words, spelling = _Merge(3), _Merge(2), {}
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                first, second, third, own, lang = (np.frombuffer(row[i], np.uint64) for i in (0, 1, 2, 4, 5))
+            for i in range(batch.num_rows):
+                row = [c[i].as_buffer() for c in batch.columns[1:]]
+                first, second, third, own, lang = (np.frombuffer(row[k], np.uint64) for k in (0, 1, 2, 4, 5))
                 grams.add(np.stack([first, second, third]), np.frombuffer(row[3], np.uint32).astype(np.int64))
                 if len(own):
                     words.add(np.stack([own, lang]), np.frombuffer(row[6], np.uint32).astype(np.int64))
-                    for w, s in zip(own.tolist(), row[7].split(b" ")):
+                    for w, s in zip(own.tolist(), row[7].to_pybytes().split(b" ")):
                         spelling.setdefault(w, s)
         own, totals = words.done()
         if not len(totals):
