@@ -25,7 +25,7 @@ from vacantry.llm.scratch import Scratch
 
 WINDOW = 10
 LANE = 256  # words a lane starts in
-PATTERN_BYTES = 32 << 20  # of benchmark text that one search table is built from
+PATTERN_BYTES = 8 << 20  # of benchmark text that one search table is built from; the table is up to 15 times as large
 WORD = byte_set([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 
 
@@ -34,21 +34,39 @@ def _words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return starts, ends, block.bounds(starts), block.hashes(starts, ends)
 
 
+@dataclass
+class Library:
+    """All items one after another: folded text, places and hashes of their words."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+
+    def spelled(self, first: int, length: int) -> list[bytes]:
+        return [self.data[a:b].tobytes() for a, b in zip(self.starts[first:first + length], self.ends[first:first + length])]
+
+
 @dataclass
 class Search:
-    """Search tables for the patterns of one length.
+    """Search tables for the patterns of one length; a pattern is a place in the library.
 
-    ``words``: one row of word hashes per pattern, sorted by the hash of its last block; ``text``: the
-    same words as text; ``items``: numbers of the items that hold the pattern.
+    ``slots``: of the last block of each pattern, ascending; ``at``: its first word; ``cut`` and ``items``: numbers of
+    the items that hold pattern i are ``items[cut[i]:cut[i + 1]]``.
     """
 
     length: int
     bits: int
     shift: np.ndarray
-    bucket: np.ndarray
-    words: np.ndarray
-    text: list[bytes]
-    items: list[list[int]]
+    library: Library
+    slots: np.ndarray
+    at: np.ndarray
+    cut: np.ndarray
+    items: np.ndarray
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.shift, self.slots, self.at, self.cut, self.items))
 
     @property
     def block(self) -> int:
@@ -56,7 +74,7 @@ class Search:
 
     def find(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word, pattern) of every occurrence, by equal word hashes."""
-        m, size = self.length, self.block
+        m, size, step = self.length, self.block, np.arange(self.length)
         n = np.maximum(np.diff(bounds) - m + 1, 0)  # positions where a window may start
         lanes = -(-n // LANE)
         text = np.repeat(np.arange(len(n)), lanes)
@@ -72,9 +90,10 @@ class Search:
             skip = jump[last].astype(np.int64)
             hit = np.flatnonzero(skip == 0)
             if len(hit):
-                p, low, high = at[hit], self.bucket[slot[last[hit]]], self.bucket[slot[last[hit]] + 1]
+                wanted = slot[last[hit]].astype(self.slots.dtype)
+                p, low, high = at[hit], np.searchsorted(self.slots, wanted), np.searchsorted(self.slots, wanted, "right")
                 while len(p):  # one pattern of each bucket at a time
-                    same = (self.words[low] == hashes[p[:, None] + np.arange(m)]).all(axis=1)
+                    same = (self.library.hashes[self.at[low][:, None] + step] == hashes[p[:, None] + step]).all(axis=1)
                     first.append(p[same])
                     which.append(low[same])
                     low = low + 1
@@ -87,44 +106,58 @@ class Search:
         return np.concatenate([empty, *first]), np.concatenate([empty, *which])
 
 
-def _search(length: int, patterns: dict[bytes, tuple[np.ndarray, list[int]]]) -> Search:
-    texts = list(patterns)
-    words = np.stack([patterns[t][0] for t in texts])
+def _search(length: int, library: Library, at: np.ndarray, owner: np.ndarray) -> Search:
+    """Tables for the windows that start at the words ``at`` of the items ``owner``."""
+    window = join_hashes(library.hashes, at, length)
+    order = np.lexsort((owner, window))
+    at, owner, window = at[order], owner[order], window[order]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = window[1:] != window[:-1]
+    for j in range(length):  # windows of equal hash and other words stay apart
+        new[1:] |= library.hashes[at[1:] + j] != library.hashes[at[:-1] + j]
+    pattern = np.cumsum(new) - 1
+    again = np.zeros(len(at), dtype=bool)  # an item that holds the pattern once more
+    again[1:] = ~new[1:] & (owner[1:] == owner[:-1])
+    items, cut = owner[~again].astype(np.int32), np.searchsorted(pattern[~again], np.arange(new.sum() + 1))
+    at = at[new].astype(np.int32)
+
     size = min(2, length)
-    blocks_ = np.stack([join_hashes(words.ravel(), np.arange(len(texts)) * length + j, size)
-                        for j in range(length - size + 1)], axis=1)
-    bits = int(np.clip(np.ceil(np.log2(blocks_.size * 16 + 1)), 10, 26))
-    slot = (blocks_ >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.argsort(slot[:, -1], kind="stable")
-    shift = np.full(1 << bits, length - size + 1, dtype=np.uint16)
+    ends = join_hashes(library.hashes, np.arange(len(library.hashes) - size + 1), size)
+    bits = int(np.clip(np.ceil(np.log2(8 * len(ends) + 1)), 10, 26))
+    slot = (ends >> np.uint64(64 - bits)).astype(np.uint32)
+    shift = np.full(1 << bits, length - size + 1, dtype=np.uint8 if length < 256 else np.uint32)
     for j in range(length - size + 1):
-        np.minimum.at(shift, slot[:, j], length - size - j)
-    bucket = np.searchsorted(slot[order, -1], np.arange((1 << bits) + 1)).astype(np.int64)
-    return Search(length, bits, shift, bucket, words[order], [texts[i] for i in order],
-                  [patterns[texts[i]][1] for i in order])
+        np.minimum.at(shift, slot[at + j], shift.dtype.type(length - size - j))
+    last = slot[at + length - size]
+    order = np.argsort(last, kind="stable")
+    count = np.diff(cut)[order]
+    begin = np.concatenate([[0], np.cumsum(count)])
+    items = items[np.repeat(cut[:-1][order] - begin[:-1], count) + np.arange(count.sum())]
+    return Search(length, bits, shift, library, last[order], at[order], begin.astype(np.int32), items)
 
 
 def compile_items(items: list[tuple[object, str | None]], window: int = WINDOW) -> tuple[list[Search], list[str]]:
     """Search tables, one per pattern length, and the item ids as sorted distinct strings.
 
     Rows of one id are one item; a null id is the empty string.  An item of fewer words than the window is
-    one pattern, one without words none.
+    one pattern, one without words none.  Tables take some fifteen times the bytes of the items at most.
     """
     ids = sorted({"" if i is None else str(i) for i, _ in items})
     number = {s: k for k, s in enumerate(ids)}
-    by_length: dict[int, dict[bytes, tuple[np.ndarray, list[int]]]] = {}
-    for item, text in items:
-        data = np.frombuffer((text or "").encode(), dtype=np.uint8)
-        block = Block(data, np.array([0, len(data)]), LOWER)
-        starts, ends, _, hashes = _words(block)
-        spelled = [block.data[a:b].tobytes() for a, b in zip(starts, ends)]
-        m = min(window, len(spelled))
-        for j in range(len(spelled) - m + 1 if m else 0):
-            key = b" ".join(spelled[j:j + m])
-            have = by_length.setdefault(m, {}).setdefault(key, (hashes[j:j + m].copy(), []))[1]
-            if number["" if item is None else str(item)] not in have:
-                have.append(number["" if item is None else str(item)])
-    return [_search(m, p) for m, p in sorted(by_length.items())], ids
+    texts = [(text or "").encode() for _, text in items]
+    block = Block(np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)]), LOWER)
+    starts, ends, bounds, hashes = _words(block)
+    library = Library(block.data, starts.astype(np.int32), ends.astype(np.int32), hashes)
+    owner = np.array([number["" if i is None else str(i)] for i, _ in items], dtype=np.int64)
+    n = np.diff(bounds)
+    length = np.minimum(n, window)
+    out = []
+    for m in np.unique(length[n > 0]):
+        mine = np.flatnonzero(length == m)
+        places = n[mine] - m + 1
+        at = np.arange(places.sum()) - np.repeat(np.cumsum(places) - places, places) + np.repeat(bounds[:-1][mine], places)
+        out.append(_search(int(m), library, at, np.repeat(owner[mine], places)))
+    return out, ids
 
 
 def _search_block(block: Block, searches: list[Search], ids: list[str]) -> dict[str, list]:
@@ -135,14 +168,13 @@ def _search_block(block: Block, searches: list[Search], ids: list[str]) -> dict[
         first, which = s.find(hashes, bounds)
         text = np.searchsorted(bounds, first, "right") - 1
         for p, w, t in zip(first.tolist(), which.tolist(), text.tolist()):
-            span = block.data[starts[p]:ends[p + s.length - 1]].tobytes()
-            if span != s.text[w]:  # other separators, or unequal words of equal hash
-                spelled = [block.data[a:b].tobytes() for a, b in zip(starts[p:p + s.length], ends[p:p + s.length])]
-                if b" ".join(spelled) != s.text[w]:
-                    continue
+            span, q = slice(p, p + s.length), int(s.at[w])
+            spelled = [block.data[a:b].tobytes() for a, b in zip(starts[span], ends[span])]
+            if spelled != s.library.spelled(q, s.length):  # unequal words of equal hash
+                continue
             cover[p] += 1
             cover[p + s.length] -= 1
-            found.setdefault(t, set()).update(s.items[w])
+            found.setdefault(t, set()).update(s.items[s.cut[w]:s.cut[w + 1]].tolist())
     hit = np.zeros(len(starts) + 1, dtype=np.int64)
     np.cumsum(np.cumsum(cover[:-1]) > 0, out=hit[1:])
     names = [sorted(found.get(t, ())) for t in range(block.n)]
@@ -221,7 +253,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
                                    T.StructField(carry[1], T.ArrayType(T.StringType()))])
 
     def searched(rows: DataFrame, items: list[tuple[object, str | None]], first: bool, last: bool) -> DataFrame:
-        tables = docs.sparkSession.sparkContext.broadcast(compile_items(items, window))  # bounded by ``most``
+        tables = docs.sparkSession.sparkContext.broadcast(compile_items(items, window))  # a bounded multiple of ``most``
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             searches, ids = tables.value
