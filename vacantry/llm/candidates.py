@@ -14,14 +14,14 @@ LOW_LISTS = 8  # smallest lists of a node that its entries carry
 
 
 def collapsed(index: DataFrame) -> DataFrame:
-    """The index without lists of one node and, of lists with the same nodes, with only the smallest.
+    """The index without lists of one node and, of lists with the same nodes, with only the smallest; ``rows`` is added.
 
-    Lists are compared by their length and a 128-bit sum of hashed nodes.
+    Lists are compared by their length and a 128-bit sum of hashed nodes.  ``rows`` is the length of the list.
     """
     lists = index.groupBy("sig").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("x"),
                                      F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    keep = lists.where("rows > 1").groupBy("rows", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
-    return index.join(keep, "sig", "left_semi")
+    keep = lists.where("rows > 1").groupBy("rows", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "rows")
+    return index.join(keep, "sig")
 
 
 def star_pairs(index: DataFrame, order: list[Column], near: str | None = None) -> DataFrame:
@@ -52,7 +52,7 @@ def cross_pairs(index: DataFrame, sketches: DataFrame, scratch: Scratch, near: s
     parts = index.groupBy("sig", "component").agg(F.count("*").alias("rows"))
     mixed = (parts.groupBy("sig").agg(F.count("*").alias("parts"), F.max(F.struct("rows", "component")).alias("top"))
              .where("parts > 1").select("sig", F.col("top.component").alias("major")))
-    left = collapsed(index.join(mixed, "sig"))
+    left = collapsed(index.drop("rows").join(mixed, "sig")).drop("rows")
     left = scratch.keep(left, "mixed")
     low = left.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, LOW_LISTS).alias("low"))
     keys = [c for c in sketches.columns if c in left.columns]

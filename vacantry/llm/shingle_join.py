@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantry.llm.blocks import LOWER, NOT_SPACE, Block, blocks, join_hashes, keyed, mix, windows
+from vacantry.llm.candidates import collapsed, cross_pairs, labelled, star_pairs
 from vacantry.llm.components import components
 from vacantry.llm.labelled import fresh, quoted
 from vacantry.llm.scratch import Scratch
@@ -349,6 +350,12 @@ def _parities(text: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.int64)
 
 
+def parity_condition() -> str:
+    """SQL: the parity bits of two sets do not rule out that they link."""
+    apart = " + ".join(f"bit_count({p} ^ {p}_b)" for p in PARITY)
+    return f"{NUMER + DENOM} * ({apart}) <= {DENOM - NUMER} * (n + n_b)"
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets reach the similarity."""
     out = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -359,53 +366,21 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 # Similar enough by size, and if both shared as many shingles as the one that shares fewer has.
-_NEAR = f"""{NUMER} * greatest(n, m) <= {DENOM} * least(n, m)
-    AND {NUMER + DENOM} * least(shared, shared_b) >= {NUMER} * (n + m)"""
+_NEAR = f"""{NUMER} * greatest(n, n_b) <= {DENOM} * least(n, n_b)
+    AND {NUMER + DENOM} * least(shared, shared_b) >= {NUMER} * (n + n_b)"""
 
 
-def _star_pairs(index: DataFrame) -> DataFrame:
-    """At most one pair per node: with the chosen member it shares most index lists with, if in another component.
-
-    The member with the smallest share of shingles of its own is chosen, as it is nearest to the middle.
-    """
-    order = F.struct((1 - F.col("shared") / F.col("n")).alias("own"), F.xxhash64("node").alias("h"), F.col("node").alias("b"),
-                     F.col("n").alias("m"), F.col("shared").alias("shared_b"), F.col("component").alias("other"))
-    chosen = (index.groupBy("sig").agg(F.min(order).alias("p"), F.count("*").alias("rows"))
-              .where("rows > 1").select("sig", "p.b", "p.m", "p.shared_b", "p.other"))
-    pairs = (index.join(chosen, "sig").where("component <> other").where(_NEAR)
-             .groupBy("node", "b").agg(F.count("*").alias("lists")))
-    return (pairs.groupBy("node").agg(F.max(F.struct("lists", "b")).alias("best"))
-            .select(F.col("node").alias("a"), F.col("best.b").alias("b")))
-
-
-def _cross_pairs(index: DataFrame, sets: DataFrame) -> DataFrame:
-    """All pairs of one index list whose components differ, at least one of them outside the list's largest.
+def _cross_pairs(index: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of one list in different components, each once.
 
     Entries that no size in their list could reach leave first, and pairs whose parity bits differ more than
     their sets may.
     """
-    least = index.groupBy("sig").agg(F.min("n").alias("least"), F.max("shared").alias("most"), F.count("*").alias("rows"))
-    reach = (index.join(least.where("rows > 1"), "sig")
-             .where(f"{NUMER + DENOM} * least(shared, most) >= {NUMER} * (n + least)").drop("least", "most", "rows"))
-    parts = reach.groupBy("sig", "component").agg(F.count("*").alias("rows"))
-    mixed = (parts.groupBy("sig").agg(F.count("*").alias("parts"), F.max(F.struct("rows", "component")).alias("top"))
-             .where("parts > 1").select("sig", F.col("top.component").alias("major")))
+    least = index.groupBy("sig").agg(F.min("n").alias("least"), F.max("shared").alias("most"))
+    reach = (index.join(least, "sig")
+             .where(f"{NUMER + DENOM} * least(shared, most) >= {NUMER} * (n + least)").drop("least", "most"))
     bits = sets.select("node", *PARITY).dropDuplicates(["node"])
-    left = reach.join(mixed, "sig").join(bits, "node")
-    minor = left.where("component <> major").select("sig", F.col("node").alias("a"), "n", "shared",
-                                                    F.col("component").alias("of_a"), *PARITY)
-    every = left.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("shared").alias("shared_b"),
-                        F.col("component").alias("of_b"), "major", *[F.col(p).alias(f"{p}_b") for p in PARITY])
-    apart = " + ".join(f"bit_count({p} ^ {p}_b)" for p in PARITY)
-    out = minor.join(every, "sig").where("of_a <> of_b").where(_NEAR).where("of_b = major or a < b")
-    out = out.where(f"{NUMER + DENOM} * ({apart}) <= {DENOM - NUMER} * (n + m)")
-    return out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def _labelled(index: DataFrame, member: DataFrame | None) -> DataFrame:
-    if member is None:
-        return index.withColumn("component", F.col("node"))
-    return index.join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return cross_pairs(reach, bits, scratch, f"{_NEAR} AND {parity_condition()}")
 
 
 def _grouped(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
@@ -422,13 +397,15 @@ def _grouped(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     sets = scratch.keep(whole_sets(with_key, size), "sets")
 
     tokens = _dealt_sets(sets, parts).mapInArrow(_shared_tokens(parts), _BACK).repartitionById(parts, back)
-    index = scratch.keep(tokens.mapInArrow(_index, "sig long, node long, n long, shared long"), "index")
-
-    links, member = None, None
-    for found in (_star_pairs, lambda i: _cross_pairs(i, sets)):
-        new = scratch.keep(verify(found(_labelled(index, member)), sets), "links")
-        links = new if links is None else links.union(new)
-        member = scratch.keep(components(links, scratch), "member")
+    entries = scratch.keep(tokens.mapInArrow(_index, "sig long, node long, n long, shared long"), "entries")
+    index = scratch.keep(collapsed(entries).drop("rows"), "index")
+
+    # first each node with the member of its lists that has the smallest share of shingles of its own, nearest to the middle
+    order = [1 - F.col("shared") / F.col("n"), F.xxhash64("node")]
+    links = scratch.keep(verify(star_pairs(labelled(index, None), order, _NEAR), sets), "links")
+    member = scratch.keep(components(links, scratch), "member")
+    links = links.union(scratch.keep(verify(_cross_pairs(labelled(index, member), sets, scratch), sets), "links"))
+    member = scratch.keep(components(links, scratch), "member")
 
     group = F.when(F.col("n") > 0, F.coalesce("component", "node"))
     return rows.join(member, "node", "left").select("doc_id", "hash", "n", group.alias("component"))
