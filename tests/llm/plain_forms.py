@@ -196,3 +196,69 @@ def collocations(rows, least=10, top=2000, share=50):
         for rank, (score, a, phrase, left, right) in enumerate(sorted(scored)[:top], 1):
             out.append((lang, rank, phrase.decode(), -a, left, right, n, -score))
     return out
+
+
+def text_counts(text):
+    """All counts that the quality operators use, character by character."""
+    text = text or ""
+    n_words, word_chars, n_symbols, n_dup, n_repeat = stats(text)
+    lines = [x for x in text.split("\n") if words(x)]
+    ascii_upper = sum("A" <= c <= "Z" for c in text)
+    return {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup, "n_repeat_words": n_repeat,
+            "n_upper": ascii_upper, "n_letters": sum("A" <= c <= "Z" or "a" <= c <= "z" or ord(c) > 127 for c in text),
+            "n_digits": sum("0" <= c <= "9" for c in text), "n_marks": sum(c in "!?.,;:" for c in text),
+            "n_shouts": sum(c in "!?" for c in text), "n_lines": len(lines), "n_distinct": len(set(words(text)))}
+
+
+def gam_score(model, ratios, text):
+    """Score of one text by walking the bins of every table."""
+    c = text_counts(text)
+    x = [c[a] / c[b] if c[b] else 0.0 for a, b in ratios] + [float(np.log1p(c["n_words"]))]
+    bins = []
+    for value, cuts in zip(x, model.cuts):
+        k = 0
+        while k < len(cuts) and value > cuts[k]:
+            k += 1
+        bins.append(k)
+    total = model.bias + sum(t[b] for t, b in zip(model.tables, bins)) + sum(t[bins[f], bins[g]] for f, g, t in model.pairs)
+    return 1 / (1 + np.exp(-min(max(total, -40), 40)))
+
+
+def rule_of(rules, ratios, text):
+    """Number of the first learned rule that covers a text, else None."""
+    c = text_counts(text)
+    x = {k: c[a] / c[b] if c[b] else 0.0 for k, (a, b) in ratios.items()} | {"words": float(c["n_words"])}
+    for i, rule in enumerate(rules):
+        if all((x[t.feature] > t.threshold) == t.above for t in rule):
+            return i
+    return None
+
+
+def byte_grams(text):
+    """4-byte strings of a text, letters in lower case and other ASCII as one gap, which may only be first or last."""
+    data = bytes(b if 97 <= b <= 122 or b > 127 else b + 32 if 65 <= b <= 90 else 32 for b in (text or "").encode())
+    return [data[i:i + 4] for i in range(len(data) - 3) if 32 not in data[i + 1:i + 3]]
+
+
+def language(filters, text):
+    """(language, score) by counting a text's grams in Python, through the same filter rows."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    hits, total = collections.Counter(), 0
+    rows = len(filters.table) - 1
+    for gram in byte_grams(text):
+        total += 1
+        h = int.from_bytes(gram, "big")
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> shift)) * factor % (1 << 64)
+        h ^= h >> 31
+        mask = -1
+        for i in range(3):
+            mask &= sum(int(w) << (64 * k) for k, w in enumerate(filters.table[(h >> (20 * i)) & rows]))
+        for k in range(len(filters.languages)):
+            hits[k] += mask >> k & 1
+    votes = [max(hits[k] - total * f, 0) / (1 - f) for k, f in enumerate(map(float, filters.false))]
+    if not sum(votes):
+        return filters.languages[int(filters.share.argmax())], 0.0
+    best = max(range(len(votes)), key=lambda k: (votes[k], -k))
+    return filters.languages[best], votes[best] / sum(votes)
