@@ -269,7 +269,9 @@ def exact_median(df: DataFrame, keys: list[str], value: str, width: float) -> Da
 
 
 def _counted_median(counted: DataFrame, keys: list[str], value: str, width: float) -> DataFrame:
-    values = counted.withColumn("_band", F.floor(F.col(value) / width))
+    """Samples and median from counted values; a group without any value has 0 samples and no median."""
+    values = counted.withColumn("_band", F.floor(F.col(value) / width)).withColumn(
+        "_n", F.when(F.col(value).isNotNull(), F.col("_n")).otherwise(0))
     bands = values.groupBy(*keys, "_band").agg(F.sum("_n").alias("_n"))
     over = W.partitionBy(*keys)
     ranked = (
@@ -278,11 +280,12 @@ def _counted_median(counted: DataFrame, keys: list[str], value: str, width: floa
         .withColumn("_r1", F.floor((F.col("_total") + 1) / 2))
         .withColumn("_r2", F.ceil((F.col("_total") + 1) / 2))
         .withColumn("_before", F.col("_upto") - F.col("_n"))
-        .filter((F.col("_before") < F.col("_r2")) & (F.col("_upto") >= F.col("_r1")))
+        .filter((F.col("_before") < F.col("_r2")) & (F.col("_upto") >= F.col("_r1")) & F.col("_band").isNotNull()
+                | (F.col("_total") == 0))
     )
-    mid = ranked.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_band").alias("_mid_band"),
+    mid = ranked.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_band").alias("_k__band"),
                         "_before", "_total", "_r1", "_r2")
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_band") == F.col("_mid_band")]
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, "_band"]]
     inside = values.join(mid, same)
     upto = F.sum("_n").over(W.partitionBy(*keys, "_band").orderBy(value)) + F.col("_before")
     placed = inside.withColumn("_upto", upto)
@@ -300,20 +303,16 @@ def posted_pay_summary(obs: DataFrame, postings: DataFrame, by: str = "company")
     """Median of posted-range midpoints of comparable pay, with the sample size.
 
     Comparable means same currency, period, compensation type and country; groups
-    without posted pay stay, and sort last.
+    without posted pay stay, with no samples.  Rows come in no order; ``ranks.with_position``
+    gives one.
     """
     posted = obs.filter(F.col("is_posted")).select(
         F.col("job_source").alias("source"), "job_id", "currency", "period", "compensation_type",
         ((F.col("amount_min") + F.col("amount_max")) / 2).alias("mid"))
     keys = [by, "country_code", "currency", "period", "compensation_type"]
     joined = postings.select(*JOB, by, "country_code").join(posted, JOB, "left")
-    # everything below reads these counts, whose exchange Spark plans once and reuses
     counted = joined.groupBy(*keys, "mid").agg(n_rows().alias("_n"))
-    unpaid = counted.groupBy(*keys).agg(F.count("mid").alias("samples")).filter(
-        F.col("samples") == 0).withColumn("median", F.lit(None).cast("double"))
-    paid = _counted_median(counted.filter(F.col("mid").isNotNull()), keys, "mid", 1000.0)
-    return paid.unionByName(unpaid).withColumnRenamed(
-        "median", "median_mid").orderBy(F.col("samples") == 0, F.desc("median_mid"), *keys)
+    return _counted_median(counted, keys, "mid", 1000.0).withColumnRenamed("median", "median_mid")
 
 
 def sponsor_status(employers: DataFrame, register: DataFrame, route: str = "Skilled Worker") -> DataFrame:

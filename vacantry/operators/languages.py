@@ -55,15 +55,13 @@ def sentence_requirements(df: DataFrame, text: str) -> DataFrame:
     A sentence with nice-to-have wording never makes a language required; a language
     required anywhere is not also listed as nice.
     """
-    named = F.filter(
-        F.transform(clauses(F.col(text)), lambda s: F.struct(
-            s.alias("s"), languages_in(s).alias("langs"))),
-        lambda x: F.size(x["langs"]) > 0)
-    graded = F.transform(named, lambda x: F.struct(
-        x["langs"].alias("langs"),
-        F.when(x["s"].rlike(lx.LANGUAGE_NICE_CONTEXT), F.lit("nice"))
-        .when(x["s"].rlike(lx.LANGUAGE_REQUIRED_CONTEXT)
-              | x["s"].rlike(lx.LANGUAGE_GENERAL_CONTEXT), F.lit("required")).alias("grade")))
+    # a clause without any wording grades nothing, so its words are not looked up; nor is a text without any split
+    wording = "|".join(f"(?:{p})" for p in (
+        lx.LANGUAGE_NICE_CONTEXT, lx.LANGUAGE_REQUIRED_CONTEXT, lx.LANGUAGE_GENERAL_CONTEXT))
+    listed = F.when(F.col(text).rlike(wording), clauses(F.col(text))).otherwise(F.array().cast("array<string>"))
+    graded = F.transform(F.filter(listed, lambda s: s.rlike(wording)), lambda s: F.struct(
+        languages_in(s).alias("langs"),
+        F.when(s.rlike(lx.LANGUAGE_NICE_CONTEXT), F.lit("nice")).otherwise(F.lit("required")).alias("grade")))
 
     def of(grade):
         return F.array_distinct(F.flatten(F.transform(

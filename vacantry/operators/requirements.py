@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantry import lexicon as lx
+from vacantry.functions.fields import country_code
 from vacantry.functions.keys import multiset_digest
 from vacantry.functions.staging import computed_once
 from vacantry.functions.text import (TERM_EDGE_AFTER, TERM_EDGE_BEFORE, any_phrase, cut, first_items,
@@ -365,7 +366,7 @@ def search_id(jobs: DataFrame, target_role: str, profile_hash: str) -> DataFrame
     row = F.sha2(F.to_json(F.struct("source", "job_id", "title", "company", "country_code",
                                     "description_text")), 256)
     countries = F.lower(F.array_join(F.array_sort(F.collect_set(
-        F.when(~is_blank(F.col("country_code")), F.upper("country_code")))), "-"))
+        country_code(F.col("country_code")))), "-"))  # two letters each, so at most a few hundred
     digest = F.sha2(F.concat_ws("|", F.col("digest"), F.lit(target_role), F.lit(profile_hash)), 256)
     return jobs.agg(multiset_digest(row).alias("digest"), countries.alias("countries")).select(
         F.concat_ws("-", F.lit("score"),
