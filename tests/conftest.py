@@ -10,9 +10,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 @pytest.fixture(scope="session")
 def spark():
-    from vacantry.session import local_session
+    from vacantry.session import clean_work, local_session
 
     session = local_session("4", memory="4g", partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clean_work(session)
     session.stop()

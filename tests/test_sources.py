@@ -75,3 +75,16 @@ def test_sqlite_ranges_and_filters(spark, tmp_path):
     with pytest.raises(ValueError):
         sqlite.local_path("hdfs://x/y")
     assert sqlite.read_sqlite(spark, path, "a table", "id bigint").filter("id < 0").count() == 0
+
+
+def test_working_folders_are_cleaned(spark, monkeypatch):
+    import os
+
+    from vacantry import session
+
+    monkeypatch.setattr(session, "MADE", [])
+    path = session.work_dir(spark, "some")
+    spark.range(3).write.parquet(path)
+    session.work_dir(spark, "never written")
+    local = path.removeprefix("file:")
+    assert os.path.isdir(local) and session.clean_work(spark) == 1 and not os.path.exists(local) and session.MADE == []

@@ -23,6 +23,22 @@ def local_session(cores: str = "*", memory: str = "8g", partitions: int = 8) ->
     )
 
 
+MADE: list[str] = []  # working folders of this process
+
+
+def clean_work(spark: SparkSession) -> int:
+    """Deletes the working folders this process has made and returns their number.
+
+    For the end of a run, when no result that reads them is needed any more.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    gone = 0
+    while MADE:
+        path = hadoop.Path(MADE.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """New folder for one run under the cluster's shared checkpoint folder.
 
@@ -36,4 +52,5 @@ def work_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir")
-    return os.path.join(root, f"vacantry-{name}-{uuid.uuid4().hex}")
+    MADE.append(os.path.join(root, f"vacantry-{name}-{uuid.uuid4().hex}"))
+    return MADE[-1]
