@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vacantry.session import MADE
+
 
 class Scratch:
     """Tables written once and read again: cuts lineage, and a lost executor costs only its tasks.
@@ -24,6 +26,7 @@ class Scratch:
             root = spark.conf.get("spark.sql.warehouse.dir")
         self.spark = spark
         self.root = f"{root.rstrip('/')}/text-{name}-{uuid.uuid4().hex}"
+        MADE.append(self.root)  # so that clean_work() finds it
         self._n = 0
 
     def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
