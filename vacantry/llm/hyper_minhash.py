@@ -5,7 +5,8 @@ number, the count of leading zeros and MANTISSA bits after the first one: 16 bit
 size.  Small sets would leave buckets empty, so they use fewer buckets and more hash functions, REGISTERS in all;
 linked sets differ in size by a quarter at most, so a set near the next size class is entered in both.  Every BAND
 registers make a band, nodes with an equal band meet, and pairs whose Jaccard estimate, corrected for registers that
-agree by chance, is far below the bound drop out.  Whole sets decide.
+agree by chance, is far below the bound drop out, as do pairs that the parity bits of their sets keep apart.  Whole
+sets decide.
 
 A pair at similarity 0.8 shares none of the 40 bands with probability (1 - 0.8**4)**40 < 1e-9, and fails the
 estimate (81 registers, bound 0.42) with probability below 1e-10; more similar pairs do so still less.  Equal sets are
@@ -24,7 +25,8 @@ from vacantry.llm.blocks import LOWER, blocks, mix
 from vacantry.llm.candidates import collapsed, cross_pairs, labelled, star_pairs
 from vacantry.llm.components import components
 from vacantry.llm.scratch import Scratch
-from vacantry.llm.shingle_join import DENOM, NUMER, nodes_of, shingle_sets, text_key, verify, whole_sets
+from vacantry.llm.shingle_join import (DENOM, NUMER, PARITY, nodes_of, parity_condition, shingle_sets, text_key, verify,
+                                        whole_sets)
 
 SHINGLE = 4
 REGISTERS, BAND = 160, 4
@@ -142,12 +144,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, size: int = SHINGLE) -> D
     wanted = index.select("node").distinct()
     keys = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key").distinct()
     texts = docs.select("text", text_key().alias("key")).join(keys, "key", "left_semi")
-    sets = scratch.keep(whole_sets(texts, size).select("node", "shingles"), "sets")
-    links = scratch.keep(verify(star_pairs(labelled(index, None), [F.xxhash64("node")], near), sets), "links")
+    sets = scratch.keep(whole_sets(texts, size), "sets")
+    # the member that meets most others, as the original of many copies does, is compared first
+    central = index.groupBy("node").agg(F.sum("rows").alias("met"))
+    order = [-F.col("met"), F.xxhash64("node")]
+    links = scratch.keep(verify(star_pairs(labelled(index, None).join(central, "node"), order, near), sets), "links")
     member = scratch.keep(components(links, scratch), "member")
 
-    pairs = cross_pairs(labelled(index, member), sketched.drop("n", "bands"), scratch,
-                        f"{near} AND {estimate_condition()}")
+    parity = sets.select("node", *PARITY).dropDuplicates(["node"])
+    pairs = cross_pairs(labelled(index, member), sketched.drop("n", "bands").join(parity, "node"), scratch,
+                        f"{near} AND {parity_condition()} AND {estimate_condition()}")
     links = links.union(scratch.keep(verify(pairs, sets), "links"))
     member = scratch.keep(components(links, scratch), "member")
 
