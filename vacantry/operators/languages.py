@@ -18,6 +18,12 @@ def _alias_index(with_names: bool) -> dict[str, int]:
     return out
 
 
+def names_in(text: Column) -> Column:
+    """Words of a text, in lower case, that name a language; each once."""
+    aliases = F.array(*[F.lit(a) for a in _alias_index(with_names=True)])
+    return F.array_intersect(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), aliases)
+
+
 def languages_in(text: Column) -> Column:
     """Languages named in a text, in dictionary order.
 
@@ -25,10 +31,7 @@ def languages_in(text: Column) -> Column:
     with an alternative per alias runs over the text.
     """
     index = _alias_index(with_names=True)
-    aliases = F.array(*[F.lit(a) for a in index])
-    tokens = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    hits = F.array_intersect(tokens, aliases)
-    places = F.array_sort(F.array_distinct(F.transform(hits, lambda h: literal_map(index)[h])))
+    places = F.array_sort(F.array_distinct(F.transform(names_in(text), lambda h: literal_map(index)[h])))
     names = F.array(*[F.lit(n) for n in lx.LANGUAGES])
     return F.transform(places, lambda p: F.get(names, p))
 
@@ -55,13 +58,19 @@ def sentence_requirements(df: DataFrame, text: str) -> DataFrame:
     A sentence with nice-to-have wording never makes a language required; a language
     required anywhere is not also listed as nice.
     """
-    # a clause without any wording grades nothing, so its words are not looked up; nor is a text without any split
-    wording = "|".join(f"(?:{p})" for p in (
-        lx.LANGUAGE_NICE_CONTEXT, lx.LANGUAGE_REQUIRED_CONTEXT, lx.LANGUAGE_GENERAL_CONTEXT))
-    listed = F.when(F.col(text).rlike(wording), clauses(F.col(text))).otherwise(F.array().cast("array<string>"))
-    graded = F.transform(F.filter(listed, lambda s: s.rlike(wording)), lambda s: F.struct(
-        languages_in(s).alias("langs"),
-        F.when(s.rlike(lx.LANGUAGE_NICE_CONTEXT), F.lit("nice")).otherwise(F.lit("required")).alias("grade")))
+    # the whole text's words are looked up once; then only clauses that hold one of the names found are read
+    given = _given(df)
+    df = computed_once(df.withColumn("_names", names_in(F.col(text))), given)
+    listed = F.when(F.size("_names") > 0, clauses(F.col(text))).otherwise(F.array().cast("array<string>"))
+    naming = F.filter(listed, lambda s: F.exists("_names", lambda a: F.contains(F.lower(s), a)))
+    named = F.filter(
+        F.transform(naming, lambda s: F.struct(s.alias("s"), languages_in(s).alias("langs"))),
+        lambda x: F.size(x["langs"]) > 0)
+    graded = F.transform(named, lambda x: F.struct(
+        x["langs"].alias("langs"),
+        F.when(x["s"].rlike(lx.LANGUAGE_NICE_CONTEXT), F.lit("nice"))
+        .when(x["s"].rlike(lx.LANGUAGE_REQUIRED_CONTEXT)
+              | x["s"].rlike(lx.LANGUAGE_GENERAL_CONTEXT), F.lit("required")).alias("grade")))
 
     def of(grade):
         return F.array_distinct(F.flatten(F.transform(
@@ -69,7 +78,7 @@ def sentence_requirements(df: DataFrame, text: str) -> DataFrame:
 
     return computed_once(
         df.withColumn("_graded", graded).withColumn("required", of("required"))
-        .withColumn("nice", F.array_except(of("nice"), "required")).drop("_graded"), _given(df))
+        .withColumn("nice", F.array_except(of("nice"), "required")).drop("_graded", "_names"), given)
 
 
 def proximity_requirements(df: DataFrame, text: str) -> DataFrame:
