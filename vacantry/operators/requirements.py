@@ -275,6 +275,7 @@ def criterion_blockers(evaluated: Column, country: Column, candidate: Candidate,
 
 def role_blockers(title: Column, role_label: Column, reason: Column, candidate: Candidate) -> Column:
     hit = title_excluded(title, candidate.families, candidate.excluded_titles)
+    # fixed values: the wording of the blockers below
     exclusion = F.when(hit["family"] == "literal", F.concat(
         F.lit("Role mismatch ("), F.regexp_replace(hit["reason"], "^title matches ", ""), F.lit(")"))
     ).when(hit.isNotNull(), F.concat(

@@ -185,6 +185,7 @@ def salary_line(source: Column, job_id: Column, best: Column, exact_status: Colu
     benchmark_id; NULL when nothing was selected.
     """
     where = F.concat(source, F.lit(" "), job_id)
+    # fixed values: the wording of the line, which readers of reports compare as text
     retry = F.coalesce(F.concat(F.lit("next retry "), F.date_format(next_retry, "yyyy-MM-dd")),
                        F.lit("no further retries (manual)"))
     cur = F.coalesce(best["currency"], F.lit(""))
