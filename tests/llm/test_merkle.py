@@ -75,3 +75,15 @@ def test_sweeps_take_few_messages():
             for left, right in back[i]:
                 at = merkle._hash([left, at, right])
             assert at == nodes[height, 0]
+
+
+def test_sql_equals_plain_form():
+    import duckdb
+
+    con = duckdb.connect()
+    for sf in ("sf0.001", "sf0.01"):
+        con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '/root/testdata/{sf}/documents.parquet'")
+        table = con.execute("SELECT doc_id, source, lang, n_chars, text FROM documents").fetchall()
+        got = con.execute(queries.ORACLES["op12_merkle"])
+        names = [c[0] for c in got.description]
+        assert collections.Counter(tuple(r[names.index(c)] for c in COLUMNS) for r in got.fetchall()) == collections.Counter(plain.merkle(table))

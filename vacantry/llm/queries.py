@@ -171,3 +171,45 @@ ORACLES["op11_collocations"] = r"""
 def op13_hyper_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's shingle set, the smallest id it is linked with, and whether it is the one kept."""
     return hyper_minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
+def _merkle_sql(levels: int = 6, upper: int = 4) -> str:
+    """The manifest with its levels written out: up to 16**levels documents a source and 16**upper sources."""
+    def text(name):
+        return f"coalesce(octet_length(encode({name}::VARCHAR))::VARCHAR || ':' || {name}::VARCHAR, '-')"
+
+    folded = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    head = " || ".join(text(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    bits = "list_transform(range(0, 8 * length(s)), lambda j: ((ascii(s[j // 8 + 1]) >> (j % 8)) & 1)::BIGINT)"
+    crc = (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), "
+           "lambda c, b: xor(c >> 1, CASE WHEN (c & 1) <> b THEN 3988292384::BIGINT ELSE 0::BIGINT END)), 4294967295::BIGINT)")
+
+    def tree(name, tables, group):
+        key = "source, " if group else ""
+        part = f"PARTITION BY {key}i // 16 ORDER BY i ROWS BETWEEN"
+        for k in range(tables):
+            yield (f"{name}{k + 1} AS (SELECT {key}i // 16 AS i, (any_value(m) + 15) // 16 AS m, CASE WHEN any_value(m) > 1 THEN "
+                   f"sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {name}{k} GROUP BY {key}i // 16)")
+            yield (f"{name}p{k} AS (SELECT {key}i, m, coalesce(string_agg(h, '') OVER ({part} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, "
+                   f"coalesce(string_agg(h, '') OVER ({part} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k})")
+
+    steps = [(f"np{k}", f"np{k}.source IS NOT DISTINCT FROM d.source AND np{k}.i = d.i // {16 ** k}") for k in range(levels)]
+    steps += [(f"sp{k}", f"sp{k}.i = s0.i // {16 ** k}") for k in range(upper)]
+    folds, proof = ["coalesce(other, leaf) AS f0"], []
+    for k, (p, _) in enumerate(steps):
+        folds.append(f"CASE WHEN {p}.m > 1 THEN sha256({p}.l || f{k} || {p}.r) ELSE f{k} END AS f{k + 1}")
+        proof.append(f"CASE WHEN {p}.m > 1 THEN {p}.l || {p}.r ELSE '' END")
+    joins = "JOIN s0 ON s0.source IS NOT DISTINCT FROM d.source " + " ".join(f"JOIN {p} ON {on}" for p, on in steps)
+    return f"""
+    WITH e AS (SELECT doc_id, source, sha256({head} || {text('text')}) AS leaf, doc_id::VARCHAR AS s,
+                      sha256({head} || {text(folded)}) AS altered FROM documents),
+    d AS (SELECT doc_id, source, leaf, CASE WHEN {crc} % 5 = 0 THEN altered END AS other,
+                 row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS m FROM e),
+    n0 AS (SELECT source, i, m, leaf AS h FROM d), {', '.join(tree('n', levels, True))},
+    s0 AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS m, h FROM n{levels}),
+    {', '.join(tree('s', upper, False))},
+    f AS (SELECT doc_id, leaf, s0.h AS subroot, (SELECT h FROM s{upper}) AS root, {' || '.join(proof)} AS proof, {', '.join(folds)} FROM d {joins})
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f{len(steps)} AS folded_root, f{len(steps)} = root AS verified FROM f"""
+
+
+ORACLES["op12_merkle"] = _merkle_sql()
