@@ -273,7 +273,7 @@ def _finished(length: int):
         for batch in batches:
             texts = text_array(batch, "text")
             found = batch.column(batch.schema.get_field_index("found")).to_pylist()
-            out = ([], [], [], [])
+            out = ([], [], [], [], [])
             for i, spans in enumerate(found):
                 data = np.frombuffer(texts[i].as_py().encode(), dtype=np.uint8)
                 cover = np.zeros(len(data) + 1, dtype=np.int32)
@@ -282,20 +282,23 @@ def _finished(length: int):
                     np.add.at(cover, s["start"] + runs[:, 0], 1)
                     np.add.at(cover, s["start"] + runs[:, 1] + length - 1, -1)
                 gone = np.cumsum(cover[:-1], out=cover[:-1]) > 0
-                for column, value in zip(out, (len(data), int(gone.sum()), len(_runs(gone)),
-                                               hashlib.sha256(data[~gone].tobytes()).hexdigest())):
+                kept = data[~gone].tobytes()
+                for column, value in zip(out, (len(data), int(gone.sum()), len(_runs(gone)), hashlib.sha256(kept).hexdigest(),
+                                               kept.decode(errors="replace"))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.string()) for c in out[3:])],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     return run
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, grain: int = GRAIN,
                     most: int = STRETCHES_PER_TASK) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of (doc_id, text).
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) for every row of (doc_id, text).
 
+    ``text`` is what stays of the text; a character that a removed run cuts apart becomes U+FFFD there, while
+    ``kept_sha256`` is of the exact bytes.
     A byte is removed if some string of ``length`` bytes over it starts anywhere else too, in this or another
     row; a repeated row is another row.  A null text is empty.  Other columns are ignored.  Texts, n-grams and
     windows are told apart by 64-bit hashes.
@@ -331,4 +334,4 @@ def without_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
     found = (shared.select("ref", "start", "content").join(runs, "content")
              .groupBy("ref").agg(F.collect_list(F.struct("start", "runs")).alias("found")))
     rows = docs.select("doc_id", ref.alias("ref"), "text").join(found, "ref", "left").select("doc_id", "text", "found")
-    return rows.mapInArrow(_finished(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(_finished(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
