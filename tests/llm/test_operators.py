@@ -103,6 +103,19 @@ def test_shingle_join_in_a_large_group(spark):
     assert bag(got) == collections.Counter(plain.components(rows))
 
 
+def test_shingle_join_with_hot_shingles(spark, docs, rows, monkeypatch):
+    """A passage in half of all texts: its shingles are dealt by node, and no part gathers it."""
+    monkeypatch.setattr(shingle_join, "HOT_NODES", 20)
+    monkeypatch.setattr(shingle_join, "HOT_SAMPLE", 60)
+    monkeypatch.setattr(shingle_join, "PART_SHINGLES", 1 << 10)
+    passage = "every page of this site starts with the same long notice about its use and then goes on "
+    more = rows + [(2000 + i, passage + (t or "")) for i, (_, t) in enumerate(rows[:70])]
+    hot = shingle_join.hot_shingles(frame(spark, more), len(more), 5)
+    assert len(hot) >= 10 and (np.diff(hot.astype(np.float64)) >= 0).all()
+    got = shingle_join.near_duplicates(frame(spark, more), Scratch(spark, "test"))
+    assert bag(got) == collections.Counter(plain.components(more))
+
+
 def test_signatures_of_frequent_shingles_meet():
     r = np.random.default_rng(3)
     for _ in range(60):

@@ -2,7 +2,8 @@
 
 1. Every text becomes the set of its distinct shingles (64-bit hashes).  Equal sets are one node.
 2. Two sets that link share many of their smallest shingles by hash.  Only that part of each set is dealt
-   out by shingle, and a node that shares too few of them with other nodes has no partner.
+   out by shingle, and a node that shares too few of them with other nodes has no partner.  Shingles that very
+   many texts hold, found in a bounded sample, are dealt out by node instead.
 3. The whole sets of the nodes left are dealt out to count in how many nodes each shingle occurs.  Shared
    shingles are ordered from rare to frequent.  Rare ones are indexed singly, frequent ones in pairs or
    triples taken within small groups; the prefix is extended until a partner must share at least one index
@@ -33,6 +34,11 @@ EXTRA_PERCENT = 15  # shared shingles asked for in the hash-ordered part, as a s
 BLOCK_SHINGLES = 1 << 18
 CLASS_LIMITS = (64, 4096)  # node counts up to which a shingle is indexed singly, in pairs; triples above
 _LOW56 = np.uint64((1 << 56) - 1)
+PART_SHINGLES = 4 << 20  # shingles of all sets per part that they are dealt to
+HOT_NODES = 16_384  # nodes with a shingle from which on it is not gathered; above the last class limit
+HOT_SHARE = 500  # ... and at least every so many-th
+HOT_SAMPLE = 10_000  # texts that the hot shingles are looked for in
+_VERY_MANY = 1 << 40
 
 
 def shingle_sets(block: Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -114,9 +120,42 @@ def text_key():
 _DEALT = "bucket int, nodes binary, sizes binary, owners binary, tokens binary"
 
 
-def _packed(text: np.ndarray, token: np.ndarray, node: np.ndarray, n: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Shingles (56 bits) by bucket, one row each: nodes and sizes, the owner of each shingle, shingles."""
-    bucket = (mix(token) % np.uint64(parts)).astype(np.int32)
+def hot_shingles(docs: DataFrame, n_rows: int, size: int) -> np.ndarray:
+    """Shingles (56 bits, ascending) that very many texts hold, by a sample of about HOT_SAMPLE texts.
+
+    Missing one, or taking one for hot that is not, changes no result.  At most HOT_SHARE times the mean size of a
+    set are hot, whatever the number of texts.
+    """
+    if n_rows < HOT_NODES:
+        return np.zeros(0, dtype=np.uint64)
+    step = max(1, n_rows // HOT_SAMPLE)
+
+    def run(batches):
+        for batch in batches:
+            for _, block in blocks(batch, "text", LOWER):
+                _, shingle, _, _ = shingle_sets(block, size)
+                token, n = np.unique(shingle >> np.uint64(8), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0).select("text")
+    least = max(HOT_NODES, n_rows // HOT_SHARE) / step
+    found = some.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r["token"] for r in found.select("token").collect()], dtype=np.int64).view(np.uint64))
+
+
+def _is_hot(token: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(token), dtype=bool)
+    return hot[np.minimum(np.searchsorted(hot, token), len(hot) - 1)] == token
+
+
+def _packed(text: np.ndarray, token: np.ndarray, node: np.ndarray, n: np.ndarray, parts: int, hot: np.ndarray) -> pa.RecordBatch:
+    """Shingles (56 bits) by bucket, one row each: nodes and sizes, the owner of each shingle, shingles.
+
+    A hot shingle is dealt by its node, so no bucket gets all nodes that have it.
+    """
+    dealt = np.where(_is_hot(token, hot), node.view(np.uint64)[text], token)
+    bucket = (mix(dealt) % np.uint64(parts)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
     out = ([], [], [], [], [])
@@ -132,7 +171,7 @@ def _packed(text: np.ndarray, token: np.ndarray, node: np.ndarray, n: np.ndarray
                                       names=["bucket", "nodes", "sizes", "owners", "tokens"])
 
 
-def _dealt_parts(docs: DataFrame, parts: int, size: int) -> DataFrame:
+def _dealt_parts(docs: DataFrame, parts: int, size: int, hot: np.ndarray) -> DataFrame:
     """Hash-ordered part of every set, dealt out; copies within a block count once."""
     def run(batches):
         for batch in batches:
@@ -142,12 +181,12 @@ def _dealt_parts(docs: DataFrame, parts: int, size: int) -> DataFrame:
                 fresh[np.unique(node, return_index=True)[1]] = True
                 length = np.minimum(n, n - least_common(n) + _extra(n))
                 take = (np.arange(len(text)) - (np.cumsum(n) - n)[text] < length[text]) & fresh[text]
-                yield _packed(text[take], shingle[take] >> np.uint64(8), node, n, parts)
+                yield _packed(text[take], shingle[take] >> np.uint64(8), node, n, parts, hot)
 
     return docs.select("text").mapInArrow(run, _DEALT).repartitionById(parts, F.col("bucket"))
 
 
-def _dealt_sets(sets: DataFrame, parts: int) -> DataFrame:
+def _dealt_sets(sets: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
     """Whole sets, dealt out."""
     def run(batches):
         for batch in batches:
@@ -158,17 +197,17 @@ def _dealt_sets(sets: DataFrame, parts: int) -> DataFrame:
                 end = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_SHINGLES, "right")) - 1)
                 n = np.diff(ends[at:end + 1])
                 yield _packed(np.repeat(np.arange(end - at), n), values[ends[at]:ends[end]] >> np.uint64(8),
-                              node[at:end], n, parts)
+                              node[at:end], n, parts, hot)
                 at = end
 
     return sets.select("node", "shingles").mapInArrow(run, _DEALT).repartitionById(parts, F.col("bucket"))
 
 
-def _gathered(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _gathered(batches, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of the buckets of one partition that occur in several nodes.
 
     Gives all nodes and their sizes, then for each shingle and node: the node's index, the shingle, and in how
-    many nodes it occurs.
+    many nodes it occurs, _VERY_MANY for a hot one.
     """
     node, size, owner, token = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     n_nodes = 0
@@ -194,7 +233,7 @@ def _gathered(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     owner, token = owner[new], token[new]
     first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, int)
     count = np.diff(np.append(first, len(token)))
-    count = np.repeat(count, count)
+    count = np.where(_is_hot(token, hot), _VERY_MANY, np.repeat(count, count))
     keep = count > 1
     return node, sizes, owner[keep], token[keep], count[keep]
 
@@ -221,10 +260,10 @@ def _sent_back(node: np.ndarray, size: np.ndarray, count: np.ndarray, token: np.
                                       names=["part", "nodes", "sizes", "counts", "tokens"])
 
 
-def _shared_counts(parts: int):
+def _shared_counts(parts: int, hot: np.ndarray):
     """How many of the shingles dealt to one partition each node shares with others."""
     def run(batches):
-        node, size, owner, _, _ = _gathered(batches)
+        node, size, owner, _, _ = _gathered(batches, hot)
         count = np.bincount(owner, minlength=len(node)).astype(np.int64)
         some = count > 0
         yield _sent_back(node[some], size[some], count[some], np.zeros(0, np.uint64), parts)
@@ -232,10 +271,10 @@ def _shared_counts(parts: int):
     return run
 
 
-def _shared_tokens(parts: int):
+def _shared_tokens(parts: int, hot: np.ndarray):
     """Shared shingles dealt to one partition by node, with their class in the top byte."""
     def run(batches):
-        node, size, owner, token, count = _gathered(batches)
+        node, size, owner, token, count = _gathered(batches, hot)
         packed = (np.searchsorted(CLASS_LIMITS, count).astype(np.uint64) << np.uint64(56)) | token
         packed = packed[np.argsort(owner, kind="stable")]
         n = np.bincount(owner, minlength=len(node)).astype(np.int64)
@@ -388,15 +427,17 @@ def _grouped(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     rows = scratch.keep(nodes_of(docs, size), "rows")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total["shingles"] // PART_SHINGLES))
+    hot = hot_shingles(docs, total["rows"], size)
     back = F.col("part")
-    counts = _dealt_parts(docs, parts, size).mapInArrow(_shared_counts(parts), _BACK).repartitionById(parts, back)
+    counts = _dealt_parts(docs, parts, size, hot).mapInArrow(_shared_counts(parts, hot), _BACK).repartitionById(parts, back)
     near = scratch.keep(counts.mapInArrow(_may_have_partner, "node long"), "near")
     keys = rows.groupBy("node").agg(F.min("key").alias("key")).join(near, "node", "left_semi").select("key").distinct()
     with_key = docs.select("text", text_key().alias("key")).join(keys, "key", "left_semi")
     sets = scratch.keep(whole_sets(with_key, size), "sets")
 
-    tokens = _dealt_sets(sets, parts).mapInArrow(_shared_tokens(parts), _BACK).repartitionById(parts, back)
+    tokens = _dealt_sets(sets, parts, hot).mapInArrow(_shared_tokens(parts, hot), _BACK).repartitionById(parts, back)
     entries = scratch.keep(tokens.mapInArrow(_index, "sig long, node long, n long, shared long"), "entries")
     index = scratch.keep(collapsed(entries).drop("rows"), "index")
 
