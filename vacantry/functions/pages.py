@@ -87,10 +87,14 @@ def find_job_posting(blocks: Column) -> Column:
     """
     written = F.filter(F.transform(blocks, lambda v: F.struct(v.alias("v"), F.to_json(v).alias("json"))),
                        lambda b: b["json"].rlike("(?i)JobPosting"))
-    depth = F.aggregate(written, F.lit(0), lambda most, b: F.greatest(
-        most, F.length(F.regexp_replace(b["json"], r"[^\[{]", ""))))
-    found = F.filter(_walk(F.transform(written, lambda b: b["v"]), depth), lambda v: type_text(v).rlike("(?i)JobPosting"))
-    return F.when(F.size(written) > 0, F.get(found, F.lit(0)))
+
+    def first(blocks: Column) -> Column:
+        depth = F.aggregate(blocks, F.lit(0), lambda most, b: F.greatest(
+            most, F.length(F.regexp_replace(b["json"], r"[^\[{]", ""))))
+        found = F.filter(_walk(F.transform(blocks, lambda b: b["v"]), depth), lambda v: type_text(v).rlike("(?i)JobPosting"))
+        return F.when(F.size(blocks) > 0, F.get(found, F.lit(0)))
+
+    return F.get(F.transform(F.array(written), first), F.lit(0))  # bound once, read three times
 
 
 def is_result_page(text: Column) -> Column:
