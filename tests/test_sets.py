@@ -298,3 +298,15 @@ def test_titles_are_folded(spark):
     got = {r.id: (r.normalized_title, r.seniority) for r in X.titled_rows(rows, "t").collect()}
     assert got[1] == ("senior field engineer", "senior") and got[2] == got[6] and got[3] == ("", "_any")
     assert got[4] == got[5] == ("senior ingenieur", "_any")
+
+
+def test_term_matches_shuffle_few_runs(spark, monkeypatch):
+    from vacantry.operators import joins
+
+    met, join = [], joins.spread_join
+    monkeypatch.setattr(joins, "spread_join", lambda rows, *rest: (met.append(rows.count()), join(rows, *rest))[1])
+    terms = spark.createDataFrame([(f"name{i} of term {i}",) for i in range(500)], "term string")
+    rows = spark.createDataFrame([(i, f"Some words before name{i} of term {i} and more words after it, name{i} of no term.") for i in range(500)], "id int, body string")
+    got = joins.term_matches(rows, ["id"], "body", terms).collect()
+    assert len(got) == 500 and all(r.n == 1 and r.term == f"name{r.id} of term {r.id}" for r in got)
+    assert 500 <= met[0] < 1000  # of some 70,000 runs

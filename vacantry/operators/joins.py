@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantry.functions.staging import computed_once
 from vacantry.functions.text import any_phrase
 from vacantry.operators.selection import JOB, latest_observation
+from vacantry.session import work_dir
 
 
 def scored_postings(matches: DataFrame, postings: DataFrame) -> DataFrame:
@@ -94,28 +96,76 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"(?U)({TOKEN})"), F.lit(1))
 
 
+HEAD_BITS, RUN_BITS = 23, 25  # sizes of the two bit tables: 1 MB and 4 MB
+
+
+def _places(hashed: Column, bits: int) -> list[Column]:
+    return [F.shiftrightunsigned(hashed, n).bitwiseAND((1 << bits) - 1) for n in (0, 20)]
+
+
+def bit_table(hashes: DataFrame, bits: int) -> Column:
+    """Bloom table of the hashes in the only column, as one array value of 2^bits bits."""
+    place = hashes.select(F.explode(F.array(*_places(F.col(hashes.columns[0]), bits))).alias("_place"))
+    words = place.groupBy(F.shiftright("_place", 6).alias("id")).agg(F.bit_or(
+        F.expr("shiftleft(1L, CAST(_place & 63 AS INT))")).alias("_word"))
+    filled = hashes.sparkSession.range(0, 1 << (bits - 6), 1, 1).join(words, "id", "left")
+    listed = F.array_sort(F.collect_list(F.struct("id", F.coalesce("_word", F.lit(0).cast("bigint")).alias("_word"))))
+    return filled.agg(listed["_word"].alias("_words")).scalar()
+
+
+def may_hold(table: Column, hashed: Column, bits: int) -> Column:
+    """False only where the table of ``bit_table`` cannot hold the hash."""
+    found = [F.get(table, F.shiftright(p, 6).cast("int")).bitwiseAND(F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), p.bitwiseAND(63).cast("int"))) != 0 for p in _places(hashed, bits)]
+    return found[0] & found[1]
+
+
+def _head(n: Column, tokens: Column) -> Column:
+    return F.xxhash64(n.cast("int"), F.get(tokens, F.lit(0)), F.when(n != 1, F.get(tokens, F.lit(1))))
+
+
 def term_matches(df: DataFrame, key: list[str], text: str, terms: DataFrame, most_tokens: int = 8) -> DataFrame:
     """(key, term, n): terms of a large vocabulary in each text and how often, for a vocabulary of any size.
 
-    ``terms`` has term.  Texts and terms are compared by tokens: every run of up to ``most_tokens`` tokens meets the
+    ``terms`` has term.  Texts and terms are compared by tokens: runs of up to ``most_tokens`` tokens meet the
     terms in one hash join, so the cost does not grow with the number of terms, and a frequent run is spread over
-    tasks.  From left to right the longest term at each place counts and what it covers is used up.  Terms of more
+    tasks.  Only runs that two bit tables of fixed size do not rule out are shuffled, by their length with their first two
+    tokens and as a whole; the join decides.  Terms and these runs are written once, as several steps read them.
+    From left to right the longest term at each place counts and what it covers is used up.  Terms of more
     tokens raise; ``key`` names the rows.
     """
+    spark, path = df.sparkSession, work_dir(df.sparkSession, "terms")
+
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{path}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{path}/{name}")
+
     joiner = "\u0001"
     listed = terms.select("term", tokens(F.col("term")).alias("_t")).filter(F.size("_t") > 0)
     longest = F.when(F.size("_t") > most_tokens, F.raise_error(F.lit(f"a term has more than {most_tokens} tokens")))
-    listed = listed.select(F.coalesce(longest, F.array_join("_t", joiner)).alias("_run"), "term").groupBy("_run").agg(
-        F.min("term").alias("term"))
-    firsts = df.select(*key, tokens(F.col(text)).alias("_t")).select(*key, "_t", F.posexplode("_t").alias("_at", "_w"))
-    runs = firsts.select(*key, "_at", F.posexplode(F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(most_tokens), F.size("_t") - F.col("_at"))),
-        lambda n: F.array_join(F.slice("_t", F.col("_at") + 1, n), joiner))).alias("_more", "_run"))
-    hits = spread_join(runs, listed, "_run").groupBy(*key, "_at").agg(F.max(F.struct("_more", "term")).alias("h"))
-    placed = hits.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_at", "h._more", "h.term"))).alias("_hits"))
+    listed = stored(listed.select(F.coalesce(longest, F.array_join("_t", joiner)).alias("_run"), "term").groupBy("_run").agg(
+        F.min("term").alias("term")), "listed")
+    split = F.split("_run", joiner)
+    # a run of one token is marked as 1; a longer one as 0, which lets its place pass, and with its length
+    heads = bit_table(listed.select(F.explode(F.array_distinct(F.array(
+        _head(F.when(F.size(split) == 1, 1).otherwise(0), split), _head(F.size(split), split)))).alias("h")).distinct(), HEAD_BITS)
+    wholes = bit_table(listed.select(F.xxhash64("_run").alias("h")), RUN_BITS)
+    ahead = computed_once(df.select(*key, tokens(F.col(text)).alias("_t")), key).select(*key, F.posexplode_outer(F.when(
+        F.size("_t") > 0, F.transform(F.sequence(F.lit(1), F.size("_t")), lambda i: F.slice("_t", i, most_tokens)))).alias("_at", "_s"))
+    ahead = ahead.withColumn("_heads", heads)
+    ahead = ahead.filter(may_hold(F.col("_heads"), _head(F.lit(0), F.col("_s")), HEAD_BITS)
+                         | may_hold(F.col("_heads"), _head(F.lit(1), F.col("_s")), HEAD_BITS))
+    runs = ahead.select("*", F.explode(F.sequence(F.lit(1), F.size("_s"))).alias("_n")).filter(
+        may_hold(F.col("_heads"), _head(F.col("_n"), F.col("_s")), HEAD_BITS)).select(
+        *key, "_at", (F.col("_n") - 1).alias("_more"), F.array_join(F.slice("_s", F.lit(1), F.col("_n")), joiner).alias("_run"))
+    runs = stored(runs.withColumn("_wholes", wholes).filter(
+        may_hold(F.col("_wholes"), F.xxhash64("_run"), RUN_BITS)).drop("_wholes"), "runs")
+    # at one place the longest comes first and covers the others
+    found = F.struct("_at", (-F.col("_more")).alias("_less"), "term")
+    placed = spread_join(runs, listed, "_run").groupBy(*key).agg(F.array_sort(F.collect_list(found)).alias("_hits"))
     start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<string>").alias("terms"))
     taken = F.aggregate("_hits", start, lambda acc, h: F.when(h["_at"] > acc["end"], F.struct(
-        (h["_at"] + h["_more"]).alias("end"), F.concat(acc["terms"], F.array(h["term"])).alias("terms"))).otherwise(acc))
+        (h["_at"] - h["_less"]).alias("end"), F.concat(acc["terms"], F.array(h["term"])).alias("terms"))).otherwise(acc))
     return placed.select(*key, F.explode(taken["terms"]).alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
