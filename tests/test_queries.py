@@ -41,3 +41,9 @@ def test_predicates_and_columns_reach_the_scan(spark):
     plan = catalog.QUERIES["hit_rates"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_shipdate" in plan and "LessThan(l_shipdate" in plan
     assert "l_comment" not in plan and "l_tax" not in plan
+
+
+@pytest.mark.parametrize("name", ["advertiser_pay"])
+def test_heavy_work_on_small_tables_is_dealt_over_the_cores(spark, name):
+    # each of these tables is one file of one row group, which one task would work off
+    assert catalog.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

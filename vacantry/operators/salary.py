@@ -275,16 +275,32 @@ ADVERTISER_PATTERNS = [
 MAX_ADVERTISER = 8
 
 
+BEFORE, BEHIND = 180, 220  # characters of a snippet around its match
+LINE = r"[^\n\r\u0085\u2028\u2029]*"
+
+
+def _with_snippets(text: Column, pattern: str) -> Column:
+    """Array of (match, snippet) for every match, from left to right, each pattern read over the text twice.
+
+    A snippet begins behind the match before and stays within the line.
+    """
+    whole = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("match"))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<match:string,snippet:string>>").alias("out"))
+
+    def take(acc: Column, m: Column) -> Column:
+        behind = acc["at"] + F.length(m["gap"]) + F.length(m["match"])
+        before = F.regexp_extract(F.right(m["gap"], F.lit(BEFORE)), LINE + r"\z", 0)
+        after = F.regexp_extract(F.substring(text, behind, F.lit(BEHIND)), "^" + LINE, 0)
+        made = F.struct(F.trim(m["match"]).alias("match"), F.trim(F.concat(before, m["match"], after)).alias("snippet"))
+        return F.when(m["match"].isNull(), acc).otherwise(F.struct(behind.alias("at"), F.array_append(acc["out"], made).alias("out")))
+
+    return F.aggregate(whole, start, take, lambda acc: acc["out"])
+
+
 def advertiser_candidates(text: Column, limit: int | None = None) -> Column:
     """Array of (match, snippet): pay wording with the words around it; all, or the first ``limit``."""
     clean = F.regexp_replace(text, r"\s+", " ")
-    found = F.concat(*[
-        F.transform(
-            F.arrays_zip(*[F.regexp_extract_all(clean, F.lit(rf"(.{{0,180}}?){p}(?=(.{{0,220}}))"), F.lit(g))
-                           for g in (1, 2, 3)]),
-            lambda r: F.struct(F.trim(r["1"]).alias("match"),
-                               F.trim(F.concat(r["0"], r["1"], r["2"])).alias("snippet")))
-        for p in ADVERTISER_PATTERNS])
+    found = F.concat(*[F.flatten(F.transform(F.array(clean), lambda t: _with_snippets(t, p))) for p in ADVERTISER_PATTERNS])
     return F.when(text.rlike(MONEY_MARK), first_items(F.array_distinct(found), limit))
 
 
@@ -303,10 +319,13 @@ def parse_range(match: Column) -> Column:
         return F.when(kilo | small, n * 1000).otherwise(n)
 
     values = F.filter(F.transform(raw, number), lambda n: n.isNotNull())
-    low, high = F.get(values, F.lit(0)), F.coalesce(F.get(values, F.lit(1)), F.get(values, F.lit(0)))
-    return F.when(currency.isNotNull() & low.isNotNull(), F.struct(
-        currency.alias("currency"), low.alias("low"), high.alias("high"),
-        ((low + high) / 2).alias("mid")))
+
+    def shaped(v: Column) -> Column:
+        low, high = F.get(v, F.lit(0)), F.coalesce(F.get(v, F.lit(1)), F.get(v, F.lit(0)))
+        return F.when(currency.isNotNull() & low.isNotNull(), F.struct(
+            currency.alias("currency"), low.alias("low"), high.alias("high"), ((low + high) / 2).alias("mid")))
+
+    return F.get(F.transform(F.array(values), shaped), F.lit(0))  # bound once, read several times
 
 
 def likely_exact(snippet: Column, external: Column) -> Column:

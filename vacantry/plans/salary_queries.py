@@ -144,7 +144,7 @@ def _(t):
        "SELECT p_partkey, amount_min, amount_max, currency, period, 'jsonld' AS extractor FROM ld UNION ALL SELECT p_partkey, amount_min, amount_max, currency, period, "
        "CASE WHEN extraction_status IS NULL THEN 'regex' END FROM pay WHERE p_partkey % 8 >= 4", f=FACTS, ld=LD_PAY, pay=PAY)
 def _(t):
-    rows = t.table("part").selectExpr("p_partkey", f"{pay_text()} AS body", f"{LD} AS ld")
+    rows = t.dealt("part", "p_partkey").selectExpr("p_partkey", f"{pay_text()} AS body", f"{LD} AS ld")
     return S.parse_salary(rows, "body", "ld").select("p_partkey", "amount_min", "amount_max", "currency", "period", "extractor")
 
 
@@ -152,7 +152,7 @@ def _(t):
        "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'GBP' WHEN 1 THEN 'DKK' WHEN 2 THEN 'USD' END AS currency, CAST(CASE p_partkey % 5 WHEN 0 THEN lo WHEN 1 THEN k * 1000 "
        "WHEN 2 THEN lo END AS DOUBLE) AS low, CAST(CASE p_partkey % 5 WHEN 0 THEN hi WHEN 1 THEN (k + 9) * 1000 WHEN 2 THEN lo END AS DOUBLE) AS high FROM f", f=FACTS)
 def _(t):
-    rows = t.table("part").selectExpr("p_partkey", choose(
+    rows = t.dealt("part", "p_partkey").selectExpr("p_partkey", choose(
         "p_partkey", f"p_name || ' pay range: GBP ' || {commas(LOW)} || ' to ' || {commas(HIGH)} || ' per year'",
         f"'Salary: DKK ' || {text(KILO)} || 'k - ' || {text(KILO + ' + 9')} || 'k ' || p_name",
         f"'The base is $' || {commas(LOW)} || ' annually for ' || p_name", "'Tickets cost £20 - £30 at ' || p_name", "p_name") + " AS body")

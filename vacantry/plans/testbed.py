@@ -262,6 +262,14 @@ class Testbed:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def dealt(self, name: str, key: str, *columns: str) -> DataFrame:
+        """A table dealt by key over all cores, for work that costs far more than its rows have bytes.
+
+        A table of few bytes is one file of one or two row groups, which one or two tasks would read and work off.
+        """
+        rows = self.table(name).select(*columns) if columns else self.table(name)
+        return rows.repartition(4 * self.spark.sparkContext.defaultParallelism, key)
+
 
 def with_views(sql: str, *names: str, **extra: str) -> str:
     """Oracle text: the named views (and extra ones) as common tables before ``sql``."""
