@@ -47,3 +47,9 @@ def test_predicates_and_columns_reach_the_scan(spark):
 def test_heavy_work_on_small_tables_is_dealt_over_the_cores(spark, name):
     # each of these tables is one file of one row group, which one task would work off
     assert catalog.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_portal_markers_share_one_text(spark):
+    # host and text were put together anew for every marker
+    plan = catalog.QUERIES["listing_stubs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("concat_ws") <= 2

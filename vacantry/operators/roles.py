@@ -215,11 +215,15 @@ def query_family(query: Column, primary: list[str], adjacent: list[str], leaders
 def portal_relevant(url: Column, text: Column) -> Column:
     """A known portal marker in the host or text, on a host that is not a job board."""
     host = host_of(url)
-    hay = F.lower(F.concat_ws(" ", host, text))
-    found = F.lit(False)
-    for marker in lx.PORTAL_MARKERS:
-        found = found | F.contains(hay, F.lit(marker))
-    return F.coalesce(found & ~host.rlike(lx.EXCLUDED_HOST_PATTERN), F.lit(False))
+    hay = F.array(F.lower(F.concat_ws(" ", host, text)))  # bound once, searched for every marker
+
+    def marked(h: Column) -> Column:
+        found = F.lit(False)
+        for marker in lx.PORTAL_MARKERS:
+            found = found | F.contains(h, F.lit(marker))
+        return found
+
+    return F.coalesce(~host.rlike(lx.EXCLUDED_HOST_PATTERN) & F.exists(hay, marked), F.lit(False))
 
 
 def expired_page(title: Column, text: Column) -> Column:
