@@ -43,7 +43,7 @@ def test_predicates_and_columns_reach_the_scan(spark):
     assert "l_comment" not in plan and "l_tax" not in plan
 
 
-@pytest.mark.parametrize("name", ["advertiser_pay"])
+@pytest.mark.parametrize("name", ["advertiser_pay", "preferred_jsonld_pay"])
 def test_heavy_work_on_small_tables_is_dealt_over_the_cores(spark, name):
     # each of these tables is one file of one row group, which one task would work off
     assert catalog.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
@@ -53,3 +53,10 @@ def test_portal_markers_share_one_text(spark):
     # host and text were put together anew for every marker
     plan = catalog.QUERIES["listing_stubs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("concat_ws") <= 2
+
+
+def test_postings_of_the_enrichment_pass_are_dealt_over_the_cores(spark):
+    from vacantry.plans.report_queries import pass_inputs
+    from vacantry.plans.testbed import Testbed
+
+    assert pass_inputs(Testbed(spark, SF))[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

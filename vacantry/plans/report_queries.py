@@ -149,7 +149,7 @@ def _(t):
 # parts are postings with pay text; suppliers give the state; cohorts publish one benchmark each
 def pass_inputs(t):
     titles = words("p_size", "Data Engineer", "Nurse", "Cook")
-    postings = t.table("part").selectExpr(
+    postings = t.dealt("part", "p_partkey").selectExpr(
         "'linkedin' AS source", "CAST(p_partkey AS STRING) AS job_id", "'https://x.example/' || CAST(p_partkey AS STRING) AS url", f"{titles} AS title",
         f"{pay_text()} AS description_text", "'GB' AS country_code", "CASE WHEN p_size % 2 = 0 THEN 'England' END AS region", "CAST(NULL AS STRING) AS city")
     from vacantry.functions.keys import series_id
