@@ -135,9 +135,9 @@ def _(t):
        + top("observations", "job_source, job_id", "is_posted DESC, observed_at DESC, created_at DESC, observation_id", "*")
        + ") o ON o.job_source = p.source AND o.job_id = p.job_id LEFT JOIN state s ON s.job_source = p.source AND s.job_id = p.job_id", ("postings", "observations", "state"))
 def _(t):
-    best = S.latest_posted_first(t.observations).select(
-        F.col("job_source").alias("source"), "job_id",
-        F.struct("is_posted", "currency", "amount_min", "amount_max", "amount_median", "benchmark_id").alias("best"))
+    shown = ["is_posted", "currency", "amount_min", "amount_max", "amount_median", "benchmark_id"]
+    best = S.latest_posted_first(t.observations, shown).select(
+        F.col("job_source").alias("source"), "job_id", F.struct(*shown).alias("best"))
     state = t.state.withColumnRenamed("job_source", "source")
     rows = t.postings.select("source", "job_id").join(best, ["source", "job_id"], "left").join(state, ["source", "job_id"], "left")
     return rows.select("source", "job_id", Q.salary_line(
