@@ -57,9 +57,9 @@ def latest_stage(events: DataFrame) -> DataFrame:
 
 
 # -- salary observations ---------------------------------------------------
-def latest_observation(obs: DataFrame) -> DataFrame:
+def latest_observation(obs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Newest observation per job, then smallest id."""
-    return first_per_key(obs, OBS_JOB, newest(F.col("observed_at")), F.col("observation_id"))
+    return first_per_key(obs, OBS_JOB, newest(F.col("observed_at")), F.col("observation_id"), columns=columns)
 
 
 def latest_posted_first(obs: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -177,8 +177,7 @@ def scan_queue(matches: DataFrame, postings: DataFrame, obs: DataFrame,
     rows = matches.filter(F.col("cta") == "Apply")
     if search_id is not None:
         rows = rows.filter(F.col("search_id") == search_id)
-    latest = latest_posted_first(obs).select(
-        F.col("job_source").alias("source"), "job_id", "is_posted", "data_source")
+    latest = latest_posted_first(obs, ["is_posted", "data_source"]).withColumnRenamed("job_source", "source")
     rows = (
         rows.select(*JOB, "search_id")
         .join(postings.select(*JOB, "title", "company", "country_code"), JOB)

@@ -62,7 +62,7 @@ def _(t):
 @query("latest_observation_per_job",
        top("observations", "job_source, job_id", "observed_at DESC, observation_id", OBS_COLS), ("observations",))
 def _(t):
-    return S.latest_observation(t.observations).select(*OBS_COLS.split(", "))
+    return S.latest_observation(t.observations, OBS_COLS.split(", ")).select(*OBS_COLS.split(", "))
 
 
 @query("observation_history",
