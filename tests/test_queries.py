@@ -60,3 +60,15 @@ def test_postings_of_the_enrichment_pass_are_dealt_over_the_cores(spark):
     from vacantry.plans.testbed import Testbed
 
     assert pass_inputs(Testbed(spark, SF))[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["salary_lines", "scan_queue", "latest_observation_per_job"])
+def test_top_rows_carry_only_the_columns_shown(spark, monkeypatch, name):
+    # the picked row was shuffled with every column of an observation
+    from pyspark.sql import functions as F
+
+    from vacantry.operators import selection
+
+    monkeypatch.setattr(selection, "with_position", lambda df, *order: df.withColumn("position", F.lit(1)))
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" in plan and "matched_by" not in plan
