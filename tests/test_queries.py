@@ -72,3 +72,14 @@ def test_top_rows_carry_only_the_columns_shown(spark, monkeypatch, name):
     monkeypatch.setattr(selection, "with_position", lambda df, *order: df.withColumn("position", F.lit(1)))
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "min_by" in plan and "matched_by" not in plan
+
+
+def test_block_wording_shares_one_visible_text(spark):
+    # the visible text was made anew for every wording
+    plan = catalog.QUERIES["page_states"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<!--") == 1
+
+
+@pytest.mark.parametrize("name", ["page_states"])
+def test_text_rules_are_dealt_over_the_cores(spark, name):
+    assert catalog.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

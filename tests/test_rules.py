@@ -240,3 +240,18 @@ def test_canonical_json_sorts_every_level(spark):
     df = spark.createDataFrame([('{"b":1,"a":{"d":2,"c":[{"z":1,"y":2}]}}', '{"a":{"c":[{"y":2,"z":1}],"d":2},"b":1}')], "x string, y string")
     row = one(df.select(canonical_json(F.col("x")).alias("x"), canonical_json(F.col("y")).alias("y"), number_text(F.lit(50000.0)).alias("n")))
     assert row.x == row.y and row.n == "50000"
+
+
+@pytest.mark.parametrize("title,url,text,searched,state", [
+    (None, None, None, False, "healthy"),
+    ("", "https://www.linkedin.com/checkpoint/x", "/jobs/view/1 nothing else", False, "healthy"),
+    ("", "https://www.linkedin.com/checkpoint/x", "/jobs/view/1 security check", False, "blocked"),
+    ("Captcha", "", "a captcha to <b>verify</b>", False, "active_challenge"),
+    ("", "", "<body>security<br>check, rate&nbsp;limit", False, "rate_limited"),
+    ("", "", "<body><!-- unusual activity -->authwall", False, "login_required"),
+    ("", "", "0 results", True, "empty"),
+    ("", "", "0 results", False, "healthy"),
+])
+def test_page_state(spark, title, url, text, searched, state):
+    df = spark.createDataFrame([(title, url, text)], "title string, url string, text string")
+    assert one(df.select(H.page_state(F.col("title"), F.col("url"), F.col("text"), searched).alias("s"))).s == state

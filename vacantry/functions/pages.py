@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vacantry import lexicon as lx
 from vacantry.functions.staging import computed_once
-from vacantry.functions.text import blank_to_null, decode_entities, html_to_text, squeeze, text_lines
+from vacantry.functions.text import blank_to_null, decode_entities, html_to_text, once, squeeze, text_lines
 
 JSON_LD = r"(?is)<script[^>]+type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
 MONEY = r"(?i)(?:€|£|\$|CHF\s*|AED\s*|C\$|A\$)\s*([0-9][0-9,.]*)"
@@ -126,11 +126,6 @@ def page_state(title: Column, url: Column, text: Column, is_search: bool = False
     served = F.lit(None).cast("boolean") if has_results is None else has_results
     checkpoint = url.rlike(r"(?i)linkedin\.com/checkpoint/")
     results = F.coalesce(served, F.lit(False)) | is_result_page(text)
-    hay = visible_text(F.concat_ws("\n", title, text))
-    first_block = F.lit(None).cast("string")
-    for state, pattern in reversed(lx.BLOCK_SIGNATURES):
-        first_block = F.when(hay.rlike(pattern), F.lit(state)).otherwise(first_block)
-    limited = hay.rlike(r"(?i)too many requests|rate limit|temporarily restricted")
     joined = F.concat_ws("\n", title, url, text)
     login = joined.rlike(r"(?i)authwall|/login|sign in to linkedin|join linkedin") & ~text.rlike(
         r"(?is)\bHome\b.{0,120}\bMy Network\b.{0,120}\bJobs\b")
@@ -140,15 +135,25 @@ def page_state(title: Column, url: Column, text: Column, is_search: bool = False
         | title.rlike(r"(?i)no .{0,20}(?:jobs?|positions?|openings?|matches?) in"))
     empty = (unserved & says_empty) | (F.coalesce(~served, F.lit(False)) & title.rlike("(?i)jobs"))
     searched = F.lit(is_search) | served.isNotNull()
-    return (
-        F.when(results & ~checkpoint, F.lit("healthy"))
-        .when(first_block.isNotNull() & limited, F.lit("rate_limited"))
-        .when(first_block == "active_challenge", F.lit("active_challenge"))
-        .when(first_block.isNotNull(), F.lit("blocked"))
-        .when(login, F.lit("login_required"))
-        .when(searched & empty, F.lit("empty"))
-        .otherwise(F.lit("healthy"))
-    )
+    block = blocked_state(F.concat_ws("\n", title, text))
+    unblocked = (F.when(login, F.lit("login_required")).when(searched & empty, F.lit("empty"))
+                 .otherwise(F.lit("healthy")))
+    # bound once: the wording is tested on the visible text, which costs several passes over the page
+    judged = once(block, lambda b: F.when(b.isNotNull(), b).otherwise(unblocked))
+    return F.when(results & ~checkpoint, F.lit("healthy")).otherwise(judged)
+
+
+def blocked_state(page: Column) -> Column:
+    """State that the block wording in a page's visible text tells, NULL without such wording."""
+    def state(hay: Column) -> Column:
+        first_block = F.lit(None).cast("string")
+        for name, pattern in reversed(lx.BLOCK_SIGNATURES):
+            first_block = F.when(hay.rlike(pattern), F.lit(name)).otherwise(first_block)
+        limited = hay.rlike(r"(?i)too many requests|rate limit|temporarily restricted")
+        return once(first_block, lambda b: F.when(b.isNotNull(), F.when(limited, F.lit("rate_limited")).when(
+            b == "active_challenge", b).otherwise(F.lit("blocked"))))
+
+    return once(visible_text(page), state)
 
 
 def job_ids(html: Column) -> Column:

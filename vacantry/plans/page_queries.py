@@ -154,7 +154,7 @@ STATE_SQL = words(P, *STATES)
 
 @query("page_states", f"SELECT page_id, {STATE_SQL} AS state FROM pages")
 def _(t):
-    rows = page(t, link=STATE_URL, doc=f"html || '<p>' || {STATE_TEXT} || '</p>'")
+    rows = t.dealt("pages", P).selectExpr(P, f"{STATE_URL} AS link", f"html || '<p>' || {STATE_TEXT} || '</p>' AS doc")
     return rows.select(P, H.page_state(F.lit("Search"), F.col("link"), F.col("doc"), is_search=True).alias("state"))
 
 
