@@ -80,6 +80,12 @@ def test_block_wording_shares_one_visible_text(spark):
     assert plan.count("<!--") == 1
 
 
-@pytest.mark.parametrize("name", ["page_states"])
+@pytest.mark.parametrize("name", ["page_states", "resume_languages", "resume_titles"])
 def test_text_rules_are_dealt_over_the_cores(spark, name):
     assert catalog.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_levels_are_read_on_lines_that_name_a_language(spark):
+    # every line of a resume was split into words and tried for all levels
+    plan = catalog.QUERIES["resume_languages"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("AS _names") > plan.index("AS _rows")  # printed from the top: names are found below the rows

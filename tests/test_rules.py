@@ -7,6 +7,7 @@ from vacantry.functions import pages as H
 from vacantry.functions import text as T
 from vacantry.functions import titles as X
 from vacantry.functions.keys import canonical_json, number_text
+from vacantry.operators import candidates
 from vacantry.operators import extractors as E
 from vacantry.operators import requirements as R
 from vacantry.operators import roles as C
@@ -255,3 +256,11 @@ def test_canonical_json_sorts_every_level(spark):
 def test_page_state(spark, title, url, text, searched, state):
     df = spark.createDataFrame([(title, url, text)], "title string, url string, text string")
     assert one(df.select(H.page_state(F.col("title"), F.col("url"), F.col("text"), searched).alias("s"))).s == state
+
+
+def test_resume_languages_by_section(spark):
+    rows = [(1, "French\nLanguages\nSkills\nItalian\nLanguages:\n German \nGermanic\nItalian b2\nExperience"), (2, None), (3, ""),
+            (4, "Languages"), (5, "Languages\nΕΛΛΗΝΙΚΆ\n#Dutch\n" + "Spanish " + "x" * 40), (6, "Fluent in Danish\nDanish A1")]
+    df = spark.createDataFrame(rows, "resume_id int, text string")
+    got = {tuple(r) for r in candidates.languages(df).collect()}
+    assert got == {(1, "German", "unspecified"), (1, "Italian", "b2"), (5, "Greek", "unspecified"), (6, "Danish", "c1")}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vacantry import lexicon as lx
 from vacantry.functions.staging import computed_once
 from vacantry.functions.text import any_phrase, first_items, literal_map, squeeze
-from vacantry.operators.languages import languages_between
+from vacantry.operators.languages import languages_between, names_in
 
 # fixed values: headings
 SKILL_HEADING = (r"(?i)^(skills|key skills|technical skills|competencies|expertise|technologies|"
@@ -29,16 +29,26 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _sectioned(df: DataFrame, lines: Column, kind) -> DataFrame:
+def _sectioned(df: DataFrame, lines: Column, kind, wanted=None) -> DataFrame:
     """Adds ``_rows``: lines as (line, i, section), the section being the last non-NULL
-    ``kind(line)`` at or above the line."""
+    ``kind(line)`` at or above the line; only lines that are ``wanted``, if that is given.
+
+    Each head takes the slice of lines down to the next one, so a line is read once however many heads there are.
+    """
     heads = F.filter(F.transform("_lines", lambda s, i: F.struct(i.alias("i"), kind(s).alias("k"))),
                      lambda h: h["k"].isNotNull())
-    return computed_once(df.withColumn("_lines", lines).withColumn("_heads", heads).withColumn(
-        "_rows", F.transform("_lines", lambda s, i: F.struct(
-            s.alias("line"), i.alias("i"),
-            F.try_element_at(F.filter("_heads", lambda h: h["i"] <= i), F.lit(-1))["k"]
-            .alias("section")))).drop("_lines", "_heads"), df.columns)
+    top = F.array(F.struct(F.lit(0).alias("i"), F.lit(None).cast("string").alias("k")))
+
+    def below(h, n):
+        until = F.coalesce(F.get("_heads", n + 1)["i"], F.size("_lines"))
+        return F.transform(F.slice("_lines", h["i"] + 1, until - h["i"]), lambda s, j: F.struct(
+            s.alias("line"), (h["i"] + j).alias("i"), h["k"].alias("section")))
+
+    def kept(rows):
+        return rows if wanted is None else F.filter(rows, lambda x: wanted(x["line"]))
+
+    return computed_once(df.withColumn("_lines", lines).withColumn("_heads", F.concat(top, heads)).withColumn(
+        "_rows", F.flatten(F.transform("_heads", lambda h, n: kept(below(h, n))))).drop("_lines", "_heads"), df.columns)
 
 
 def skills(resumes: DataFrame, vocabulary) -> DataFrame:
@@ -96,19 +106,24 @@ def languages(resumes: DataFrame) -> DataFrame:
         return F.when(s.rlike(LANGUAGE_HEADING), F.lit("languages")).when(
             s.rlike(AFTER_LANGUAGES), F.lit(""))
 
+    # the whole text's words are looked up once; then only lines that hold one of the names found are read
+    given = resumes.columns
+    found = computed_once(resumes.withColumn("_names", names_in(F.coalesce(F.col("text"), F.lit("")))), given)
     lines = F.filter(F.transform(_lines(F.col("text")), lambda s: F.trim(s)), lambda s: s != "")
+    lines = F.when(F.size("_names") > 0, lines).otherwise(F.array().cast("array<string>"))
+    rows = _sectioned(found, lines, kind, lambda s: F.exists("_names", lambda a: F.contains(F.lower(s), a)))
     named = F.filter(
         F.transform("_rows", lambda x: F.struct(
             x["line"].alias("line"), x["section"].alias("section"),
-            languages_between(x["line"], TERM_BEFORE, TERM_AFTER).alias("langs"),
-            level(x["line"]).alias("level"))),
+            languages_between(x["line"], TERM_BEFORE, TERM_AFTER).alias("langs"))),
         lambda x: (F.size(x["langs"]) > 0) & ~x["line"].rlike(LANGUAGE_HEADING))
-    ok = F.filter(named, lambda x: x["level"].isNotNull() | (
+    leveled = F.transform(named, lambda x: F.struct(x["line"], x["section"], x["langs"], level(x["line"]).alias("level")))
+    ok = F.filter(leveled, lambda x: x["level"].isNotNull() | (
         (x["section"] == "languages") & (F.length(x["line"]) <= 40)))
     flat = F.flatten(F.transform(ok, lambda x: F.transform(x["langs"], lambda g: F.struct(
         g.alias("language"), F.coalesce(x["level"], F.lit("unspecified")).alias("level")))))
     return (
-        _sectioned(resumes, lines, kind).select("resume_id", F.posexplode(flat).alias("pos", "x"))
+        rows.select("resume_id", F.posexplode(flat).alias("pos", "x"))
         .groupBy("resume_id", F.col("x.language").alias("language"))
         .agg(F.min_by("x.level", "pos").alias("level"))
     )
