@@ -89,3 +89,14 @@ def test_levels_are_read_on_lines_that_name_a_language(spark):
     # every line of a resume was split into words and tried for all levels
     plan = catalog.QUERIES["resume_languages"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("AS _names") > plan.index("AS _rows")  # printed from the top: names are found below the rows
+
+
+def test_dealt_parts_follow_the_shuffle_partitions(spark):
+    from vacantry.plans.testbed import Testbed
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        assert Testbed(spark, SF).dealt("pages", "page_id").rdd.getNumPartitions() == 100
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

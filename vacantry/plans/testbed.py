@@ -266,9 +266,11 @@ class Testbed:
         """A table dealt by key over all cores, for work that costs far more than its rows have bytes.
 
         A table of few bytes is one file of one or two row groups, which one or two tasks would read and work off.
+        Large tables get as many parts as the session's shuffles, so that a part need not grow with the table.
         """
         rows = self.table(name).select(*columns) if columns else self.table(name)
-        return rows.repartition(4 * self.spark.sparkContext.defaultParallelism, key)
+        parts = max(4 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return rows.repartition(parts, key)
 
 
 def with_views(sql: str, *names: str, **extra: str) -> str:
