@@ -6,9 +6,10 @@ whose anchor n-gram occurs once are unique and drop out by counting; equal stret
 their number.  The others are dealt out by anchor.  There all stretches are cut into symbols of GRAIN bytes
 aligned to the anchor, the suffixes of the symbol string are sorted by grouping (``suffix_groups``), suffixes
 that agree on all whole symbols of a window form a class, and the windows of a class are compared as bytes
-by their hash.  An anchor with very many different stretches, as at the edge of a passage that very many
-documents share, is too much for one task: its windows are counted one by one, by Spark.  Runs of repeated
-windows go back to their documents by joins.
+by their hash.  An anchor with many different stretches, as at the edge of a passage that very many
+documents share, is too much for one task: its stretches are split into cells of windows by the bytes before the
+anchor, a cell takes the bytes that all its windows share into its key, and cells are dealt out and sorted like
+stretches, or split again.  Runs of repeated windows go back to their documents by joins.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ LENGTH = 400
 GRAIN = 32  # bytes of an n-gram and of a symbol
 BLOCK = 1 << 20
 TASK_BYTES = 4 << 20  # of stretches sorted together, more only for one anchor
-STRETCHES_PER_TASK = 20_000  # different stretches of one anchor that one task sorts
+STRETCHES_PER_TASK = 500  # different stretches of one anchor that one task sorts; those of more are split
+CELLS = (32, 1)  # windows of a cell, one number a round; all windows of one cell and key are equal in the last
 _PLACE = 26  # low bits of a window key that hold a place in the block
 _STRETCHES = "array<struct<key:bigint,content:bigint,start:int,n:int,anchor:int>>"
 
@@ -219,6 +221,7 @@ def _sorted_out(length: int, grain: int):
 
 
 def _single_windows(length: int):
+    """Every window of wanted stretches with its hash, for a plain count."""
     def run(batches):
         for batch in batches:
             texts = text_array(batch, "text")
@@ -241,24 +244,83 @@ def _single_windows(length: int):
     return run
 
 
-def _joined_runs(batches):
+def _in_cells(length: int, grain: int, width: int):
+    """Cuts stretches into cells: windows with the same number of bytes before the anchor, divided by ``width``."""
+    def cells_of(batch):
+        of, key, weight = (batch.column(c).to_numpy() for c in ("content", "key", "weight"))
+        anchor, data = batch.column("anchor").to_numpy().astype(np.int64), batch.column("data").to_pylist()
+        sizes = np.array([len(d) for d in data], dtype=np.int64)
+        block = Block(np.frombuffer(b"".join(data), dtype=np.uint8), np.concatenate([[0], np.cumsum(sizes)]))
+        least = anchor - (sizes - length)  # bytes before the anchor in the last window
+        n = anchor // width - least // width + 1
+        row = np.repeat(np.arange(len(data)), n)
+        cell = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (least // width)[row]
+        low, high = cell * width, np.minimum(cell * width + width - 1, length - grain)
+        begin = anchor[row] - np.minimum(high, anchor[row])
+        end = anchor[row] - np.maximum(low, least[row]) + length
+        at, middle = block.offsets[row], block.offsets[row] + anchor[row]
+        shared = block.hashes(middle - low, middle + length - high)  # bytes of every window that the cell can hold
+        keys = mix(shared ^ mix(key.view(np.uint64)[row] + cell.astype(np.uint64)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(of[row]), pa.array(begin.astype(np.int32)), pa.array(keys.view(np.int64)),
+             pa.array(block.hashes(at + begin, at + end).view(np.int64)), pa.array(weight[row]),
+             pa.array((anchor[row] - begin).astype(np.int32)),
+             pa.array([data[r][i:j] for r, i, j in zip(row.tolist(), begin.tolist(), end.tolist())], pa.binary())],
+            names=["of", "shift", "key", "content", "weight", "anchor", "data"])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                yield cells_of(batch.slice(at, 1000))
+
+    return run
+
+
+def _shifted(batches):
+    """Runs of a cell as runs of the stretch that it was cut from."""
     for batch in batches:
-        runs = []
-        for places in batch.column(1).to_pylist():
-            flags = np.zeros(max(places) + 1, dtype=bool)
-            flags[places] = True
-            runs.append(_runs(flags).tobytes())
+        runs = [(np.frombuffer(r, dtype=np.int32) + np.int32(s)).tobytes()
+                for s, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.binary())], names=["content", "runs"])
 
 
-def _counted_runs(texts: DataFrame, wanted: DataFrame, scratch: Scratch, length: int) -> DataFrame:
-    """Runs of repeated windows of stretches, from the number of each window."""
-    every = scratch.keep(texts.join(wanted, ["ref", "row"]).select("text", "wanted").mapInArrow(
-        _single_windows(length), "content long, at int, window long, weight long"), "windows")
-    again = every.groupBy("window").agg(F.sum("weight").alias("total")).where("total > 1").select("window")
-    again = scratch.keep(again, "again")  # a plain join, which Spark can split where a window is very frequent
-    places = every.join(again, "window", "left_semi").groupBy("content").agg(F.collect_set("at").alias("places"))
-    return places.mapInArrow(_joined_runs, "content long, runs binary")
+def _crowded(contents: DataFrame, key, most: int) -> DataFrame:
+    """Keys with more different contents than one task sorts."""
+    return contents.groupBy(key.alias("many")).agg(F.count("*").alias("different")).where(F.col("different") > most).select("many")
+
+
+def _sorted_runs(cut: DataFrame, length: int, grain: int) -> DataFrame:
+    """Runs of repeated windows of stretches, sorted key by key."""
+    parts = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (cut.select("key", "content", "weight", "anchor", "data").repartition(parts, "key").sortWithinPartitions("key", "content")
+            .mapInArrow(_sorted_out(length, grain), "content long, runs binary"))
+
+
+def _runs_of_cells(cut: DataFrame, scratch: Scratch, length: int, grain: int, most: int, widths: tuple[int, ...]) -> DataFrame:
+    """Runs of repeated windows of stretches, found in their cells; cells of a key with more than ``most`` are split again.
+
+    A cell whose key occurs once holds no repeated window.  With one window a cell, cells of one key are equal, so
+    the last round leaves no key with more than one.
+    """
+    cells = scratch.keep(cut.mapInArrow(_in_cells(length, grain, widths[0]), "of long, shift int, key long, content long, "
+                                        "weight long, anchor int, data binary"), "cells")
+    keys = scratch.keep(cells.groupBy("key").agg(F.sum("weight").alias("total")).where("total > 1").select("key"), "keys")
+    contents = scratch.keep(cells.join(keys, "key", "left_semi").groupBy("content").agg(
+        F.sum("weight").alias("weight"), F.first("key").alias("key"), F.first("anchor").alias("anchor"),
+        F.first("data").alias("data")), "contents")
+    if widths[1:]:
+        many = scratch.keep(_crowded(contents, F.col("key"), most), "many")
+        few = contents.join(many, F.col("key") == F.col("many"), "left_anti")
+        runs = scratch.keep(_sorted_runs(few, length, grain), "runs")
+        if not many.isEmpty():
+            rest = contents.join(many, F.col("key") == F.col("many"), "left_semi")
+            runs = runs.union(_runs_of_cells(rest, scratch, length, grain, most, widths[1:]))
+    else:
+        runs = scratch.keep(_sorted_runs(contents, length, grain), "runs")
+    found = scratch.keep(cells.select("of", "shift", "content").join(runs, "content").select("of", "shift", "runs")
+                         .mapInArrow(_shifted, "content long, runs binary"), "runs")
+    scratch.drop(cells)
+    return found
 
 
 def _by_document(contents: DataFrame) -> DataFrame:
@@ -303,8 +365,6 @@ def without_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
     row; a repeated row is another row.  A null text is empty.  Other columns are ignored.  Texts, n-grams and
     windows are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ref = F.xxhash64(F.coalesce("text", F.lit("")))
     texts = docs.select(F.coalesce(F.col("doc_id"), ref).alias("row"), ref.alias("ref"), "text")
 
@@ -320,16 +380,17 @@ def without_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
     contents = shared.groupBy("content").agg(
         F.sum("copies").alias("weight"), F.min(F.struct("ref", "row", "start", "n", "anchor", "key")).alias("at"))
     contents = scratch.keep(contents, "contents")
-    many = scratch.keep(contents.groupBy(F.col("at.key").alias("many")).agg(F.count("*").alias("different"))
-                        .where(F.col("different") > most).select("many"), "many")
+    many = scratch.keep(_crowded(contents, F.col("at.key"), most), "many")
+
+    def cut(chosen: DataFrame) -> DataFrame:
+        return texts.join(_by_document(chosen), ["ref", "row"]).select("text", "wanted").mapInArrow(
+            _cut_out(length), "key long, content long, weight long, anchor int, data binary")
+
     few = contents.join(many, F.col("at.key") == F.col("many"), "left_anti")
-    cut = texts.join(_by_document(few), ["ref", "row"]).select("text", "wanted").mapInArrow(
-        _cut_out(length), "key long, content long, weight long, anchor int, data binary")
-    runs = scratch.keep(cut.repartition(parts, "key").sortWithinPartitions("key", "content")
-                        .mapInArrow(_sorted_out(length, grain), "content long, runs binary"), "runs")
+    runs = scratch.keep(_sorted_runs(cut(few), length, grain), "runs")
     if not many.isEmpty():
         rest = contents.join(many, F.col("at.key") == F.col("many"), "left_semi")
-        runs = runs.union(scratch.keep(_counted_runs(texts, _by_document(rest), scratch, length), "runs"))
+        runs = runs.union(_runs_of_cells(cut(rest), scratch, length, grain, most, CELLS))
 
     found = (shared.select("ref", "start", "content").join(runs, "content")
              .groupBy("ref").agg(F.collect_list(F.struct("start", "runs")).alias("found")))
