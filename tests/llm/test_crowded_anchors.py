@@ -63,3 +63,26 @@ def test_cells_hold_every_window_once_and_thin_out():
         distinct = {c["content"]: c for c in cells}
         table = pa.RecordBatch.from_pylist([{k: c[k] for k in names} for c in distinct.values()], schema=table.schema)
     assert max(collections.Counter(c["key"] for c in distinct.values()).values()) == 1
+
+
+def test_crowded_stretches_come_back_once(spark):
+    """A stretch with runs in many cells has one row, so that the join with its occurrences makes one row of each."""
+    r = np.random.default_rng(4)
+    passage = r.integers(0, 256, 700).astype(np.uint8).tobytes()
+    rows = []
+    for i in range(40):
+        left, right = int(r.integers(0, 9)), int(r.integers(0, 200))
+        data = r.bytes(left) + passage[:500 + right] + r.bytes(269 - right)
+        rows.append((5, i, 1 + i % 2, left + 369, data[:769 + left]))
+    rows = [(*row[:3], 368, row[4][row[3] - 368:]) for row in rows]  # at most 368 bytes before the n-gram
+    frame = spark.createDataFrame(rows, "key long, content long, weight long, anchor int, data binary").repartition(3)
+    got = repeats._runs_of_cells(frame, Scratch(spark, "test"), 400, 32, 7, repeats.CELLS).collect()
+    windows = collections.Counter()
+    for row in rows:
+        for i in range(len(row[4]) - 399):
+            windows[row[4][i:i + 400]] += row[2]
+    flags = {row[1]: np.array([windows[row[4][i:i + 400]] > 1 for i in range(len(row[4]) - 399)]) for row in rows}
+    want = {content: repeats._runs(f).tolist() for content, f in flags.items() if f.any()}
+    assert max(n for runs in want.values() for a, b in runs for n in [b - a]) > 32
+    assert len(got) == len({g["content"] for g in got})
+    assert {g["content"]: np.frombuffer(g["runs"], dtype=np.int32).reshape(-1, 2).tolist() for g in got} == want

@@ -276,11 +276,16 @@ def _in_cells(length: int, grain: int, width: int):
     return run
 
 
-def _shifted(batches):
-    """Runs of a cell as runs of the stretch that it was cut from."""
+def _of_stretches(batches):
+    """Runs of all cells of a stretch as runs of the stretch; runs that meet at the edge of two cells become one."""
     for batch in batches:
-        runs = [(np.frombuffer(r, dtype=np.int32) + np.int32(s)).tobytes()
-                for s, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        runs = []
+        for cells in batch.column(1).to_pylist():
+            each = np.concatenate([np.frombuffer(c["runs"], dtype=np.int32) + np.int32(c["shift"]) for c in cells]).reshape(-1, 2)
+            each = each[np.argsort(each[:, 0])]
+            apart = each[1:, 0] > each[:-1, 1]
+            first, last = np.concatenate([[True], apart]), np.concatenate([apart, [True]])
+            runs.append(np.stack([each[first, 0], each[last, 1]], axis=1).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.binary())], names=["content", "runs"])
 
 
@@ -299,6 +304,8 @@ def _sorted_runs(cut: DataFrame, length: int, grain: int) -> DataFrame:
 def _runs_of_cells(cut: DataFrame, scratch: Scratch, length: int, grain: int, most: int, widths: tuple[int, ...]) -> DataFrame:
     """Runs of repeated windows of stretches, found in their cells; cells of a key with more than ``most`` are split again.
 
+    A stretch has one row, whatever number of its cells hold runs: stretches occur in many texts, and the join that
+    takes runs back to them would make as many rows of each occurrence.
     A cell whose key occurs once holds no repeated window.  With one window a cell, cells of one key are equal, so
     the last round leaves no key with more than one.
     """
@@ -317,8 +324,9 @@ def _runs_of_cells(cut: DataFrame, scratch: Scratch, length: int, grain: int, mo
             runs = runs.union(_runs_of_cells(rest, scratch, length, grain, most, widths[1:]))
     else:
         runs = scratch.keep(_sorted_runs(contents, length, grain), "runs")
-    found = scratch.keep(cells.select("of", "shift", "content").join(runs, "content").select("of", "shift", "runs")
-                         .mapInArrow(_shifted, "content long, runs binary"), "runs")
+    found = cells.select("of", "shift", "content").join(runs, "content").groupBy("of").agg(
+        F.collect_list(F.struct("shift", "runs")).alias("cells"))
+    found = scratch.keep(found.mapInArrow(_of_stretches, "content long, runs binary"), "runs")
     scratch.drop(cells)
     return found
 
