@@ -86,3 +86,23 @@ def test_crowded_stretches_come_back_once(spark):
     assert max(n for runs in want.values() for a, b in runs for n in [b - a]) > 32
     assert len(got) == len({g["content"] for g in got})
     assert {g["content"]: np.frombuffer(g["runs"], dtype=np.int32).reshape(-1, 2).tolist() for g in got} == want
+
+
+def test_copies_of_one_text_are_dealt_out(spark):
+    """Very many copies of a text do not meet in one task when their repeats are taken out."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    rows = [*((i, "".join(r.choice("abcdef ") for _ in range(500))) for i in range(300)), *((300 + i, "one text " * 60) for i in range(1500))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    keep = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in keep}
+    try:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+        got = repeats.without_repeats(frame, Scratch(spark, "test")).drop("text").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(collections.Counter(g["task"] for g in got).values()) < 600
+    assert collections.Counter(tuple(g)[:-1] for g in got) == collections.Counter(plain.without_repeats(rows))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from vacantry.llm.blocks import Block, blocks, mix, text_array
 from vacantry.llm.scratch import Scratch
 from vacantry.llm.suffix_groups import suffix_array
+from vacantry.operators.joins import spread_join
 
 LENGTH = 400
 GRAIN = 32  # bytes of an n-gram and of a symbol
@@ -402,5 +403,6 @@ def without_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gra
 
     found = (shared.select("ref", "start", "content").join(runs, "content")
              .groupBy("ref").agg(F.collect_list(F.struct("start", "runs")).alias("found")))
-    rows = docs.select("doc_id", ref.alias("ref"), "text").join(found, "ref", "left").select("doc_id", "text", "found")
+    rows = spread_join(docs.select("doc_id", ref.alias("ref"), "text"), found, "ref", "left")  # copies of a text have one ref
+    rows = rows.select("doc_id", "text", "found")
     return rows.mapInArrow(_finished(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
